@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, language_model, packing, toxicity, warc
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, language_model, packing, substring_dedup, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,11 +50,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, net).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.archive_pages(read(spark, sf_dir, "pages"))
     return warc.page_rows(warc.read_archives(archives.repartition(max(1, archives.count())), with_data=False)).drop("intact")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("n_rows")
 
@@ -67,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_chat_format, op3_language_model, op4_packing, op5_toxicity, op7_warc, op9_exact_dedup, op10_language_id)
+    for f in (op1_decontaminate, op2_chat_format, op3_language_model, op4_packing, op5_toxicity, op6_substring_dedup, op7_warc, op8_jaccard_join, op9_exact_dedup, op10_language_id)
 }
 
 ORACLE = {
