@@ -4,9 +4,10 @@ Shingles are ordered from rare to frequent by a sketch of fixed size. Documents
 which is posted once under each token of its prefix. Group pairs are filtered by size and by how many prefix tokens they
 share, expanded to their distinct sets, and verified by exact intersection.
 
-Pairs inside a cluster are not listed. A first round verifies, for each group, its best partners among the first and the next
-group of its postings; the links give components. A second round looks at every pair with a common token whose ends are still
-in different components, so that no link between components is lost.
+Pairs inside a cluster are not listed. In each merging round the members of a token's posting list meet two leaders from different
+components, each member's best pairs are verified, and links join components. Once the pairs that are left, those with a common token and
+ends in different components, are about as few as the postings (or a round finds nothing), all of them are counted, filtered and
+verified, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ BLOCK_BITS = 16
 GATHER_BYTES = 24 << 20
 BROADCAST_IDS = 500_000
 PARTNERS = 3
+EXACT_AT = 2  # pairs left per posting left
 _SIZE = np.uint64((1 << 20) - 1)
 
 
@@ -197,33 +199,6 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 1").select("shard", "a", "b").groupBy("shard").applyInArrow(run, "t long, g long")
 
 
-def first_partners(rows: DataFrame, percent: int) -> DataFrame:
-    """(ga, gb, c): for the groups of a token, their pairs with the token's first and with the next group, where sizes allow a
-    link; c counts the tokens. The number of rows follows the number of postings."""
-
-    def run(table: pa.Table) -> pa.Table:
-        t, g = _postings(table)
-        if not len(t):
-            return pa.table({"ga": pa.array([], pa.int64()), "gb": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-        start = np.flatnonzero(np.diff(t, prepend=t[:1] + np.uint64(1)))
-        lead = np.repeat(g[start], np.diff(start, append=len(t)))
-        inner = np.ones(len(t), bool)
-        inner[start] = False
-        at = np.flatnonzero(inner)
-        a, b = np.concatenate([lead[at], g[at - 1]]), np.concatenate([g[at], g[at]])
-        na, nb = a >> np.uint64(28), b >> np.uint64(28)
-        ok = ((na * np.uint64(100) >= nb * np.uint64(percent)) | (nb == _SIZE)) & (a != b)
-        a, b = a[ok], b[ok]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(first)
-        return pa.table({"ga": a[at].astype(np.int64), "gb": b[at].astype(np.int64), "c": np.diff(at, append=len(a)).astype(np.int64)})
-
-    return rows.filter("kind = 1").select("shard", "a", "b").groupBy("shard").applyInArrow(run, "ga long, gb long, c long")
-
-
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, s): the sorted shingle hashes (48 bits each) of the documents named in ids."""
     few = ids.count() <= BROADCAST_IDS  # 8 bytes each; beyond that both sides are shuffled
@@ -238,18 +213,15 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "id long, s binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
-    """The pairs (u, v) of documents whose sets are similar enough; written."""
-    pairs = ws.table(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = ws.table(sets_of(docs, ids), f"{name}-sets")
+def verified(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar enough; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(len(batch), bool)
             last, mine = None, None
             for k, (a, b) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
-                if a is not last:
+                if a != last:
                     last, mine = a, widen(a, 6)
                 other = widen(b, 6)
                 both = len(mine) + len(other) - len(np.unique(np.concatenate([mine, other])))
@@ -258,9 +230,31 @@ def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, percen
             yield pa.RecordBatch.from_arrays([batch.column("u").take(at), batch.column("v").take(at)], names=["u", "v"])
 
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sb")), "v")
-    out = ws.table(both.mapInArrow(run, "u long, v long"), f"{name}-links")
-    ws.drop(f"{name}-pairs", f"{name}-sets")
-    return out
+    return ws.table(both.mapInArrow(run, "u long, v long"), name)
+
+
+def merged(known: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(g, node, comp) after links have joined components; written. A link becomes an edge of components where it is made, so repeated ones are few."""
+    side = lambda c: known.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    edges = links.join(side("u"), "u").join(side("v"), "v").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    new = components(edges, ws, f"{name}-graph").select(F.col("node").alias("comp"), F.col("component").alias("into"))
+    return ws.table(known.join(new, "comp", "left").select("g", "node", F.coalesce("into", "comp").alias("comp")), name)
+
+
+def size_fits(a: str, b: str, percent: int) -> F.Column:
+    lo, hi = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
+    return (lo * 100 >= hi * percent) | (hi == int(_SIZE))
+
+
+def leaders(left: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Up to PARTNERS pairs (u, v) for each node: those with the most tokens in common among the leaders of its tokens. A token's leaders are
+    the nodes first and last in an order by component that changes with each turn."""
+    mark = F.struct(F.xxhash64("comp", F.lit(turn)).alias("hc"), F.xxhash64("node", F.lit(turn)).alias("hn"), "comp", "node", "n")
+    leads = left.groupBy("t").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).select("t", F.array("a", "b").alias("leads"))
+    met = left.join(leads, "t").select(F.col("node").alias("u"), "comp", "n", F.explode("leads").alias("l")).filter((F.col("comp") != F.col("l.comp")) & size_fits("n", "l.n", percent))
+    counted = met.groupBy("u", F.col("l.node").alias("v")).agg(F.count("*").alias("c"))
+    best = counted.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "v"))).filter(F.col("k") <= PARTNERS)
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -285,44 +279,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sets.select("g", "node")
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("m"))
 
-    best = Window.partitionBy("gb").orderBy(F.desc("c"), "ga")
-    partners = first_partners(posted, percent).groupBy("ga", "gb").agg(F.sum("c").alias("c")).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= PARTNERS)
-    round1 = (
-        partners.select("ga", "gb")
-        .join(heads.select(F.col("g").alias("ga"), F.col("head").alias("u")), "ga")
-        .join(nodes.select(F.col("g").alias("gb"), F.col("node").alias("v")), "gb")
-        .select("u", "v")
-        .union(nodes.join(heads.filter("m > 1"), "g").select(F.col("head").alias("u"), F.col("node").alias("v")))
-        .filter("u <> v")
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        .distinct()
-    )
-    links1 = verified(round1, rows, ws, "round1", percent)
-    comp1 = ws.table(components(links1, ws, "comp1"), "comp1")
-
-    # What is left: pairs of nodes with a common token in different components.
-    known = nodes.join(comp1, "node", "left").select("g", "node", F.coalesce("component", "node").alias("comp"))
-    own = ws.table(shared_postings(posted).join(known, "g"), "postings")
+    known = ws.table(nodes.withColumn("comp", F.col("node")), "known-0")
+    own = ws.table(shared_postings(posted).join(nodes, "g").withColumn("n", F.shiftright("g", 28)).select("t", "n", "node"), "postings")
     ws.drop("index")
-    mixed = own.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("t")
-    left = own.join(mixed, "t").withColumn("n", F.shiftright("g", 28))
+    inside = nodes.join(heads.filter("m > 1"), "g")
+    touched = own.select(F.col("node").alias("id")).union(inside.select("node")).distinct()
+    hashed = ws.table(sets_of(rows, ws.table(touched, "touched")), "sets")
+    links = verified(inside.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v")), hashed, ws, "links-0", percent)
+    turn = 0
+    while True:
+        if turn or not links.isEmpty():
+            known = merged(known, links, ws, f"known-{turn + 1}")
+        ws.drop(f"links-{turn}", "left")
+        turn += 1
+        now = own.join(known.select("node", "comp"), "node")
+        mixed = now.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("c")).filter("c > 1")
+        pairs = ws.table(mixed.select("t", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), "k"), "mixed")
+        todo = pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        left = ws.table(now.join(pairs.select("t"), "t"), "left")
+        if todo[0] <= EXACT_AT * todo[1]:
+            break
+        links = verified(leaders(left, turn, percent), hashed, ws, f"links-{turn}", percent)
+        if links.isEmpty():
+            break
+
+    # What is left: every pair of nodes with a common token in different components.
     a, b = left.alias("a"), left.alias("b")
-    size_ok = (F.col("a.n") * 100 >= F.col("b.n") * percent) | (F.col("b.n") == int(_SIZE))
-    shared = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))) & size_ok)
+    shared = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))) & size_fits("a.n", "b.n", percent))
     counted = shared.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).agg(F.count("*").alias("c"))
     prefix = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
     need = F.ceil((F.col("nu") + F.col("nv")) * percent / (100 + percent))
     # With an overlap of `need`, the first n - need + l tokens of both sets share l; l is the most that both prefixes cover.
     enough = F.least(prefix("nu") - F.col("nu") + need, prefix("nv") - F.col("nv") + need)
-    round2 = counted.filter((F.col("c") >= enough) | (F.col("nv") == int(_SIZE))).select("u", "v")
-    inside = known.join(heads.filter("m > 1").select("g"), "g")
-    round2 = round2.union(inside.alias("a").join(inside.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select("a.node", "b.node")).distinct()
-    links2 = verified(round2, rows, ws, "round2", percent)
-    ws.drop("postings")
-    extra = links2.join(comp1.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(comp1.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    # Sets that rows of one id have in common with others join these; then ids, components of round 1 and new links meet.
-    comp2 = components(extra, ws, "comp2").select(F.col("node").alias("comp"), F.col("component").alias("comp2"))
-    final = known.select("node", "comp").join(comp2, "comp", "left").select("node", F.coalesce("comp2", "comp").alias("comp"))
+    last = counted.filter((F.col("c") >= enough) | (F.col("nv") == int(_SIZE))).select("u", "v")
+    twins = inside.select("g", "node").join(known.select("node", "comp"), "node")
+    last = last.union(twins.alias("a").join(twins.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select("a.node", "b.node")).distinct()
+    known = merged(known, verified(last, hashed, ws, "links-last", percent), ws, "known-last")
+    ws.drop("postings", "left", "sets", "links-last")
+    final = known.select("node", "comp")
     labelled = meta.join(sets, ["g", "k1", "k2"], "left").join(final, "node", "left").select("id", F.when(F.col("g") != 0, F.shiftright("g", 28)).otherwise(F.lit(0)).alias("n"), F.coalesce("comp", "id").alias("comp"))
     labelled = ws.table(labelled, "labelled")
     again = labelled.groupBy("id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("m > 1")
