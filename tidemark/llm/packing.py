@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 LONG_TEXT = 1 << 20
 #: Words of Latin letters that end where the tokenizer's own pattern would end them, runs of plain punctuation, other runs without
 #: white space, white space. Each piece is encoded alike alone and in its text.
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?]|\Z)|[.,;:!?]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
+PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: White space for Python, not for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -42,6 +43,7 @@ class Encoder:
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; what is used again moves on
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -50,19 +52,19 @@ class Encoder:
         return _encoders[path]
 
     def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if p[0] == " " and p[1:].isalpha() and PIECES.fullmatch(p)]
-        rest = [p for p in new if not (p[0] == " " and p[1:].isalpha() and PIECES.fullmatch(p))]
+        known, rest = self.known, []
+        plain = [p for p in new if PLAIN.fullmatch(p) or rest.append(p)]
         for lo in range(0, len(plain), 2000):  # many words in one call; the tokens that open with a space tell them apart
             some = plain[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(some):
                 rest += some
                 continue
-            for p, a, b in zip(some, at, [*at[1:], len(ids)], strict=True):
-                self.known[p] = ids[a:b].tobytes()
+            raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            known.update(zip(some, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
-            self.known[p] = array("I", e.ids).tobytes()
+            known[p] = array("I", e.ids).tobytes()
 
     def _parts(self, text: str) -> Iterator[str]:
         """A long text in parts that the tokenizer treats alike: cut before single spaces."""
@@ -84,11 +86,13 @@ class Encoder:
 
     def _few(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         cut = [None if ODD_SPACE.search(t) else PIECES.findall(t) for t in texts]
-        new = list(set().union(*(c for c in cut if c)).difference(self.known))
+        new = set().union(*(c for c in cut if c)).difference(self.known)
         if new:
-            self._learn(new)
+            again = new & self.older.keys()
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            self._learn(list(new - again))
         get = self.known.__getitem__
         return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
