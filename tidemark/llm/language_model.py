@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .numtext import mix, shard_of, slices, words
 from .workspace import Workspace, shards
 
-GATHER_BYTES = 24 << 20
+GATHER_BYTES = 12 << 20
 BEGIN = np.uint64(0xB5297A4D3F84D5B5)
 END = np.uint64(0x68E31DA4C3B2A197)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = docs.select(F.col(f"`{id_col}`").alias("id"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known")], *[F.lit(0.0).alias(c) for c in ("base_score", "score")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offsets in slices(batches, "text", 8 << 20):
+        for batch, buf, offsets in slices(batches, "text", 3 << 20):
             word, before, _, n = tokens(buf, offsets)
             count, p = model.score(word, before)
             start = np.cumsum(n) - n
