@@ -1,0 +1,175 @@
+"""Language model, toxicity, language ID: exact parts against plain versions, the rest by held-out quality."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import plain
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import language_id, language_model, queries, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+def kneser_ney(train):
+    """The model written plainly: a function of (before, word)."""
+    pairs, words = Counter(), Counter()
+    for t in train:
+        before = "<s>"
+        for w in [*plain.WORD.findall(plain.lower(t or "")), "</s>"]:
+            pairs[before, w] += 1
+            words[w] += 1
+            before = w
+    contexts, total, classes = Counter(w for _, w in pairs), Counter(), {}
+    for (c, _), n in pairs.items():
+        total[c] += n
+        classes.setdefault(c, [0, 0, 0])[min(n, 3) - 1] += 1
+
+    def disc(values):
+        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        out = [0.0]
+        for k in (1, 2, 3):
+            v = k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0.5 * k
+            out.append(min(max(v, 0.05 * k), 0.95 * k))
+        return out
+
+    d, e = disc(pairs.values()), disc(contexts.values())
+    rest = sum(e[min(v, 3)] for v in contexts.values())
+
+    def p(before, w):
+        low = (max(contexts[w] - e[min(contexts[w], 3)], 0) + rest / (len(words) + 1)) / len(pairs)
+        if before not in total:
+            return low
+        n = pairs[before, w]
+        free = sum(d[k + 1] * classes[before][k] for k in range(3))
+        return (max(n - d[min(n, 3)], 0) + free * low) / total[before]
+
+    return p, words
+
+
+def test_scores_are_those_of_the_plain_model(spark, docs, corpus):
+    train = docs.filter("doc_id % 3 > 0")
+    model = language_model.train(train)
+    p, words = kneser_ney([t for i, t in corpus if i % 3])
+    n, v = sum(words.values()), len(words)
+    assert (model.tokens, model.words) == (n, v)
+    got = {r.doc_id: r for r in language_model.score(docs, model).collect()}
+    for i, t in corpus:
+        w = [*plain.WORD.findall(plain.lower(t or "")), "</s>"]
+        assert (got[i].n_tokens, got[i].n_known) == (len(w), sum(x in words for x in w))
+        assert got[i].base_score == pytest.approx(sum(math.log10((words[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        assert got[i].score == pytest.approx(sum(math.log10(p(b, x)) for b, x in zip(["<s>", *w], w)), rel=1e-9)
+
+
+def test_probabilities_add_up(corpus):
+    p, words = kneser_ney([t for i, t in corpus[:40]])
+    for before in ["<s>", *list(words)[:5], "never-seen"]:
+        assert sum(p(before, w) for w in words) + p(before, "never-seen") == pytest.approx(1)
+
+
+def test_language_model_of_nothing(spark, empty, docs):
+    model = language_model.train(empty)
+    assert language_model.score(empty, model).count() == 0
+    r = language_model.score(docs.filter("doc_id = 3"), model).first()
+    assert r.n_known == 0 and r.score < 0
+
+
+def test_frequent_pairs_keep_their_counts(spark):
+    df = spark.createDataFrame([(1, "a b " * 1000), (2, "a c")], "doc_id long, text string")
+    p, _ = kneser_ney(["a b " * 1000, "a c"])
+    r = language_model.score(df.filter("doc_id = 1"), language_model.train(df)).first()
+    w = ["a", "b"] * 1000 + ["</s>"]
+    assert r.score == pytest.approx(sum(math.log10(p(b, x)) for b, x in zip(["<s>", *w], w)))
+
+
+def test_op3_beats_the_base_on_held_out_text(spark):
+    r = queries.op3_language_model(spark, SF).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r.s > r.b
+
+
+def test_op10_on_held_out_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    got = queries.op10_language_id(spark, SF).filter("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    assert got.a > 0.97 and got.lo >= 0 and got.hi <= 1
+
+
+def test_language_of_odd_texts(spark, docs, empty):
+    model = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    odd = {r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")}
+    assert {i for i, r in got.items() if r.lang_pred == "und"} == odd and len(odd) == 4
+    assert language_id.predict(docs, model).columns == [c for c in docs.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
+    assert language_id.predict(empty, model).count() == 0
+    assert {r.lang_pred for r in language_id.predict(docs, language_id.train(empty)).collect()} == {"und"}
+
+
+def test_one_language_is_always_predicted(spark):
+    df = spark.createDataFrame([(1, "abc def", "en"), (2, "ghi", "en"), (3, "x", None)], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in language_id.predict(df.drop("lang"), language_id.train(df)).collect()] == ["en"] * 3
+
+
+def test_trigrams_of_a_long_text_do_not_depend_on_pieces():
+    text = b"Some Text " * 250_000
+    buf = np.frombuffer(text, np.uint8)
+    whole = language_id.trigrams(buf, np.array([0, len(text)]))
+    assert whole.sum() == len(text) - 2
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    texts = ["good day to you all here", "you idiot scum", "fine words here", "scum of the earth idiot"] * 3
+    data = [t.encode() for t in texts]
+    buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    ids, grams, length, back, start, doc, first = toxicity.prepared(buf, offsets)
+    net = toxicity.Network(ids[:6])
+    for k, v in net.p.items():
+        net.p[k] = v.astype(np.float64)
+    row = net.rows(ids)
+    at, mask = toxicity.window_words(back, start, doc, first)
+    weight = rng.standard_normal(len(at))
+
+    def loss():
+        x = net.inputs(row, grams, length).astype(np.float64)
+        return float(weight @ net.run(net.gates(x), at, mask)), x
+
+    x = loss()[1]
+    _, held = net.run(net.gates(x), at, mask, keep=True)
+    g = net.backward(weight, held, x, at, row, grams, length)
+    for name, v in net.p.items():
+        for _ in range(4):
+            i = tuple(int(rng.integers(s)) for s in v.shape)
+            if name == "word" and i[0] == 0:
+                continue
+            old = v[i]
+            v[i] = old + 1e-4
+            up = loss()[0]
+            v[i] = old - 1e-4
+            down = loss()[0]
+            v[i] = old
+            assert g[name][i] == pytest.approx((up - down) / 2e-4, abs=2e-3), name
+
+
+def test_windows_cover_every_word_and_overlap():
+    first = np.array([0, 0, 3, 30, 100])
+    start, doc = toxicity.windows(first)
+    for d in range(4):
+        own = start[doc == d]
+        seen = {w for s in own for w in range(s, min(s + toxicity.WINDOW, first[d + 1]))}
+        assert seen == set(range(first[d], first[d + 1]))
+
+
+def test_op5_on_held_out_text(spark):
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    r = {(x.toxic, x.predicted): x["count"] for x in queries.op5_toxicity(spark, SF).filter("held_out").join(lab, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert r.get((0, 0), 0) > 0.88 * (r.get((0, 0), 0) + r.get((0, 1), 0)) and r.get((1, 1), 0) > r.get((1, 0), 0)
+
+
+def test_toxicity_of_odd_texts(spark, docs, empty):
+    lab = spark.createDataFrame([], "doc_id long, toxic int")
+    net = toxicity.train(empty, lab)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
+    assert len(got) == docs.count() and all(0 <= s <= 1 for s in got.values())
+    assert toxicity.score(empty, net).count() == 0

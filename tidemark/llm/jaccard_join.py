@@ -234,11 +234,11 @@ def verified(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, percen
 
 
 def merged(known: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(g, node, comp) after links have joined components; written. A link becomes an edge of components where it is made, so repeated ones are few."""
+    """(node, comp) after links have joined components; written. A link becomes an edge of components where it is made, so repeated ones are few."""
     side = lambda c: known.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
     edges = links.join(side("u"), "u").join(side("v"), "v").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     new = components(edges, ws, f"{name}-graph").select(F.col("node").alias("comp"), F.col("component").alias("into"))
-    return ws.table(known.join(new, "comp", "left").select("g", "node", F.coalesce("into", "comp").alias("comp")), name)
+    return ws.table(known.join(new, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), name)
 
 
 def size_fits(a: str, b: str, percent: int) -> F.Column:
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sets.select("g", "node")
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("m"))
 
-    known = ws.table(nodes.withColumn("comp", F.col("node")), "known-0")
+    known = ws.table(nodes.select("node", F.col("node").alias("comp")).distinct(), "known-0")
     own = ws.table(shared_postings(posted).join(nodes, "g").withColumn("n", F.shiftright("g", 28)).select("t", "n", "node"), "postings")
     ws.drop("index")
     inside = nodes.join(heads.filter("m > 1"), "g")
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             known = merged(known, links, ws, f"known-{turn + 1}")
         ws.drop(f"links-{turn}", "left")
         turn += 1
-        now = own.join(known.select("node", "comp"), "node")
+        now = own.join(known, "node")
         mixed = now.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("c")).filter("c > 1")
         pairs = ws.table(mixed.select("t", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), "k"), "mixed")
         todo = pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
@@ -312,12 +312,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # With an overlap of `need`, the first n - need + l tokens of both sets share l; l is the most that both prefixes cover.
     enough = F.least(prefix("nu") - F.col("nu") + need, prefix("nv") - F.col("nv") + need)
     last = counted.filter((F.col("c") >= enough) | (F.col("nv") == int(_SIZE))).select("u", "v")
-    twins = inside.select("g", "node").join(known.select("node", "comp"), "node")
+    twins = inside.select("g", "node").join(known, "node")
     last = last.union(twins.alias("a").join(twins.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select("a.node", "b.node")).distinct()
     known = merged(known, verified(last, hashed, ws, "links-last", percent), ws, "known-last")
     ws.drop("postings", "left", "sets", "links-last")
-    final = known.select("node", "comp")
-    labelled = meta.join(sets, ["g", "k1", "k2"], "left").join(final, "node", "left").select("id", F.when(F.col("g") != 0, F.shiftright("g", 28)).otherwise(F.lit(0)).alias("n"), F.coalesce("comp", "id").alias("comp"))
+    labelled = meta.join(sets, ["g", "k1", "k2"], "left").join(known, "node", "left").select("id", F.when(F.col("g") != 0, F.shiftright("g", 28)).otherwise(F.lit(0)).alias("n"), F.coalesce("comp", "id").alias("comp"))
     labelled = ws.table(labelled, "labelled")
     again = labelled.groupBy("id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("m > 1")
     if not again.isEmpty():

@@ -138,7 +138,7 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
         while left:
             open_ = np.flatnonzero(rooms[length:])
             room = int(open_[-1]) + length if len(open_) else size
-            count, before = packs[room].pop() if len(open_) else (left, ())
+            count, before = packs[room].pop() if len(open_) else (-(-left // (size // length)), ())  # opened packs take more of the same
             use = min(count, left)
             if count > use:
                 packs[room].append((count - use, before))
