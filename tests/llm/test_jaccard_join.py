@@ -22,7 +22,7 @@ def test_other_thresholds(docs, corpus, percent):
 
 
 def test_many_pairs_left_are_all_counted(docs, corpus, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "EXACT_AT", 1e9)
+    monkeypatch.setattr(jaccard_join, "MERGE_WHILE", 1e9)
     assert by_id(jaccard_join.near_duplicates(docs)) == plain.near(corpus)
 
 

@@ -1,13 +1,12 @@
 """Near duplicates by an exact Jaccard join of word shingles: the grouped prefix join.
 
 Shingles are ordered from rare to frequent by a sketch of fixed size. Documents whose sets have one size and one prefix form a group,
-which is posted once under each token of its prefix. Group pairs are filtered by size and by how many prefix tokens they
-share, expanded to their distinct sets, and verified by exact intersection.
+which is posted once under each token of its prefix. Group pairs are filtered by size and by the token's places in both
+prefixes, expanded to their distinct sets, and verified by exact intersection.
 
 Pairs inside a cluster are not listed. In each merging round the members of a token's posting list meet two leaders from different
-components, each member's best pairs are verified, and links join components. Once the pairs that are left, those with a common token and
-ends in different components, are about as few as the postings (or a round finds nothing), all of them are counted, filtered and
-verified, so that no link between components is lost.
+components, each member's best pairs are verified, and links join components. Once a round finds few links, all pairs that are left are verified: those in different components with a token that
+can be the first they have in common. So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .numtext import grams, mix, slices, words
-from .workspace import Workspace, shards
+from .workspace import Workspace, dealt, shards
 
 SHINGLE = 5
 PERCENT = 80
@@ -31,8 +30,9 @@ BLOCK_BITS = 16
 GATHER_BYTES = 24 << 20
 BROADCAST_IDS = 500_000
 PARTNERS = 3
-EXACT_AT = 2  # pairs left per posting left
+MERGE_WHILE = 0.02  # links found per node left
 _SIZE = np.uint64((1 << 20) - 1)
+FAR = 65535
 
 
 def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -106,34 +106,39 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def distinct_postings(t: np.ndarray, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings in order of token and group, each once, with the first place (groups of one number can differ in it)."""
+    order = np.lexsort((at, g, t))
+    t, g, at = t[order], g[order], at[order]
+    first = np.ones(len(t), bool)
+    first[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+    return t[first], g[first], at[first]
+
+
 INDEX = "kind int, shard int, a binary, b binary, c binary"
 
 
 def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
-    """Rows of kind 0: ids (a), groups (b) and set keys (c) of documents; of kind 1: tokens (a) and groups (b) of postings, by shard.
+    """Rows of kind 0: ids (a), groups (b) and set keys (c) of documents; of kind 1: tokens (a), groups (b) and places in the group's order
+    (c, 16 bits, larger ones saturate) of postings, by shard.
 
     A group is its set size (20 bits, larger ones saturate) and 28 bits of its prefix's hash; groups that collide are verified like others.
     """
 
-    def rows(meta: list[tuple], tok: list[np.ndarray], grp: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(meta: list[tuple], tok: list[np.ndarray], grp: list[np.ndarray], place: list[np.ndarray]) -> pa.RecordBatch:
         ids, group, key = (np.concatenate(x) for x in zip(*meta, strict=True))
         out = [(0, -1, ids.tobytes(), narrow(group, 6), key.tobytes())]
         if tok:
-            t, g = np.concatenate(tok), np.concatenate(grp)
-            order = np.lexsort((g, t))
-            t, g = t[order], g[order]
-            first = np.ones(len(t), bool)
-            first[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-            t, g = t[first], g[first]
+            t, g, at = distinct_postings(np.concatenate(tok), np.concatenate(grp), np.concatenate(place))
             shard = ((t >> np.uint64(16)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
             edge = np.searchsorted(shard, np.arange(n_shards + 1))
-            out += [(1, k, narrow(t[edge[k] : edge[k + 1]], 6), narrow(g[edge[k] : edge[k + 1]], 6), b"") for k in range(n_shards) if edge[k] < edge[k + 1]]
+            out += [(1, k, narrow(t[edge[k] : edge[k + 1]], 6), narrow(g[edge[k] : edge[k + 1]], 6), at[edge[k] : edge[k + 1]].tobytes()) for k in range(n_shards) if edge[k] < edge[k + 1]]
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["kind", "shard", "a", "b", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = held.value
-        meta, tok, grp, size = [], [], [], 0
+        meta, tok, grp, place, size = [], [], [], [], 0
         for batch, buf, offsets in slices(batches, "text"):
             h, start = shingle_hashes(buf, offsets)
             # Rare shingles first: the frequency level, then the hash.
@@ -151,13 +156,14 @@ def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
                 group[k] = (min(np.uint64(n), _SIZE) << np.uint64(28)) | (mix(mix(p).sum() + p[-1:])[0] >> np.uint64(36))
                 tok.append(p & np.uint64((1 << 48) - 1))
                 grp.append(np.full(len(p), group[k]))
+                place.append(np.minimum(np.arange(len(p)), FAR).astype("<u2"))
             meta.append((ids, group, key))
             size += int(offsets[-1] - offsets[0])
             if size >= GATHER_BYTES:
-                yield rows(meta, tok, grp)
-                meta, tok, grp, size = [], [], [], 0
+                yield rows(meta, tok, grp, place)
+                meta, tok, grp, place, size = [], [], [], [], 0
         if meta:
-            yield rows(meta, tok, grp)
+            yield rows(meta, tok, grp, place)
 
     return docs.mapInArrow(run, INDEX)
 
@@ -174,29 +180,18 @@ def documents_of(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 0").mapInArrow(run, "id long, g long, k1 long, k2 long")
 
 
-def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct postings (token, group) of a shard, in order."""
-    t = np.concatenate([widen(x, 6) for x in table.column("a").to_pylist()])
-    g = np.concatenate([widen(x, 6) for x in table.column("b").to_pylist()])
-    order = np.lexsort((g, t))
-    t, g = t[order], g[order]
-    first = np.ones(len(t), bool)
-    first[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-    t, g = t[first], g[first]
-    start = np.ones(len(t), bool)
-    start[1:] = t[1:] != t[:-1]
-    alone = start & np.append(start[1:], True)
-    return t[~alone], g[~alone]
-
-
 def shared_postings(rows: DataFrame) -> DataFrame:
-    """(t, g) for every token that several groups post."""
+    """(t, g, at) for every token that several groups post."""
 
     def run(table: pa.Table) -> pa.Table:
-        t, g = _postings(table)
-        return pa.table({"t": t.astype(np.int64), "g": g.astype(np.int64)})
+        t, g, at = (np.concatenate([f(x) for x in table.column(c).to_pylist()]) for c, f in (("a", lambda x: widen(x, 6)), ("b", lambda x: widen(x, 6)), ("c", lambda x: np.frombuffer(x, "<u2"))))
+        t, g, at = distinct_postings(t, g, at)
+        start = np.ones(len(t), bool)
+        start[1:] = t[1:] != t[:-1]
+        several = ~(start & np.append(start[1:], True))
+        return pa.table({"t": t[several].astype(np.int64), "g": g[several].astype(np.int64), "at": at[several].astype(np.int32)})
 
-    return rows.filter("kind = 1").select("shard", "a", "b").groupBy("shard").applyInArrow(run, "t long, g long")
+    return dealt(rows.filter("kind = 1").select("shard", "a", "b", "c")).applyInArrow(run, "t long, g long, at int")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -241,18 +236,22 @@ def merged(known: DataFrame, links: DataFrame, ws: Workspace, name: str) -> Data
     return ws.table(known.join(new, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), name)
 
 
-def size_fits(a: str, b: str, percent: int) -> F.Column:
-    lo, hi = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    return (lo * 100 >= hi * percent) | (hi == int(_SIZE))
+def may_link(a: str, b: str, percent: int) -> F.Column:
+    """Whether two postings (n, at) of one token can lie in sets that link: the sizes allow it, and with the overlap that a link needs, the
+    token stands in both prefixes. A link's first common token always does."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = F.ceil((n + m) * percent / (100 + percent))
+    place = (F.col(f"{a}.at") <= n - need) & (F.col(f"{b}.at") <= m - need)
+    return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & place) | (F.greatest(n, m) == int(_SIZE))
 
 
 def leaders(left: DataFrame, turn: int, percent: int) -> DataFrame:
     """Up to PARTNERS pairs (u, v) for each node: those with the most tokens in common among the leaders of its tokens. A token's leaders are
     the nodes first and last in an order by component that changes with each turn."""
-    mark = F.struct(F.xxhash64("comp", F.lit(turn)).alias("hc"), F.xxhash64("node", F.lit(turn)).alias("hn"), "comp", "node", "n")
+    mark = F.struct(F.xxhash64("comp", F.lit(turn)).alias("hc"), F.xxhash64("node", F.lit(turn)).alias("hn"), "comp", "node", "n", "at")
     leads = left.groupBy("t").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).select("t", F.array("a", "b").alias("leads"))
-    met = left.join(leads, "t").select(F.col("node").alias("u"), "comp", "n", F.explode("leads").alias("l")).filter((F.col("comp") != F.col("l.comp")) & size_fits("n", "l.n", percent))
-    counted = met.groupBy("u", F.col("l.node").alias("v")).agg(F.count("*").alias("c"))
+    met = left.join(leads, "t").select(F.struct("node", "comp", "n", "at").alias("p"), F.explode("leads").alias("l")).filter((F.col("p.comp") != F.col("l.comp")) & may_link("p", "l", percent))
+    counted = met.groupBy(F.col("p.node").alias("u"), F.col("l.node").alias("v")).agg(F.count("*").alias("c"))
     best = counted.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "v"))).filter(F.col("k") <= PARTNERS)
     return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -280,38 +279,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("m"))
 
     known = ws.table(nodes.select("node", F.col("node").alias("comp")).distinct(), "known-0")
-    own = ws.table(shared_postings(posted).join(nodes, "g").withColumn("n", F.shiftright("g", 28)).select("t", "n", "node"), "postings")
+    own = ws.table(shared_postings(posted).join(nodes, "g").withColumn("n", F.shiftright("g", 28)).select("t", "n", "at", "node"), "postings")
     ws.drop("index")
     inside = nodes.join(heads.filter("m > 1"), "g")
     touched = own.select(F.col("node").alias("id")).union(inside.select("node")).distinct()
     hashed = ws.table(sets_of(rows, ws.table(touched, "touched")), "sets")
     links = verified(inside.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v")), hashed, ws, "links-0", percent)
-    turn = 0
+    turn, found = 0, links.count()
     while True:
-        if turn or not links.isEmpty():
+        if found:
             known = merged(known, links, ws, f"known-{turn + 1}")
         ws.drop(f"links-{turn}", "left")
         turn += 1
         now = own.join(known, "node")
-        mixed = now.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("c")).filter("c > 1")
-        pairs = ws.table(mixed.select("t", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), "k"), "mixed")
-        todo = pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        left = ws.table(now.join(pairs.select("t"), "t"), "left")
-        if todo[0] <= EXACT_AT * todo[1]:
+        mixed = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("t")
+        left = ws.table(now.join(mixed, "t"), "left")
+        if turn > 1 and found < MERGE_WHILE * left.select("node").distinct().count():
             break
         links = verified(leaders(left, turn, percent), hashed, ws, f"links-{turn}", percent)
-        if links.isEmpty():
+        found = links.count()
+        if not found:
             break
 
-    # What is left: every pair of nodes with a common token in different components.
+    # What is left: every pair of nodes in different components with a token that can be the first they have in common.
     a, b = left.alias("a"), left.alias("b")
-    shared = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))) & size_fits("a.n", "b.n", percent))
-    counted = shared.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).agg(F.count("*").alias("c"))
-    prefix = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
-    need = F.ceil((F.col("nu") + F.col("nv")) * percent / (100 + percent))
-    # With an overlap of `need`, the first n - need + l tokens of both sets share l; l is the most that both prefixes cover.
-    enough = F.least(prefix("nu") - F.col("nu") + need, prefix("nv") - F.col("nv") + need)
-    last = counted.filter((F.col("c") >= enough) | (F.col("nv") == int(_SIZE))).select("u", "v")
+    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
+    last = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & order & may_link("a", "b", percent)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     twins = inside.select("g", "node").join(known, "node")
     last = last.union(twins.alias("a").join(twins.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select("a.node", "b.node")).distinct()
     known = merged(known, verified(last, hashed, ws, "links-last", percent), ws, "known-last")

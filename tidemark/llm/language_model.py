@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numtext import mix, shard_of, slices, words
-from .workspace import Workspace, shards
+from .workspace import Workspace, dealt, shards
 
 GATHER_BYTES = 12 << 20
 BEGIN = np.uint64(0xB5297A4D3F84D5B5)
@@ -180,7 +180,7 @@ def merge_pairs(rows: DataFrame, folder: str, n: int) -> DataFrame:
                     col.append(v)
         return pa.table([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:4]), pa.array(out[4], pa.list_(pa.int64()))], names=["shard", "words", "counts", "contexts", "stats"])
 
-    return rows.groupBy("shard").applyInArrow(run, WORDS)
+    return dealt(rows).applyInArrow(run, WORDS)
 
 
 def merge_words(rows: DataFrame, folder: str) -> DataFrame:
@@ -192,7 +192,7 @@ def merge_words(rows: DataFrame, folder: str) -> DataFrame:
         store(f"{folder}/words-{table.column('shard')[0].as_py():06d}", {"word": word, "count": count, "contexts": contexts.astype("<u4")})
         return pa.table({"sums": pa.array([[int(count.sum()), len(word), int(contexts.sum()), *histogram(contexts)]], pa.list_(pa.int64()))})
 
-    return rows.groupBy("shard").applyInArrow(run, "sums array<long>")
+    return dealt(rows).applyInArrow(run, "sums array<long>")
 
 
 def discounts(n: list[int]) -> np.ndarray:

@@ -19,11 +19,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numtext import grams, longs, shard_of, words
-from .workspace import Workspace, shards
+from .workspace import Workspace, dealt, labels, shards
 
 WINDOW = 20
 ANCHOR = 8
@@ -33,12 +33,6 @@ _ONE = np.uint64(1)
 _EDGE, _MANY = np.uint32(0), np.uint32(2)  # a text's end; different words. Words are odd.
 
 
-def labels(spark: SparkSession, n: int) -> list[int]:
-    """n numbers that Spark's hash deals to n partitions, one to each."""
-    rows = spark.range(32 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
-    return [r["id"] for r in sorted(rows, key=lambda r: r["p"])]
-
-
 def bucketed(docs: DataFrame, ws: Workspace, n: int) -> tuple[DataFrame, str]:
     """The documents as a bucketed table: later groupings by bucket need no shuffle of texts."""
     spark = docs.sparkSession
@@ -322,13 +316,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ws.drop()
     by = table.groupBy("b")
     sent = by.applyInArrow(send_anchors(n, window, anchor), BLOBS)
-    repeated = ws.table(sent.groupBy("shard").applyInArrow(answer_anchors, "b long, x binary"), "anchors")
+    repeated = ws.table(dealt(sent).applyInArrow(answer_anchors, "b long, x binary"), "anchors")
     sent = by.cogroup(repeated.groupBy("b")).applyInArrow(send_nodes(n, window, anchor), BLOBS)
-    nodes = ws.table(sent.groupBy("shard").applyInArrow(answer_nodes, "b long, x binary"), "nodes")
+    nodes = ws.table(dealt(sent).applyInArrow(answer_nodes, "b long, x binary"), "nodes")
     ws.drop("anchors")
     paths = ws.table(by.cogroup(nodes.groupBy("b")).applyInArrow(send_paths(n, window), PATHS), "paths")
     ws.drop("nodes")
-    later = paths.filter("shard >= 0").groupBy("shard").applyInArrow(later_paths, SPANS).unionByName(paths.filter("shard < 0").select("b", "docs", "starts", "ends"))
+    later = dealt(paths.filter("shard >= 0")).applyInArrow(later_paths, SPANS).unionByName(paths.filter("shard < 0").select("b", "docs", "starts", "ends"))
     later = ws.table(later, "spans")
     ws.drop("paths")
     out = by.cogroup(later.groupBy("b")).applyInArrow(cut_out(pa.int64(), with_text), "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

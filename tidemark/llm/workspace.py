@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +48,15 @@ class Workspace:
 def shards(spark: SparkSession) -> int:
     """How many shards a hash space is cut into: the session's shuffle partitions, which follow the input's size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def labels(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that Spark's hash deals to n partitions, one to each."""
+    rows = spark.range(32 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    return [r["id"] for r in sorted(rows, key=lambda r: r["p"])]
+
+
+def dealt(rows: DataFrame) -> GroupedData:
+    """Rows grouped by their shard, a partition for each shard."""
+    known = F.array(*[F.lit(x).cast("long") for x in labels(rows.sparkSession, shards(rows.sparkSession))])
+    return rows.withColumn("__deal", known[F.col("shard")]).groupBy("__deal")
