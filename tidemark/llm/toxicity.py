@@ -20,6 +20,7 @@ WORD_DIMS, CHAR_DIMS, HIDDEN, ATTEND = 12, 12, 10, 8
 CHAR_BUCKETS = 4096
 PER_CLASS = 1000
 MAX_WORDS = 700
+DROPPED = 0.4
 THRESHOLD = 0.7
 BLOCK = 4096
 _CASE = np.arange(256, dtype=np.uint32)
@@ -174,7 +175,7 @@ def logits(net: Network, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 420, batch: int = 192, seed: int = 5) -> Network:
+def fit(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 192, seed: int = 5) -> Network:
     """Trains on windows: at first every window bears its text's label, later a toxic text's worst window only."""
     data = [t.encode() for t in texts]
     buf = np.frombuffer(b"".join(data), np.uint8)
@@ -210,10 +211,11 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 420, batch: int = 192
         at = at.reshape(len(pick), WINDOW)
         some_length = length[used]
         some = grams[np.repeat(starts[used], some_length) + np.arange(int(some_length.sum())) - np.repeat(np.cumsum(some_length) - some_length, some_length)]
-        x = net.inputs(row[used], some, some_length)
+        vectors = np.where(r.random(len(used)) < DROPPED, 0, row[used])  # now and then only the characters speak
+        x = net.inputs(vectors, some, some_length)
         logit, held = net.run(net.gates(x), at, mask, keep=True)
         y = np.concatenate([np.ones(batch // 2), np.zeros(2 * (batch // 4))]).astype(np.float32)
-        g = net.backward((sigmoid(logit) - y) / len(pick), held, x, at, row[used], some, some_length)
+        g = net.backward((sigmoid(logit) - y) / len(pick), held, x, at, vectors, some, some_length)
         rate = 0.02 * (1 - step / (steps + 1)) + 0.002
         for k, v in net.p.items():
             m1[k] += 0.1 * (g[k] - m1[k])
