@@ -1,10 +1,8 @@
-"""Schemas of the tables that the engine reads and writes."""
+"""Schemas (DDL text) of the tables that the engine reads and writes."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+TABLES = {
     "stock_master": "stock_code string, stock_name string, market_type string, is_active boolean, sector_code string, created_at timestamp",
     "daily_price": "date date, stock_code string, close_price double, return_rate double, excess_return double, volume long, sector_return double",
     "news_url": "url_hash string, url string, source string, status string, published_at_hint date, created_at timestamp, collected_at timestamp, source_name string, author_name string, image_url string, is_json_ld boolean, meta_data string",
@@ -24,8 +22,6 @@ _DDL = {
     "system_events": "timestamp timestamp, event_type string, severity string, component string, message string, metadata string",
     "system_health": "check_type string, status string, details string, updated_at timestamp",
 }
-
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 #: Columns that name a row; the last write of a key wins.
 KEYS = {
     "stock_master": ["stock_code"], "daily_price": ["date", "stock_code"], "news_url": ["url_hash"], "news_content": ["url_hash"],
