@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, join_groups
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -75,7 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max_by(F.struct("first", "n"), "batch").alias("g"))
         .select("digest", F.col("g.first.id").alias("keep_id"), F.col("g.first.locator").alias("keep_locator"), F.col("g.n").alias("group_size"))
     )
-    found = ws.table(inbox.drop("locator").join(groups, "digest"), "found")
+    found = ws.table(join_groups(inbox.drop("locator"), ws.table(groups, "keys"), "digest", "group_size"), "found")
 
     # Full bytes on hits. Both joins read the same exchange of the texts; an id that holds several texts is told apart by its digest.
     hits = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest", "keep_id")

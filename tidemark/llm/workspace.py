@@ -60,3 +60,17 @@ def dealt(rows: DataFrame) -> GroupedData:
     """Rows grouped by their shard, a partition for each shard."""
     known = F.array(*[F.lit(x).cast("long") for x in labels(rows.sparkSession, shards(rows.sparkSession))])
     return rows.withColumn("__deal", known[F.col("shard")]).groupBy("__deal")
+
+
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows with their group's columns, where a group can hold a large part of all rows.
+
+    Groups that hold more than one in HOT_GROUPS of all rows, of which there are fewer than HOT_GROUPS, are broadcast; the others meet their
+    rows in a shuffle. groups: a written table, one row per key, with its number of rows in `size`.
+    """
+    bound = (groups.agg(F.sum(size)).first()[0] or 0) / HOT_GROUPS
+    hot = F.broadcast(groups.filter(F.col(size) > bound))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups.filter(F.col(size) <= bound), key))
