@@ -1,6 +1,7 @@
 import plain
 import pytest
 
+from tidemark.llm import components as module
 from tidemark.llm import jaccard_join
 from tidemark.llm.components import components
 from tidemark.llm.workspace import Workspace
@@ -42,7 +43,9 @@ def test_keep_one(docs, corpus):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, v in plain.near(corpus).items() if v[1] == i)
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_a_path_and_a_star(spark, few, monkeypatch):
+    monkeypatch.setattr(module, "FEW_EDGES", few)
     edges = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "t")).collect()}
     assert got == {k: 0 for k in range(51)} | {k: 100 for k in range(100, 140)} | {200: 200}

@@ -1,12 +1,44 @@
-"""Connected components by alternating large and small stars (Kiveris et al., 2014), as joins over written tables."""
+"""Connected components by alternating large and small stars (Kiveris et al., 2014), as joins over written tables.
+
+Few edges, of a number that is checked, are solved in one task; the rounds of joins are for all beyond.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
+FEW_EDGES = 100_000  # 16 bytes each
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = np.minimum(new, new[new])
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_pydict({"node": nodes, "component": nodes[root]})
+
 
 def _stars(edges: DataFrame) -> DataFrame:
     """Edges (u, v) to edges (v, smallest neighbour of u), for the neighbours that `edges` lists under u."""
@@ -25,6 +57,8 @@ def components(edges: DataFrame, ws: Workspace, name: str = "components") -> Dat
     largest component; each round is written to the shared folder. A node with very many neighbours is pre-aggregated and its
     join may be split.
     """
+    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:  # a check of the size, not a sample
+        return ws.table(edges.select("u", "v").repartition(1).mapInArrow(_solve, "node long, component long"), name)
     own = edges.select("u").union(edges.select("v")).distinct()
     now = ws.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     before, k = None, 0

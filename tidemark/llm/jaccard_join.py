@@ -209,7 +209,10 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar enough; written."""
+    """The pairs (u, v, cu, cv) of nodes whose sets are similar enough; written. Only sets that pairs name are moved."""
+    pairs = ws.table(pairs, f"{name}-pairs")
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    sets = sets.join(small(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,19 +224,22 @@ def verified(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, percen
                 other = widen(b, 6)
                 both = len(mine) + len(other) - len(np.unique(np.concatenate([mine, other])))
                 keep[k] = 100 * both >= percent * (len(mine) + len(other) - both)
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column("u").take(at), batch.column("v").take(at)], names=["u", "v"])
+            yield batch.select(["u", "v", "cu", "cv"]).take(pa.array(np.flatnonzero(keep)))
 
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sb")), "v")
-    return ws.table(both.mapInArrow(run, "u long, v long"), name)
+    out = ws.table(both.select("u", "v", "cu", "cv", "sa", "sb").mapInArrow(run, "u long, v long, cu long, cv long"), name)
+    ws.drop(f"{name}-pairs")
+    return out
 
 
-def merged(known: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(node, comp) after links have joined components; written. A link becomes an edge of components where it is made, so repeated ones are few."""
-    side = lambda c: known.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-    edges = links.join(side("u"), "u").join(side("v"), "v").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    new = components(edges, ws, f"{name}-graph").select(F.col("node").alias("comp"), F.col("component").alias("into"))
-    return ws.table(known.join(new, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), name)
+def small(df: DataFrame) -> DataFrame:
+    """A table for a join: broadcast if it has few rows, beyond that both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def moved(df: DataFrame, into: DataFrame) -> DataFrame:
+    """With the components that links have made of those in column comp."""
+    return df.join(into, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
 
 
 def may_link(a: str, b: str, percent: int) -> F.Column:
@@ -245,15 +251,19 @@ def may_link(a: str, b: str, percent: int) -> F.Column:
     return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & place) | (F.greatest(n, m) == int(_SIZE))
 
 
-def leaders(left: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Up to PARTNERS pairs (u, v) for each node: those with the most tokens in common among the leaders of its tokens. A token's leaders are
-    the nodes first and last in an order by component that changes with each turn."""
+def meeting(left: DataFrame, turn: int) -> DataFrame:
+    """Postings of tokens in several components, with two leaders of the token: the nodes first and last in an order by component that
+    changes with each turn."""
     mark = F.struct(F.xxhash64("comp", F.lit(turn)).alias("hc"), F.xxhash64("node", F.lit(turn)).alias("hn"), "comp", "node", "n", "at")
-    leads = left.groupBy("t").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).select("t", F.array("a", "b").alias("leads"))
-    met = left.join(leads, "t").select(F.struct("node", "comp", "n", "at").alias("p"), F.explode("leads").alias("l")).filter((F.col("p.comp") != F.col("l.comp")) & may_link("p", "l", percent))
-    counted = met.groupBy(F.col("p.node").alias("u"), F.col("l.node").alias("v")).agg(F.count("*").alias("c"))
-    best = counted.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "v"))).filter(F.col("k") <= PARTNERS)
-    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    leads = left.groupBy("t").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a.comp <> b.comp").select("t", F.array("a", "b").alias("leads"))
+    return left.join(leads, "t")
+
+
+def best_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Up to PARTNERS pairs (u, v, cu, cv) for each node: those with the most tokens in common among the leaders it meets."""
+    pair = met.select(F.struct("node", "comp", "n", "at").alias("p"), F.explode("leads").alias("l")).filter((F.col("p.comp") != F.col("l.comp")) & may_link("p", "l", percent))
+    counted = pair.groupBy(F.col("p.node").alias("u"), F.col("l.node").alias("v"), F.col("p.comp").alias("cu"), F.col("l.comp").alias("cv")).agg(F.count("*").alias("c"))
+    return counted.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "v"))).filter(F.col("k") <= PARTNERS).select("u", "v", "cu", "cv")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -278,25 +288,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sets.select("g", "node")
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("m"))
 
-    known = ws.table(nodes.select("node", F.col("node").alias("comp")).distinct(), "known-0")
-    own = ws.table(shared_postings(posted).join(nodes, "g").withColumn("n", F.shiftright("g", 28)).select("t", "n", "at", "node"), "postings")
+    left = shared_postings(posted).join(nodes, "g").select("t", F.shiftright("g", 28).alias("n"), "at", "node", F.col("node").alias("comp"))
+    left = ws.table(left, "postings")
     ws.drop("index")
-    inside = nodes.join(heads.filter("m > 1"), "g")
-    touched = own.select(F.col("node").alias("id")).union(inside.select("node")).distinct()
+    twins = nodes.join(heads.filter("m > 1"), "g")
+    touched = left.select(F.col("node").alias("id")).union(twins.select("node")).distinct()
     hashed = ws.table(sets_of(rows, ws.table(touched, "touched")), "sets")
-    links = verified(inside.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v")), hashed, ws, "links-0", percent)
+    links = verified(twins.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"), F.col("head").alias("cu"), F.col("node").alias("cv")), hashed, ws, "links-0", percent)
+    known, twins = nodes.select("node", F.col("node").alias("comp")).distinct(), twins.select("g", "node", F.col("node").alias("comp"))
     turn, found = 0, links.count()
     while True:
         if found:
-            known = merged(known, links, ws, f"known-{turn + 1}")
-        ws.drop(f"links-{turn}", "left")
+            into = small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, f"graph-{turn}").select(F.col("node").alias("comp"), F.col("component").alias("into")))
+            known, twins, left = moved(known, into), moved(twins, into), moved(left, into)
         turn += 1
-        now = own.join(known, "node")
-        mixed = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("t")
-        left = ws.table(now.join(mixed, "t"), "left")
+        met = ws.table(meeting(left, turn), f"met-{turn}")
+        ws.drop(f"links-{turn - 1}", f"met-{turn - 1}", "postings")
+        left = met.drop("leads")
         if turn > 1 and found < MERGE_WHILE * left.select("node").distinct().count():
             break
-        links = verified(leaders(left, turn, percent), hashed, ws, f"links-{turn}", percent)
+        links = verified(best_pairs(met, percent), hashed, ws, f"links-{turn}", percent)
         found = links.count()
         if not found:
             break
@@ -304,11 +315,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What is left: every pair of nodes in different components with a token that can be the first they have in common.
     a, b = left.alias("a"), left.alias("b")
     order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
-    last = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & order & may_link("a", "b", percent)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    twins = inside.select("g", "node").join(known, "node")
-    last = last.union(twins.alias("a").join(twins.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select("a.node", "b.node")).distinct()
-    known = merged(known, verified(last, hashed, ws, "links-last", percent), ws, "known-last")
-    ws.drop("postings", "left", "sets", "links-last")
+    names = [F.col(f"{s}.{c}").alias(x) for c, x in (("node", ""), ("comp", "c")) for s, x in (("a", x + "u"), ("b", x + "v"))]
+    last = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & order & may_link("a", "b", percent)).select(names)
+    last = last.union(twins.alias("a").join(twins.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select(names)).distinct()
+    links = verified(last, hashed, ws, "links-last", percent)
+    known = moved(known, small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, "graph-last").select(F.col("node").alias("comp"), F.col("component").alias("into"))))
+    known = ws.table(known, "known")
+    ws.drop("sets", "links-last", f"met-{turn}")
     labelled = meta.join(sets, ["g", "k1", "k2"], "left").join(known, "node", "left").select("id", F.when(F.col("g") != 0, F.shiftright("g", 28)).otherwise(F.lit(0)).alias("n"), F.coalesce("comp", "id").alias("comp"))
     labelled = ws.table(labelled, "labelled")
     again = labelled.groupBy("id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("m > 1")
