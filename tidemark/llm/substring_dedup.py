@@ -33,14 +33,17 @@ _ONE = np.uint64(1)
 _EDGE, _MANY = np.uint32(0), np.uint32(2)  # a text's end; different words. Words are odd.
 
 
-def bucketed(docs: DataFrame, ws: Workspace, n: int) -> tuple[DataFrame, str]:
-    """The documents as a bucketed table: later groupings by bucket need no shuffle of texts."""
+def bucketed(docs: DataFrame, ws: Workspace, n: int) -> DataFrame:
+    """The documents as a bucketed table: later groupings by bucket need no shuffle of texts. Only its files outlive this call, not
+    its name in the catalogue."""
     spark = docs.sparkSession
     name = f"tidemark_{uuid.uuid4().hex}"
     known = F.array(*[F.lit(x).cast("long") for x in labels(spark, n)])
     rows = docs.withColumn("b", known[F.pmod(F.xxhash64("id", "text"), F.size(known).cast("long")).cast("int")])
     rows.repartition(n, "b").write.bucketBy(n, "b").sortBy("b").format("parquet").option("path", ws.path("documents")).saveAsTable(name)
-    return spark.table(name), name
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 class Bucket:
@@ -312,7 +315,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ws = Workspace(spark, "substring-dedup")
     n = shards(spark)
     anchor = min(ANCHOR, max(1, window // 2))
-    table, name = bucketed(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), ws, BUCKETS_PER_SHARD * n)
+    table = bucketed(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), ws, BUCKETS_PER_SHARD * n)
     ws.drop()
     by = table.groupBy("b")
     sent = by.applyInArrow(send_anchors(n, window, anchor), BLOBS)
