@@ -41,7 +41,7 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), tokenizer())
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer()).withColumn("length", F.col("length").cast("long"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
