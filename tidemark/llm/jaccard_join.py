@@ -30,7 +30,7 @@ BLOCK_BITS = 16
 GATHER_BYTES = 24 << 20
 BROADCAST_IDS = 500_000
 PARTNERS = 3
-MERGE_WHILE = 0.02  # links found per node left
+MERGE_WHILE = 0.05  # links found per node left
 _SIZE = np.uint64((1 << 20) - 1)
 FAR = 65535
 
@@ -252,10 +252,14 @@ def may_link(a: str, b: str, percent: int) -> F.Column:
 
 
 def meeting(left: DataFrame, turn: int) -> DataFrame:
-    """Postings of tokens in several components, with two leaders of the token: the nodes first and last in an order by component that
-    changes with each turn."""
-    mark = F.struct(F.xxhash64("comp", F.lit(turn)).alias("hc"), F.xxhash64("node", F.lit(turn)).alias("hn"), "comp", "node", "n", "at")
-    leads = left.groupBy("t").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a.comp <> b.comp").select("t", F.array("a", "b").alias("leads"))
+    """Postings of tokens in several components, with three leaders of the token: of its first component, which is often the largest, the first
+    node and one that changes with each turn; and a node of another component, which changes too."""
+    hashed = F.xxhash64("node", F.lit(turn))
+    mark = lambda *first: F.struct(*first, "comp", "node", "n", "at")
+    leads = left.groupBy("t").agg(
+        F.min(mark(F.col("comp").alias("x"), F.col("node").alias("y"))).alias("a"), F.min(mark(F.col("comp").alias("x"), hashed.alias("y"))).alias("b"),
+        F.max(mark(F.xxhash64("comp", F.lit(turn)).alias("x"), hashed.alias("y"))).alias("c"), F.max("comp").alias("last"),
+    ).filter("a.comp <> last").select("t", F.array_distinct(F.transform(F.array("a", "b", "c"), lambda m: F.struct(m.comp.alias("comp"), m.node.alias("node"), m.n.alias("n"), m["at"].alias("at")))).alias("leads"))
     return left.join(leads, "t")
 
 
