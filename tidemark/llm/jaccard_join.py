@@ -29,7 +29,7 @@ SKETCH_BITS = 24
 BLOCK_BITS = 16
 GATHER_BYTES = 24 << 20
 BROADCAST_IDS = 500_000
-PARTNERS = 3
+PARTNERS = 2
 MERGE_WHILE = 0.05  # links found per node left
 _SIZE = np.uint64((1 << 20) - 1)
 FAR = 65535
@@ -293,11 +293,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("m"))
 
     left = shared_postings(posted).join(nodes, "g").select("t", F.shiftright("g", 28).alias("n"), "at", "node", F.col("node").alias("comp"))
-    left = ws.table(left, "postings")
+    n = shards(spark)
+    left = ws.bucketed(left.repartition(n, "t"), "postings", "t", n)
     ws.drop("index")
     twins = nodes.join(heads.filter("m > 1"), "g")
     touched = left.select(F.col("node").alias("id")).union(twins.select("node")).distinct()
-    hashed = ws.table(sets_of(rows, ws.table(touched, "touched")), "sets")
+    hashed = ws.bucketed(sets_of(rows, ws.table(touched, "touched")).repartition(n, "id"), "sets", "id", n)
     links = verified(twins.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"), F.col("head").alias("cu"), F.col("node").alias("cv")), hashed, ws, "links-0", percent)
     known, twins = nodes.select("node", F.col("node").alias("comp")).distinct(), twins.select("g", "node", F.col("node").alias("comp"))
     turn, found = 0, links.count()
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             into = small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, f"graph-{turn}").select(F.col("node").alias("comp"), F.col("component").alias("into")))
             known, twins, left = moved(known, into), moved(twins, into), moved(left, into)
         turn += 1
-        met = ws.table(meeting(left, turn), f"met-{turn}")
+        met = ws.bucketed(meeting(left, turn), f"met-{turn}", "t", n)
         ws.drop(f"links-{turn - 1}", f"met-{turn - 1}", "postings")
         left = met.drop("leads")
         if turn > 1 and found < MERGE_WHILE * left.select("node").distinct().count():

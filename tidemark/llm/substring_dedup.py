@@ -14,7 +14,6 @@ occurs, so a passage that very many documents share costs one entry per bucket.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +33,10 @@ _EDGE, _MANY = np.uint32(0), np.uint32(2)  # a text's end; different words. Word
 
 
 def bucketed(docs: DataFrame, ws: Workspace, n: int) -> DataFrame:
-    """The documents as a bucketed table: later groupings by bucket need no shuffle of texts. Only its files outlive this call, not
-    its name in the catalogue."""
-    spark = docs.sparkSession
-    name = f"tidemark_{uuid.uuid4().hex}"
-    known = F.array(*[F.lit(x).cast("long") for x in labels(spark, n)])
+    """The documents as a bucketed table: later groupings by bucket need no shuffle of texts."""
+    known = F.array(*[F.lit(x).cast("long") for x in labels(docs.sparkSession, n)])
     rows = docs.withColumn("b", known[F.pmod(F.xxhash64("id", "text"), F.size(known).cast("long")).cast("int")])
-    rows.repartition(n, "b").write.bucketBy(n, "b").sortBy("b").format("parquet").option("path", ws.path("documents")).saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return table
+    return ws.bucketed(rows.repartition(n, "b"), "documents", "b", n)
 
 
 class Bucket:

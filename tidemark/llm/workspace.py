@@ -36,6 +36,15 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        """A table in n buckets of a key: later groupings and joins by it need no shuffle of these rows. Only its files outlive this call, not
+        its name in the catalogue."""
+        known = f"tidemark_{uuid.uuid4().hex}"
+        df.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", self.path(name)).saveAsTable(known)
+        table = self.spark.table(known)
+        self.spark.sql(f"DROP TABLE {known}")
+        return table
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads, and lets the driver's JVM free the shuffle files of finished steps."""
         jvm = self.spark.sparkContext._jvm
