@@ -25,9 +25,9 @@ from .workspace import Workspace, dealt, shards
 
 SHINGLE = 5
 PERCENT = 80
-SKETCH_BITS = 24
+SKETCH_BITS = 25
 BLOCK_BITS = 16
-GATHER_BYTES = 24 << 20
+GATHER_BYTES = 12 << 20
 BROADCAST_IDS = 500_000
 PARTNERS = 2
 MERGE_WHILE = 0.05  # links found per node left
@@ -69,10 +69,10 @@ def sketch(docs: DataFrame) -> np.ndarray:
     It only orders tokens; cells that several shingles share cost time, not results."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SKETCH_BITS, np.uint32)
+        table = np.zeros(1 << SKETCH_BITS, np.uint16)
         for _, buf, offsets in slices(batches, "text"):
             cell, n = np.unique(shingle_hashes(buf, offsets)[0] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            table[cell] += n.astype(np.uint32)
+            table[cell] = np.minimum(table[cell] + n, 65535)
         number, data = [], []
         for k, part in enumerate(table.reshape(-1, 1 << BLOCK_BITS)):
             at = np.flatnonzero(part)
@@ -196,8 +196,7 @@ def shared_postings(rows: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, s): the sorted shingle hashes (48 bits each) of the documents named in ids."""
-    few = ids.count() <= BROADCAST_IDS  # 8 bytes each; beyond that both sides are shuffled
-    wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    wanted = docs.join(small(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offsets in slices(batches, "text"):
@@ -208,11 +207,11 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "id long, s binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
-    """The pairs (u, v, cu, cv) of nodes whose sets are similar enough; written. Only sets that pairs name are moved."""
+def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
+    """The pairs (u, v, cu, cv) of nodes whose sets are similar enough; written. Sets are made anew for the documents that pairs name: one more
+    scan costs less than to keep and move the sets of all that share a token."""
     pairs = ws.table(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = sets.join(small(ids), "id", "left_semi")
+    sets = ws.table(sets_of(docs, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()), f"{name}-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +227,7 @@ def verified(pairs: DataFrame, sets: DataFrame, ws: Workspace, name: str, percen
 
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sb")), "v")
     out = ws.table(both.select("u", "v", "cu", "cv", "sa", "sb").mapInArrow(run, "u long, v long, cu long, cv long"), name)
-    ws.drop(f"{name}-pairs")
+    ws.drop(f"{name}-pairs", f"{name}-sets")
     return out
 
 
@@ -297,9 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = ws.bucketed(left.repartition(n, "t"), "postings", "t", n)
     ws.drop("index")
     twins = nodes.join(heads.filter("m > 1"), "g")
-    touched = left.select(F.col("node").alias("id")).union(twins.select("node")).distinct()
-    hashed = ws.bucketed(sets_of(rows, ws.table(touched, "touched")).repartition(n, "id"), "sets", "id", n)
-    links = verified(twins.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"), F.col("head").alias("cu"), F.col("node").alias("cv")), hashed, ws, "links-0", percent)
+    links = verified(twins.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"), F.col("head").alias("cu"), F.col("node").alias("cv")), rows, ws, "links-0", percent)
     known, twins = nodes.select("node", F.col("node").alias("comp")).distinct(), twins.select("g", "node", F.col("node").alias("comp"))
     turn, found = 0, links.count()
     while True:
@@ -312,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = met.drop("leads")
         if turn > 1 and found < MERGE_WHILE * left.select("node").distinct().count():
             break
-        links = verified(best_pairs(met, percent), hashed, ws, f"links-{turn}", percent)
+        links = verified(best_pairs(met, percent), rows, ws, f"links-{turn}", percent)
         found = links.count()
         if not found:
             break
@@ -323,10 +320,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [F.col(f"{s}.{c}").alias(x) for c, x in (("node", ""), ("comp", "c")) for s, x in (("a", x + "u"), ("b", x + "v"))]
     last = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & order & may_link("a", "b", percent)).select(names)
     last = last.union(twins.alias("a").join(twins.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select(names)).distinct()
-    links = verified(last, hashed, ws, "links-last", percent)
+    links = verified(last, rows, ws, "links-last", percent)
     known = moved(known, small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, "graph-last").select(F.col("node").alias("comp"), F.col("component").alias("into"))))
     known = ws.table(known, "known")
-    ws.drop("sets", "links-last", f"met-{turn}")
+    ws.drop("links-last", f"met-{turn}")
     labelled = meta.join(sets, ["g", "k1", "k2"], "left").join(known, "node", "left").select("id", F.when(F.col("g") != 0, F.shiftright("g", 28)).otherwise(F.lit(0)).alias("n"), F.coalesce("comp", "id").alias("comp"))
     labelled = ws.table(labelled, "labelled")
     again = labelled.groupBy("id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("m > 1")
