@@ -29,8 +29,9 @@ SKETCH_BITS = 25
 BLOCK_BITS = 16
 GATHER_BYTES = 12 << 20
 BROADCAST_IDS = 500_000
+SET_BYTES = 5  # of a shingle's hash in a set: two sets of 1000 shingles meet by chance in one of a million pairs
 PARTNERS = 2
-MERGE_WHILE = 0.05  # links found per node left
+MERGE_WHILE = 0.1  # links found per node left
 _SIZE = np.uint64((1 << 20) - 1)
 FAR = 65535
 
@@ -195,14 +196,14 @@ def shared_postings(rows: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the sorted shingle hashes (48 bits each) of the documents named in ids."""
+    """(id, s): the sorted shingle hashes (SET_BYTES each) of the documents named in ids."""
     wanted = docs.join(small(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offsets in slices(batches, "text"):
             h, start = shingle_hashes(buf, offsets)
-            h = mix(h) >> np.uint64(16)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([narrow(np.unique(h[a:b]), 6) for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["id", "s"])
+            h = mix(h) >> np.uint64(64 - 8 * SET_BYTES)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([narrow(np.unique(h[a:b]), SET_BYTES) for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["id", "s"])
 
     return wanted.mapInArrow(run, "id long, s binary")
 
@@ -219,15 +220,15 @@ def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, percen
             last, mine = None, None
             for k, (a, b) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
                 if a != last:
-                    last, mine = a, widen(a, 6)
-                other = widen(b, 6)
+                    last, mine = a, widen(a, SET_BYTES)
+                other = widen(b, SET_BYTES)
                 both = len(mine) + len(other) - len(np.unique(np.concatenate([mine, other])))
                 keep[k] = 100 * both >= percent * (len(mine) + len(other) - both)
             yield batch.select(["u", "v", "cu", "cv"]).take(pa.array(np.flatnonzero(keep)))
 
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sb")), "v")
     out = ws.table(both.select("u", "v", "cu", "cv", "sa", "sb").mapInArrow(run, "u long, v long, cu long, cv long"), name)
-    ws.drop(f"{name}-pairs", f"{name}-sets")
+    ws.drop(f"{name}-sets")
     return out
 
 
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twins = nodes.join(heads.filter("m > 1"), "g")
     links = verified(twins.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"), F.col("head").alias("cu"), F.col("node").alias("cv")), rows, ws, "links-0", percent)
     known, twins = nodes.select("node", F.col("node").alias("comp")).distinct(), twins.select("g", "node", F.col("node").alias("comp"))
-    turn, found = 0, links.count()
+    turn, found, rounds = 0, links.count(), [0]
     while True:
         if found:
             into = small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, f"graph-{turn}").select(F.col("node").alias("comp"), F.col("component").alias("into")))
@@ -310,6 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn > 1 and found < MERGE_WHILE * left.select("node").distinct().count():
             break
         links = verified(best_pairs(met, percent), rows, ws, f"links-{turn}", percent)
+        rounds.append(turn)
         found = links.count()
         if not found:
             break
@@ -320,10 +322,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [F.col(f"{s}.{c}").alias(x) for c, x in (("node", ""), ("comp", "c")) for s, x in (("a", x + "u"), ("b", x + "v"))]
     last = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & order & may_link("a", "b", percent)).select(names)
     last = last.union(twins.alias("a").join(twins.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select(names)).distinct()
-    links = verified(last, rows, ws, "links-last", percent)
+    tested = spark.read.parquet(*[ws.path(f"links-{k}-pairs") for k in rounds]).select("u", "v")
+    links = verified(last.join(tested, ["u", "v"], "left_anti"), rows, ws, "links-last", percent)
     known = moved(known, small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, "graph-last").select(F.col("node").alias("comp"), F.col("component").alias("into"))))
     known = ws.table(known, "known")
-    ws.drop("links-last", f"met-{turn}")
+    ws.drop("links-last", f"met-{turn}", "links-last-pairs", *(f"links-{k}-pairs" for k in rounds))
     labelled = meta.join(sets, ["g", "k1", "k2"], "left").join(known, "node", "left").select("id", F.when(F.col("g") != 0, F.shiftright("g", 28)).otherwise(F.lit(0)).alias("n"), F.coalesce("comp", "id").alias("comp"))
     labelled = ws.table(labelled, "labelled")
     again = labelled.groupBy("id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("m > 1")
