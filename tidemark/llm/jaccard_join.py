@@ -27,7 +27,8 @@ SHINGLE = 5
 PERCENT = 80
 SKETCH_BITS = 25
 BLOCK_BITS = 16
-GATHER_BYTES = 12 << 20
+GATHER_BYTES = 4 << 20
+SLICE = 2 << 20
 BROADCAST_IDS = 500_000
 SET_BYTES = 5  # of a shingle's hash in a set: two sets of 1000 shingles meet by chance in one of a million pairs
 PARTNERS = 2
@@ -71,7 +72,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << SKETCH_BITS, np.uint16)
-        for _, buf, offsets in slices(batches, "text"):
+        for _, buf, offsets in slices(batches, "text", SLICE):
             cell, n = np.unique(shingle_hashes(buf, offsets)[0] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             table[cell] = np.minimum(table[cell] + n, 65535)
         number, data = [], []
@@ -140,7 +141,7 @@ def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = held.value
         meta, tok, grp, place, size = [], [], [], [], 0
-        for batch, buf, offsets in slices(batches, "text"):
+        for batch, buf, offsets in slices(batches, "text", SLICE):
             h, start = shingle_hashes(buf, offsets)
             # Rare shingles first: the frequency level, then the hash.
             h = (order[h >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (mix(h) >> np.uint64(8))
@@ -200,7 +201,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = docs.join(small(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offsets in slices(batches, "text"):
+        for batch, buf, offsets in slices(batches, "text", SLICE):
             h, start = shingle_hashes(buf, offsets)
             h = mix(h) >> np.uint64(64 - 8 * SET_BYTES)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([narrow(np.unique(h[a:b]), SET_BYTES) for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["id", "s"])
