@@ -239,8 +239,7 @@ def walk_forward(spark, d):
 
 @R.add()
 def grid_scan(spark, d):
-    few = _lagged(spark, d).filter(F.col("stock_code") < "000005")
-    return models.grid_scan(few, "stock_code", "date", list(range(3, 13)), [1e-5, 5e-5, 1e-4, 5e-4])
+    return models.grid_scan(_lagged(spark, d), "stock_code", "date", list(range(3, 13)), [1e-5, 5e-5, 1e-4, 5e-4])
 
 
 @R.add()
