@@ -1,5 +1,7 @@
 """Queries give a result for every stock and for the whole of each text."""
 
+import datetime
+
 import numpy as np
 import pytest
 
@@ -22,3 +24,18 @@ def test_grid_scan_covers_every_stock(spark, sf):
         assert r.error is None
         assert r.hit_rate == pytest.approx((np.sign(p) == np.sign(y[cut:])).mean())
         assert r.mae == pytest.approx(np.abs(p - y[cut:]).mean())
+
+
+def documents(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_pivot_distribution_has_every_stock_and_day(spark, tmp_path):
+    d = documents(spark, tmp_path, [(k, "text", "en", "src1", 4) for k in (0, 3, 24, 24 + 241 * 25, 30, 55, 199)])
+    got = {r.day: {k: v for k, v in r.asDict().items() if k != "day"} for r in catalogue.QUERIES["pivot_distribution"](spark, d).collect()}
+    want = {}
+    for k in (0, 3, 24, 24 + 241 * 25, 30, 55, 199):
+        day = str(datetime.date(1995, 1, 2) + datetime.timedelta(k % 241))
+        want.setdefault(day, dict.fromkeys([f"s{s}" for s in range(25)], 0))[f"s{k % 25}"] += 1
+    assert got == want

@@ -265,8 +265,8 @@ def agg_existence_and_totals(spark, d):
 
 @R.add(sql("news", "select strftime(cast(published_at as date), '%Y-%m-%d') as day, " + ", ".join(f"count(*) filter (where stock_code = '{k:06d}') as s{k}" for k in range(5)) + " from news where doc_id % 25 < 5 group by 1"))
 def pivot_distribution(spark, d):
-    n = news(spark, d).filter(F.col("doc_id") % 25 < 5).groupBy(day("published_at").alias("day")).pivot("stock_code", [f"{k:06d}" for k in range(5)]).count().fillna(0)
-    return n.withColumnsRenamed({f"{k:06d}": f"s{k}" for k in range(5)})
+    n = news(spark, d).groupBy(day("published_at").alias("day")).pivot("stock_code", [f"{k:06d}" for k in range(25)]).count().fillna(0)
+    return n.withColumnsRenamed({f"{k:06d}": f"s{k}" for k in range(25)})
 
 
 @R.add(sql("dict", "select word, round(sum(beta), 6) as total, count(*) as n, round(max(abs(beta)), 6) as peak from dict where not regexp_matches(word, '^[0-9]+$') group by 1 having count(*) >= 2"))
