@@ -39,3 +39,17 @@ def test_pivot_distribution_has_every_stock_and_day(spark, tmp_path):
         day = str(datetime.date(1995, 1, 2) + datetime.timedelta(k % 241))
         want.setdefault(day, dict.fromkeys([f"s{s}" for s in range(25)], 0))[f"s{k % 25}"] += 1
     assert got == want
+
+
+def test_sentence_split_reads_the_whole_text(spark, tmp_path):
+    said = [f"Sentence number {k} has some words." for k in range(400)]
+    d = documents(spark, tmp_path, [(1, " ".join(said), "en", "src1", 0), (2, "\n".join(said[:3]), "en", "src1", 0)])
+    got = {r.doc_id: (r.n, r.joined) for r in catalogue.QUERIES["sentence_split"](spark, d).collect()}
+    assert got == {1: (400, "|".join(said)), 2: (3, "|".join(said[:3]))}
+
+
+def test_relevance_score_counts_over_the_whole_content(spark, tmp_path):
+    pad = "x" * 5000
+    rows = [(1, pad + "7777", "en", "src7", 0), (2, pad + "77772222222", "en", "src7", 0), (3, "7" + pad, "en", "src7", 0), (4, "7" + pad + "444", "en", "src7", 0)]
+    got = {r.doc_id: (r.relevance_score, r.is_relevant) for r in catalogue.QUERIES["relevance_score"](spark, documents(spark, tmp_path, rows)).collect()}
+    assert got == {1: (20, False), 2: (0, False), 3: (80, True), 4: (70, True)}

@@ -181,7 +181,7 @@ def word_verification(spark, d):
 
 @R.add("select doc_id, len(s) as n, array_to_string(s, '|') as joined from (select doc_id, list_filter(list_transform(string_split(regexp_replace(substring(text, 1, 2000), '([.!?])\\s+', '\\1\n', 'g'), chr(10) ), lambda x: trim(x)), lambda x: length(x) > 5) as s from (select doc_id, replace(text, chr(10), ' ') as text from documents))")
 def sentence_split(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 2000).alias("t"))
+    t = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
     s = expr.sentences(F.col("t"))
     return t.select("doc_id", F.size(s).cast("long").alias("n"), F.array_join(s, "|").alias("joined"))
 
@@ -198,7 +198,7 @@ a as (select doc_id, replace(title, ' ', '') as head, replace(substring(content,
 c as (select *, (length(head || body) - length(replace(head || body, who, ''))) // length(who) as cnt, (length(head || body) - length(replace(head || body, rival, ''))) // length(rival) as riv, case when contains(head, who) then 50 else 0 end + case when contains(substring(body, 1, 200), who) then 20 else 0 end as b from a)
 select doc_id, case when cnt = 0 and b = 0 then 0 else greatest(0, b + least(cnt * 5, 20) - case when riv > cnt then case when contains(head, who) then 10 else 30 end else 0 end) end as relevance_score, case when cnt = 0 and b = 0 then 0 else greatest(0, b + least(cnt * 5, 20) - case when riv > cnt then case when contains(head, who) then 10 else 30 end else 0 end) end >= 30 as is_relevant from c""").replace("news)\nwith n2", "news),\nn2").replace("\nwith n2", ",\nn2", 1))
 def relevance_score(spark, d):
-    n = news(spark, d).select("doc_id", "title", F.substring("content", 1, 3000).alias("content"), F.substring("source", 4, 20).alias("name"), F.array((F.col("doc_id") % 10).cast("string")).alias("rivals"))
+    n = news(spark, d).select("doc_id", "title", "content", F.substring("source", 4, 20).alias("name"), F.array((F.col("doc_id") % 10).cast("string")).alias("rivals"))
     return scoring.relevance(n, None, "doc_id", "title", "content", "name").select("doc_id", F.col("relevance_score").cast("long").alias("relevance_score"), "is_relevant")
 
 
