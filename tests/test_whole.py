@@ -1,6 +1,7 @@
 """Queries give a result for every stock and for the whole of each text."""
 
 import datetime
+import hashlib
 
 import numpy as np
 import pytest
@@ -53,3 +54,10 @@ def test_relevance_score_counts_over_the_whole_content(spark, tmp_path):
     rows = [(1, pad + "7777", "en", "src7", 0), (2, pad + "77772222222", "en", "src7", 0), (3, "7" + pad, "en", "src7", 0), (4, "7" + pad + "444", "en", "src7", 0)]
     got = {r.doc_id: (r.relevance_score, r.is_relevant) for r in catalogue.QUERIES["relevance_score"](spark, documents(spark, tmp_path, rows)).collect()}
     assert got == {1: (20, False), 2: (0, False), 3: (80, True), 4: (70, True)}
+
+
+def test_ngrams_cover_the_whole_content(spark, tmp_path):
+    words = [f"word{k}" for k in range(500)]
+    got = {r.doc_id: (r.n, r.digest) for r in catalogue.QUERIES["ngrams_123"](spark, documents(spark, tmp_path, [(1, " ".join(words), "en", "src1", 0), (2, "One two", "en", "src1", 0), (3, "", "en", "src1", 0)])).collect()}
+    plain = lambda w: [";".join(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)]
+    assert got == {i: (len(plain(w)), hashlib.sha256(" ".join(plain(w)).encode()).hexdigest()) for i, w in ((1, words), (2, ["one", "two"]), (3, []))}

@@ -105,7 +105,8 @@ def tokenize_unigrams(spark, d):
 @R.add(sql("news", """select doc_id, len(t) + greatest(len(t) - 1, 0) + greatest(len(t) - 2, 0) as n, sha256(array_to_string(list_concat(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ';' || t[i + 1])), list_transform(range(1, len(t) - 1), lambda i: t[i] || ';' || t[i + 1] || ';' || t[i + 2])), ' ')) as digest
 from (select doc_id, list_filter(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), lambda w: length(w) > 1) as t from news)"""))
 def ngrams_123(spark, d):
-    g = news(spark, d).select("doc_id", expr.ngrams(tokens(F.col("title")), 3).alias("g"))
+    t = news(spark, d).select("doc_id", tokens(F.col("content")).alias("t"))  # a column of its own: else every n-gram splits the text again
+    g = t.select("doc_id", expr.ngrams(F.col("t"), 3).alias("g"))
     return g.select("doc_id", F.size("g").cast("long").alias("n"), F.sha2(F.array_join("g", " "), 256).alias("digest"))
 
 
