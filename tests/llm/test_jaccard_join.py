@@ -49,3 +49,9 @@ def test_components_of_a_path_and_a_star(spark, few, monkeypatch):
     edges = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "t")).collect()}
     assert got == {k: 0 for k in range(51)} | {k: 100 for k in range(100, 140)} | {200: 200}
+
+
+def test_sizes_beyond_twenty_bits(spark):
+    words = [f"w{k}" for k in range((1 << 20) + 500)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-7])), (3, "a b c d e f")], "doc_id long, text string")
+    assert by_id(jaccard_join.near_duplicates(df)) == {1: ((1 << 20) + 496, 1), 2: ((1 << 20) + 489, 1), 3: (2, 3)}

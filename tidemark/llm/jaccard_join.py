@@ -121,7 +121,7 @@ INDEX = "kind int, shard int, a binary, b binary, c binary"
 
 
 def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
-    """Rows of kind 0: ids (a), groups (b) and set keys (c) of documents; of kind 1: tokens (a), groups (b) and places in the group's order
+    """Rows of kind 0: ids (a), groups (b), and set keys and sizes (c) of documents; of kind 1: tokens (a), groups (b) and places in the group's order
     (c, 16 bits, larger ones saturate) of postings, by shard.
 
     A group is its set size (20 bits, larger ones saturate) and 28 bits of its prefix's hash; groups that collide are verified like others.
@@ -146,7 +146,7 @@ def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
             # Rare shingles first: the frequency level, then the hash.
             h = (order[h >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (mix(h) >> np.uint64(8))
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype("<i8")
-            group, key = np.zeros(len(batch), np.uint64), np.zeros((len(batch), 2), "<u8")
+            group, key = np.zeros(len(batch), np.uint64), np.zeros((len(batch), 3), "<u8")
             for k in range(len(batch)):
                 s = np.unique(h[start[k] : start[k + 1]])
                 n = len(s)
@@ -154,7 +154,7 @@ def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
                     continue
                 p = s[: prefix_length(n, percent)]
                 mixed = mix(s)
-                key[k] = mixed.sum(), mix(mixed ^ np.uint64(n)).sum()
+                key[k] = mixed.sum(), mix(mixed ^ np.uint64(n)).sum(), np.uint64(n)
                 group[k] = (min(np.uint64(n), _SIZE) << np.uint64(28)) | (mix(mix(p).sum() + p[-1:])[0] >> np.uint64(36))
                 tok.append(p & np.uint64((1 << 48) - 1))
                 grp.append(np.full(len(p), group[k]))
@@ -171,15 +171,15 @@ def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
 
 
 def documents_of(rows: DataFrame) -> DataFrame:
-    """(id, g, n, k1, k2) of the kind 0 rows; g 0 stands for an empty set."""
+    """(id, g, k1, k2, n) of the kind 0 rows; g 0 stands for an empty set, n is the true size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, c in zip(*(batch.column(x).to_pylist() for x in "abc"), strict=True):
-                g, key = widen(b, 6), np.frombuffer(c, "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), pa.array(g.astype(np.int64)), pa.array(key[:, 0]), pa.array(key[:, 1])], names=["id", "g", "k1", "k2"])
+                g, key = widen(b, 6), np.frombuffer(c, "<i8").reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), pa.array(g.astype(np.int64)), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(key[:, 2])], names=["id", "g", "k1", "k2", "n"])
 
-    return rows.filter("kind = 0").mapInArrow(run, "id long, g long, k1 long, k2 long")
+    return rows.filter("kind = 0").mapInArrow(run, "id long, g long, k1 long, k2 long, n long")
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = moved(known, small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, "graph-last").select(F.col("node").alias("comp"), F.col("component").alias("into"))))
     known = ws.table(known, "known")
     ws.drop("links-last", f"met-{turn}", "links-last-pairs", *(f"links-{k}-pairs" for k in rounds))
-    labelled = meta.join(sets, ["g", "k1", "k2"], "left").join(known, "node", "left").select("id", F.when(F.col("g") != 0, F.shiftright("g", 28)).otherwise(F.lit(0)).alias("n"), F.coalesce("comp", "id").alias("comp"))
+    labelled = meta.join(sets, ["g", "k1", "k2"], "left").join(known, "node", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
     labelled = ws.table(labelled, "labelled")
     again = labelled.groupBy("id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("m > 1")
     if not again.isEmpty():
