@@ -1,8 +1,8 @@
 """Exact deduplication by a keyed stream state that never expires.
 
 Every document becomes an entry of digest, stable identifier and content locator. A structured stream folds the entries
-into a disk-backed (RocksDB) state: for each digest the smallest identifier, its locator and the number of documents. A hit
-(an entry whose digest has a smaller identifier) is only dropped after its full bytes have been compared with the kept ones.
+into a disk-backed (RocksDB) state: for each digest the smallest identifier, its locator and the number of documents. Entries of one
+digest are only dropped after the full bytes of all of them have been compared.
 All of it is DataFrame operations; Python runs on the driver only.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, join_groups
+from .workspace import Workspace, join_groups, salted_semi
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -53,21 +53,17 @@ def fold(spark: SparkSession, inbox: str, schema, out: str, state: str, files_pe
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256, n_rows.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, keep_locator.
 
-    Texts are equal when identical after `normalised`; null equals empty. Rows that repeat both id and text are one
-    document (n_rows says how many there were). A null id sorts after all others and stays only where a group has no
-    other. Other columns, whatever their names, are not read. An empty table gives an empty result.
+    Texts are equal when identical after `normalised`; null equals empty. group_size counts rows, so rows that repeat an id and a text
+    count each, and each is kept if its id is the smallest. A null id sorts after all others and stays only where a group has
+    no other. keep_locator is the file that held the kept row when its entry was made (empty for rows that come from no file). Other
+    columns, whatever their names, are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "exact-dedup")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    entries = (
-        rows.select("id", F.sha2(normalised(F.col("text")), 256).alias("digest"), F.input_file_name().alias("locator"))
-        .groupBy("id", "digest")
-        .agg(F.min("locator").alias("locator"), F.count("*").alias("n_rows"))
-    )
-    inbox = ws.table(entries, "inbox")
+    inbox = ws.table(rows.select("id", F.sha2(normalised(F.col("text")), 256).alias("digest"), F.input_file_name().alias("locator")), "inbox")
     fold(spark, ws.path("inbox"), inbox.schema, ws.path("groups"), ws.path("state"), files_per_batch)
     groups = (
         spark.read.option("recursiveFileLookup", "true").schema("digest string, first struct<no_id:boolean,id:" + dict(inbox.dtypes)["id"] + ",locator:string>, n long, batch int").parquet(ws.path("groups"))
@@ -75,42 +71,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max_by(F.struct("first", "n"), "batch").alias("g"))
         .select("digest", F.col("g.first.id").alias("keep_id"), F.col("g.first.locator").alias("keep_locator"), F.col("g.n").alias("group_size"))
     )
-    found = ws.table(join_groups(inbox.drop("locator"), ws.table(groups, "keys"), "digest", "group_size"), "found")
-
-    # Full bytes on hits. Both joins read the same exchange of the texts; an id that holds several texts is told apart by its digest.
-    hits = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest", "keep_id")
-    wanted = hits.select("id", "digest").union(hits.select("keep_id", "digest")).distinct()
-    texts = ws.table(
-        rows.join(wanted.select(F.col("id").alias("w_id"), "digest"), F.col("id").eqNullSafe(F.col("w_id"))).withColumn("norm", normalised(F.col("text"))).filter(F.sha2("norm", 256) == F.col("digest")).select("id", "digest", "norm").dropDuplicates(["id", "digest"]),
-        "texts",
-    )
-    kept_text = texts.select(F.col("id").alias("k_id"), F.col("digest").alias("k_digest"), F.col("norm").alias("k_norm"))
-    differ = (
-        hits.join(texts.withColumnRenamed("id", "t_id").withColumnRenamed("digest", "t_digest"), F.col("id").eqNullSafe(F.col("t_id")) & (F.col("digest") == F.col("t_digest")))
-        .join(kept_text, F.col("keep_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")))
-        .filter(F.col("norm") != F.col("k_norm"))
-        .select("id", "digest", "norm")
-        .distinct()
-    )
-    differ = ws.table(differ, "differ")
-    out = found.select("id", "keep_id", "group_size", "digest", "n_rows")
+    groups = ws.table(groups, "keys")
+    found = ws.table(join_groups(inbox.drop("locator"), groups, "digest", "group_size"), "found")
+    ws.drop("inbox", "groups", "state")
+
+    # Full bytes on hits: all texts of a digest are equal if the least and the greatest are.
+    texts = rows.select("id", normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2("norm", 256))
+    hits = salted_semi(texts.select("digest", "norm"), groups.filter("group_size > 1"), "digest", "group_size")
+    differ = ws.table(hits.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select("digest"), "differ")
+    out = found.select("id", "keep_id", "group_size", "digest", "keep_locator")
     if not differ.isEmpty():  # texts with one digest but other bytes: each text is a group of its own
-        own = differ.groupBy("digest", "norm").agg(F.min("id").alias("own_id"), F.count("*").alias("own_n"))
-        fixed = differ.join(own, ["digest", "norm"]).select(F.col("id").alias("x_id"), F.col("digest").alias("x_digest"), "own_id", "own_n")
-        left = differ.groupBy("digest").agg(F.count("*").alias("gone"))
-        out = (
-            found.join(fixed, F.col("id").eqNullSafe(F.col("x_id")) & (F.col("digest") == F.col("x_digest")), "left")
-            .join(left, "digest", "left")
-            .select("id", F.when(F.col("own_n").isNull(), F.col("keep_id")).otherwise(F.col("own_id")).alias("keep_id"), F.coalesce("own_n", F.col("group_size") - F.coalesce("gone", F.lit(0))).alias("group_size"), "digest", "n_rows")
-        )
-    ws.drop("texts", "inbox", "groups", "state")
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), "n_rows")
+        apart = texts.join(differ, "digest")
+        own = apart.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+        out = out.join(differ, "digest", "left_anti").unionByName(apart.join(own, ["digest", "norm"]).select("id", "keep_id", "group_size", "digest", F.lit("").alias("keep_locator")))
+    ws.drop("keys")
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), "keep_locator")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat id and text one stays."""
-    seen = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_digest"), F.col("n_rows").alias("__kept_rows"))
-    marked = docs.withColumn("__own_digest", F.sha2(normalised(F.col(f"`{text_col}`")), 256)).join(seen, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")) & (F.col("__own_digest") == F.col("__kept_digest")))
+    stay = exact_dedup(docs, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")).agg(F.count("*").alias("__kept_rows"))
+    marked = docs.withColumn("__own_digest", F.sha2(normalised(F.col(f"`{text_col}`")), 256)).join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")) & (F.col("__own_digest") == F.col("__kept_digest")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     one = marked.filter("__kept_rows = 1").select(columns)
     again = marked.filter("__kept_rows > 1").groupBy("__kept_id", "__kept_digest").agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")

@@ -64,7 +64,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("n_rows")
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("keep_locator")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     bound = (groups.agg(F.sum(size)).first()[0] or 0) / HOT_GROUPS
     hot = F.broadcast(groups.filter(F.col(size) > bound))
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups.filter(F.col(size) <= bound), key))
+
+
+def salted_semi(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows whose key is in groups, where a group can hold a large part of all rows: a group of more than one in as many rows as there are
+    partitions (HOT_GROUPS at least) is dealt in as many pieces as it is larger than that. The rows are read and shuffled once."""
+    most = max(HOT_GROUPS, shards(rows.sparkSession))
+    bound = max(1.0, (groups.agg(F.sum(size)).first()[0] or 0) / most)
+    pieces = groups.select(key, F.ceil(F.col(size) / bound).alias("__pieces"))
+    hot = F.broadcast(pieces.filter("__pieces > 1"))  # fewer than `most` rows
+    dealt_rows = rows.join(hot, key, "left").withColumn("__piece", F.coalesce(F.floor(F.rand(7) * F.col("__pieces")), F.lit(0).cast("long"))).drop("__pieces")
+    wanted = pieces.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__pieces") - 1)).alias("__piece"))  # at most `most` more than groups
+    return dealt_rows.join(wanted, [key, "__piece"], "left_semi").drop("__piece")
