@@ -111,6 +111,47 @@ def test_one_language_is_always_predicted(spark):
     assert [r.lang_pred for r in language_id.predict(df.drop("lang"), language_id.train(df)).collect()] == ["en"] * 3
 
 
+def test_a_language_of_copies_is_learned(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("one text that all rows repeat").alias("text"), F.lit("en").alias("lang"))
+    for k in range(4):
+        model = language_id.train(df.withColumn("text", F.concat("text", F.lit(f" {k}"))), per_language=5)
+        assert {r.lang_pred for r in language_id.predict(df.limit(3), model).collect()} == {"en"}
+
+
+def test_the_most_frequent_labels_are_learned(spark):
+    df = spark.createDataFrame([(k, f"{'abcdefgh'[k % 8] * 3} word{k}", "abcdefgh"[min(k % 8, k % 5)]) for k in range(400)], "doc_id long, text string, lang string")
+    model = language_id.train(df, most_languages=3, most_rows=60)
+    n = Counter(r.lang for r in df.collect())
+    assert sorted(x for names in model.tree.values() for x in names) == sorted(sorted(n, key=lambda x: (-n[x], x))[:3])
+
+
+def plain_votes(model, text):
+    """Families first, then the languages of the winner, by the votes of all pairs; trigrams counted one by one."""
+    b = [x + 32 if 65 <= x <= 90 else 32 if x in (9, 10, 11, 12, 13) else x for x in text.encode()]
+    counts = Counter((((p * 0x9E3779B1 + q * 0x85EBCA77 + r * 0xC2B2AE3D) & 0xFFFFFFFF) * 0x27D4EB2F & 0xFFFFFFFF) >> 20 for p, q, r in zip(b, b[1:], b[2:]))
+    norm = math.sqrt(sum(counts.values())) or 1
+    margin = lambda w: sum(math.sqrt(n) / norm * float(w[k]) for k, n in counts.items()) + float(w[-1])
+
+    def winner(names):
+        votes, sums = Counter(), Counter()
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                m = margin(model.machines[a, b])
+                votes[a if m > 0 else b] += 1
+                sums[a] += math.tanh(m)
+                sums[b] -= math.tanh(m)
+        return min(names, key=lambda x: (-votes[x], -sums[x]))
+
+    return winner(model.tree[winner(sorted(model.tree))])
+
+
+def test_predictions_are_the_plain_votes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs, per_language=80)
+    got = [(r.text, r.lang_pred) for r in language_id.predict(docs.filter("length(text) < 3000").limit(150), model).collect() if r.lang_pred != "und"]
+    assert len({p for _, p in got}) > 2 and all(plain_votes(model, t) == p for t, p in got)
+
+
 def test_trigrams_of_a_long_text_do_not_depend_on_pieces():
     text = b"Some Text " * 250_000
     buf = np.frombuffer(text, np.uint8)

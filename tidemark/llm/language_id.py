@@ -20,6 +20,8 @@ from .numtext import column
 
 DIMS = 4096
 PER_LANGUAGE = 600
+MOST_LANGUAGES = 64
+MOST_ROWS = 9600
 SLICE = 2 << 20
 UNKNOWN = "und"
 #: Families of language codes; a code that is not listed is a family of its own.
@@ -63,9 +65,8 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> np.ndarray:
-    """Weights (the last is the bias) of a linear machine with squared hinge loss, classes weighted alike; y is -1 or 1.
-    Accelerated gradient descent from zero: the result is the same each time."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of a linear machine with squared hinge loss, classes weighted alike; y is -1 or 1, and x has a last column of ones for the
+    bias. Accelerated gradient descent from zero: the result is the same each time."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
     v, rate = w.copy(), 1 / (2 * 2 + penalty)
@@ -117,15 +118,21 @@ def _family(lang: str) -> str:
     return next((f"family {name}" for name, codes in FAMILIES.items() if lang in codes.split()), f"family of {lang}")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on at most about per_language texts of each language, taken by a hash of text and id; their counts of trigrams go to the
-    driver, not their texts. Rows without language or letters teach nothing."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_rows: int = MOST_ROWS) -> Model:
+    """Fits on about per_language different texts of each language, taken by a hash of text and id; their counts of trigrams go to the
+    driver, not their texts.
+
+    Rows without language or letters teach nothing; rows that repeat id and text count once. Of more than most_languages labels the most
+    frequent are learned (ties: by name), and all languages share most_rows: the bounds of the sample, of its memory and of the number
+    of machines. They bound the fit alone.
+    """
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in totals.collect()}  # a row per language
-    if not share:
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("different")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not totals:
         return Model({}, {})
-    wanted = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in share.items()])
+    each = max(1, min(per_language, most_rows // len(totals)))
+    share = {r["lang"]: min(1.0, each / r["different"]) for r in totals}
+    wanted = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in share.items()], F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,21 +140,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for i in range(len(batch)):
                 yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(i, 1), "h": batch.column("h").slice(i, 1), "counts": [np.minimum(trigrams(buf, offsets[i : i + 2]), 65535).astype("<u2").tobytes()]})
 
-    sample = rows.filter(F.pmod("h", F.lit(1 << 20)) < wanted * (1 << 20)).mapInArrow(run, "lang string, h long, counts binary")
-    got = sorted(((r["lang"], r["h"], bytes(r["counts"])) for r in sample.toLocalIterator()), key=lambda r: r[:2])
+    sample = rows.filter(F.pmod("h", F.lit(1 << 20)) < wanted * (1 << 20)).groupBy("lang", "h").agg(F.min("text").alias("text"))  # one text of all copies
+    got = sorted(((r["lang"], r["h"], bytes(r["counts"])) for r in sample.mapInArrow(run, "lang string, h long, counts binary").toLocalIterator()), key=lambda r: r[:2])
+    if not got:
+        return Model({}, {})
     lang = np.array([r[0] for r in got])
-    x = scaled(np.stack([np.frombuffer(r[2], "<u2") for r in got]).astype(np.float32))
+    x = np.ones((len(got), DIMS + 1), np.float32)
+    for k, (_, _, counts) in enumerate(got):
+        x[k, :DIMS] = scaled(np.frombuffer(counts, "<u2").astype(np.float32)[None])[0]
+    del got
+    return fit(x, lang)
+
+
+def fit(x: np.ndarray, lang: np.ndarray) -> Model:
+    """The machines of all pairs of families, and of all pairs of languages in each family, from scaled counts with a column of ones."""
     tree: dict[str, list[str]] = {}
     for k in sorted(set(lang.tolist())):
         tree.setdefault(_family(k), []).append(k)
-    machines = {}
-    for a, b in combinations(sorted(tree), 2):
-        ia, ib = np.isin(lang, tree[a]), np.isin(lang, tree[b])
-        machines[a, b] = linear_svm(x[ia | ib], np.where(ia, 1, -1)[ia | ib].astype(np.float32))
+
+    def machine(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        own = first | second
+        return linear_svm(x if own.all() else x[own], np.where(first, 1, -1)[own].astype(np.float32))
+
+    machines = {(a, b): machine(np.isin(lang, tree[a]), np.isin(lang, tree[b])) for a, b in combinations(sorted(tree), 2)}
     for names in tree.values():
-        for a, b in combinations(names, 2):
-            pair = (lang == a) | (lang == b)
-            machines[a, b] = linear_svm(x[pair], np.where(lang == a, 1, -1)[pair].astype(np.float32))
+        machines |= {(a, b): machine(lang == a, lang == b) for a, b in combinations(names, 2)}
     return Model(tree, machines)
 
 
@@ -159,7 +176,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "score")
-    held = spark.sparkContext.broadcast(model)  # (pairs of languages) x 4097 numbers
+    held = spark.sparkContext.broadcast(model)  # at most 2016 pairs of languages x 4097 numbers of 4 bytes
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
