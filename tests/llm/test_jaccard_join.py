@@ -55,3 +55,16 @@ def test_sizes_beyond_twenty_bits(spark):
     words = [f"w{k}" for k in range((1 << 20) + 500)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-7])), (3, "a b c d e f")], "doc_id long, text string")
     assert by_id(jaccard_join.near_duplicates(df)) == {1: ((1 << 20) + 496, 1), 2: ((1 << 20) + 489, 1), 3: (2, 3)}
+
+
+@pytest.mark.parametrize("piece", [2, 16])
+def test_hot_tokens_are_dealt_and_lose_no_link(docs, corpus, monkeypatch, piece):
+    monkeypatch.setattr(jaccard_join, "PIECE", piece)
+    assert by_id(jaccard_join.near_duplicates(docs)) == plain.near(corpus)
+
+
+def test_a_hot_token_lies_in_several_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PIECE", 2)
+    seen = jaccard_join.index(docs.selectExpr("doc_id as id", "text"), spark.sparkContext.broadcast(jaccard_join.sketch(docs.select("text"))), 4, 80)
+    hot = jaccard_join.shared_postings(seen).filter("p > 0").groupBy("t").agg({"p": "min", "t": "count"}).collect()
+    assert hot and len({r["min(p)"] for r in hot}) > 1

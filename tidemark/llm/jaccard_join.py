@@ -7,6 +7,8 @@ prefixes, expanded to their distinct sets, and verified by exact intersection.
 Pairs inside a cluster are not listed. In each merging round the members of a token's posting list meet two leaders from different
 components, each member's best pairs are verified, and links join components. Once a round finds few links, all pairs that are left are verified: those in different components with a token that
 can be the first they have in common. So no link between components is lost.
+
+A token that very many groups post (more than PIECE by the sketch) is hot: its list is dealt over several shards, and only its leaders meet.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .numtext import grams, mix, slices, words
-from .workspace import Workspace, dealt, shards
+from .workspace import Workspace, bound_arrow_batches, dealt, shards
 
 SHINGLE = 5
 PERCENT = 80
@@ -29,8 +31,8 @@ SKETCH_BITS = 25
 BLOCK_BITS = 16
 GATHER_BYTES = 4 << 20
 SLICE = 2 << 20
-BROADCAST_IDS = 500_000
-SET_BYTES = 5  # of a shingle's hash in a set: two sets of 1000 shingles meet by chance in one of a million pairs
+BROADCAST_IDS = 50_000  # two longs each
+PIECE = 1 << 16
 PARTNERS = 2
 MERGE_WHILE = 0.1  # links found per node left
 _SIZE = np.uint64((1 << 20) - 1)
@@ -71,16 +73,16 @@ def sketch(docs: DataFrame) -> np.ndarray:
     It only orders tokens; cells that several shingles share cost time, not results."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SKETCH_BITS, np.uint16)
+        table = np.zeros(1 << SKETCH_BITS, np.uint8)  # a task's counts up to 255
         for _, buf, offsets in slices(batches, "text", SLICE):
             cell, n = np.unique(shingle_hashes(buf, offsets)[0] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            table[cell] = np.minimum(table[cell] + n, 65535)
+            table[cell] = np.minimum(table[cell] + n, 255)
         number, data = [], []
         for k, part in enumerate(table.reshape(-1, 1 << BLOCK_BITS)):
             at = np.flatnonzero(part)
             if len(at):
                 sparse = len(at) < (1 << BLOCK_BITS) // 8
-                body = at.astype("<u2").tobytes() + np.minimum(part[at], 255).astype("<u1").tobytes() if sparse else np.minimum(part, 255).astype("<u1").tobytes()
+                body = at.astype("<u2").tobytes() + part[at].tobytes() if sparse else part.tobytes()
                 number.append(k)
                 data.append((b"s" if sparse else b"d") + zlib.compress(body, 1))
         if number:
@@ -122,19 +124,32 @@ INDEX = "kind int, shard int, a binary, b binary, c binary"
 
 def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
     """Rows of kind 0: ids (a), groups (b), and set keys and sizes (c) of documents; of kind 1: tokens (a), groups (b) and places in the group's order
-    (c, 16 bits, larger ones saturate) of postings, by shard.
+    (c, 16 bits, larger ones saturate) of postings, by shard; of kind 2: the same of hot tokens, a token's groups dealt over shards.
 
     A group is its set size (20 bits, larger ones saturate) and 28 bits of its prefix's hash; groups that collide are verified like others.
     """
 
+    top = np.uint64((1 << 48) - 1)
+    mild = int(8 * np.log2(PIECE))
+
+    def postings(kind: int, t: np.ndarray, g: np.ndarray, at: np.ndarray, shard: np.ndarray) -> list[tuple]:
+        order = np.argsort(shard, kind="stable")
+        t, g, at = t[order], g[order], at[order]
+        edge = np.searchsorted(shard[order], np.arange(n_shards + 1))
+        return [(kind, k, narrow(t[edge[k] : edge[k + 1]], 6), narrow(g[edge[k] : edge[k + 1]], 6), at[edge[k] : edge[k + 1]].tobytes()) for k in range(n_shards) if edge[k] < edge[k + 1]]
+
     def rows(meta: list[tuple], tok: list[np.ndarray], grp: list[np.ndarray], place: list[np.ndarray]) -> pa.RecordBatch:
         ids, group, key = (np.concatenate(x) for x in zip(*meta, strict=True))
         out = [(0, -1, ids.tobytes(), narrow(group, 6), key.tobytes())]
         if tok:
             t, g, at = distinct_postings(np.concatenate(tok), np.concatenate(grp), np.concatenate(place))
+            level, t = (t >> np.uint64(56)).astype(np.int64), t & top
             shard = ((t >> np.uint64(16)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
-            edge = np.searchsorted(shard, np.arange(n_shards + 1))
-            out += [(1, k, narrow(t[edge[k] : edge[k + 1]], 6), narrow(g[edge[k] : edge[k + 1]], 6), at[edge[k] : edge[k + 1]].tobytes()) for k in range(n_shards) if edge[k] < edge[k + 1]]
+            hot = level > mild
+            out += postings(1, t[~hot], g[~hot], at[~hot], shard[~hot])
+            if hot.any():
+                pieces = np.uint64(1) << (1 + (level[hot] - mild) // 8).astype(np.uint64)
+                out += postings(2, t[hot], g[hot], at[hot], (shard[hot] + (mix(g[hot]) & (pieces - np.uint64(1))).astype(np.int64)) % n_shards)
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["kind", "shard", "a", "b", "c"])
 
@@ -156,7 +171,7 @@ def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
                 mixed = mix(s)
                 key[k] = mixed.sum(), mix(mixed ^ np.uint64(n)).sum(), np.uint64(n)
                 group[k] = (min(np.uint64(n), _SIZE) << np.uint64(28)) | (mix(mix(p).sum() + p[-1:])[0] >> np.uint64(36))
-                tok.append(p & np.uint64((1 << 48) - 1))
+                tok.append(p)
                 grp.append(np.full(len(p), group[k]))
                 place.append(np.minimum(np.arange(len(p)), FAR).astype("<u2"))
             meta.append((ids, group, key))
@@ -183,28 +198,35 @@ def documents_of(rows: DataFrame) -> DataFrame:
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
-    """(t, g, at) for every token that several groups post."""
+    """(t, p, g, at) for every token that several groups post; p is 0, or for hot tokens the number of the shard that holds this piece of
+    the token's list, and one."""
 
     def run(table: pa.Table) -> pa.Table:
-        t, g, at = (np.concatenate([f(x) for x in table.column(c).to_pylist()]) for c, f in (("a", lambda x: widen(x, 6)), ("b", lambda x: widen(x, 6)), ("c", lambda x: np.frombuffer(x, "<u2"))))
-        t, g, at = distinct_postings(t, g, at)
-        start = np.ones(len(t), bool)
-        start[1:] = t[1:] != t[:-1]
-        several = ~(start & np.append(start[1:], True))
-        return pa.table({"t": t[several].astype(np.int64), "g": g[several].astype(np.int64), "at": at[several].astype(np.int32)})
-
-    return dealt(rows.filter("kind = 1").select("shard", "a", "b", "c")).applyInArrow(run, "t long, g long, at int")
+        out: list[tuple] = []
+        kinds = table.column("kind").to_pylist()
+        for kind in set(kinds):
+            own = table.filter(pa.array([k == kind for k in kinds]))
+            t, g, at = (np.concatenate([f(x) for x in own.column(c).to_pylist()]) for c, f in (("a", lambda x: widen(x, 6)), ("b", lambda x: widen(x, 6)), ("c", lambda x: np.frombuffer(x, "<u2"))))
+            t, g, at = distinct_postings(t, g, at)
+            if kind == 1:
+                start = np.ones(len(t), bool)
+                start[1:] = t[1:] != t[:-1]
+                several = ~(start & np.append(start[1:], True))
+                t, g, at = t[several], g[several], at[several]
+            out.append((t.astype(np.int64), np.full(len(t), 0 if kind == 1 else own.column("shard")[0].as_py() + 1, np.int32), g.astype(np.int64), at.astype(np.int32)))
+        return pa.table(dict(zip(("t", "p", "g", "at"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+
+    return dealt(rows.filter("kind > 0").select("kind", "shard", "a", "b", "c")).applyInArrow(run, "t long, p int, g long, at int")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the sorted shingle hashes (SET_BYTES each) of the documents named in ids."""
+    """(id, s): the sorted shingle hashes (8 bytes each) of the documents named in ids."""
     wanted = docs.join(small(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offsets in slices(batches, "text", SLICE):
             h, start = shingle_hashes(buf, offsets)
-            h = mix(h) >> np.uint64(64 - 8 * SET_BYTES)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([narrow(np.unique(h[a:b]), SET_BYTES) for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["id", "s"])
 
     return wanted.mapInArrow(run, "id long, s binary")
 
@@ -221,9 +243,9 @@ def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, percen
             last, mine = None, None
             for k, (a, b) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
                 if a != last:
-                    last, mine = a, widen(a, SET_BYTES)
-                other = widen(b, SET_BYTES)
-                both = len(mine) + len(other) - len(np.unique(np.concatenate([mine, other])))
+                    last, mine = a, np.frombuffer(a, "<u8")
+                other = np.frombuffer(b, "<u8")
+                both = len(np.intersect1d(mine, other, assume_unique=True))
                 keep[k] = 100 * both >= percent * (len(mine) + len(other) - both)
             yield batch.select(["u", "v", "cu", "cv"]).take(pa.array(np.flatnonzero(keep)))
 
@@ -252,16 +274,21 @@ def may_link(a: str, b: str, percent: int) -> F.Column:
     return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & place) | (F.greatest(n, m) == int(_SIZE))
 
 
-def meeting(left: DataFrame, turn: int) -> DataFrame:
+def meeting(left: DataFrame, turn: int, hot: bool) -> DataFrame:
     """Postings of tokens in several components, with three leaders of the token: of its first component, which is often the largest, the first
     node and one that changes with each turn; and a node of another component, which changes too."""
     hashed = F.xxhash64("node", F.lit(turn))
     mark = lambda *first: F.struct(*first, "comp", "node", "n", "at")
-    leads = left.groupBy("t").agg(
+    lists = left.groupBy("t", "p").agg(
         F.min(mark(F.col("comp").alias("x"), F.col("node").alias("y"))).alias("a"), F.min(mark(F.col("comp").alias("x"), hashed.alias("y"))).alias("b"),
         F.max(mark(F.xxhash64("comp", F.lit(turn)).alias("x"), hashed.alias("y"))).alias("c"), F.max("comp").alias("last"),
-    ).filter("a.comp <> last").select("t", F.array_distinct(F.transform(F.array("a", "b", "c"), lambda m: F.struct(m.comp.alias("comp"), m.node.alias("node"), m.n.alias("n"), m["at"].alias("at")))).alias("leads"))
-    return left.join(leads, "t")
+    )
+    leaders = lambda lists, *key: lists.filter("a.comp <> last").select(*key, F.array_distinct(F.transform(F.array("a", "b", "c"), lambda m: F.struct(m.comp.alias("comp"), m.node.alias("node"), m.n.alias("n"), m["at"].alias("at")))).alias("leads"))
+    if not hot:
+        return left.join(leaders(lists, "t", "p"), ["t", "p"])
+    whole = lists.filter("p > 0").groupBy("t").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.max("c").alias("c"), F.max("last").alias("last"))
+    out = left.filter("p = 0").join(leaders(lists.filter("p = 0"), "t", "p"), ["t", "p"])
+    return out.unionByName(left.filter("p > 0").join(leaders(whole, "t"), "t"))
 
 
 def best_pairs(met: DataFrame, percent: int) -> DataFrame:
@@ -283,8 +310,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     nameless = rows.filter("id is null")
     rows = rows.filter("id is not null")
+    bound_arrow_batches(spark)
     held = spark.sparkContext.broadcast(sketch(rows.select("text")))  # 2**SKETCH_BITS bytes
     index(rows, held, shards(spark), percent).write.partitionBy("kind").parquet(ws.path("index"))
+    held.destroy()
     posted = spark.read.schema(INDEX).parquet(ws.path("index"))
     meta = ws.table(documents_of(posted), "documents")
 
@@ -293,23 +322,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sets.select("g", "node")
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("m"))
 
-    left = shared_postings(posted).join(nodes, "g").select("t", F.shiftright("g", 28).alias("n"), "at", "node", F.col("node").alias("comp"))
+    left = shared_postings(posted).join(nodes, "g").select("t", "p", F.shiftright("g", 28).alias("n"), "at", "node", F.col("node").alias("comp"))
     n = shards(spark)
-    left = ws.bucketed(left.repartition(n, "t"), "postings", "t", n)
+    left = ws.bucketed(left.repartition(n, "t", "p"), "postings", ["t", "p"], n)
     ws.drop("index")
-    twins = nodes.join(heads.filter("m > 1"), "g")
+    hot = not left.filter("p > 0").isEmpty()
+    twins = ws.table(nodes.join(heads.filter("m > 1"), "g"), "twins")
     links = verified(twins.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"), F.col("head").alias("cu"), F.col("node").alias("cv")), rows, ws, "links-0", percent)
-    known, twins = nodes.select("node", F.col("node").alias("comp")).distinct(), twins.select("g", "node", F.col("node").alias("comp"))
+    known = nodes.select("node", F.col("node").alias("comp")).distinct()
     turn, found, rounds = 0, links.count(), [0]
     while True:
         if found:
             into = small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, f"graph-{turn}").select(F.col("node").alias("comp"), F.col("component").alias("into")))
-            known, twins, left = moved(known, into), moved(twins, into), moved(left, into)
+            known, left = ws.table(moved(known, into), f"known-{turn}"), moved(left, into)
         turn += 1
-        met = ws.bucketed(meeting(left, turn), f"met-{turn}", "t", n)
-        ws.drop(f"links-{turn - 1}", f"met-{turn - 1}", "postings")
+        met = meeting(left, turn, hot)
+        met = ws.bucketed(met.repartition(n, "t", "p") if hot else met, f"met-{turn}", ["t", "p"], n)
+        ws.drop(f"links-{turn - 1}", f"met-{turn - 1}", f"graph-{turn - 1}", "postings")
         left = met.drop("leads")
-        if turn > 1 and found < MERGE_WHILE * left.select("node").distinct().count():
+        if turn > 1 and found < MERGE_WHILE * left.agg(F.approx_count_distinct("node")).first()[0]:
             break
         links = verified(best_pairs(met, percent), rows, ws, f"links-{turn}", percent)
         rounds.append(turn)
@@ -321,15 +352,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a, b = left.alias("a"), left.alias("b")
     order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
     names = [F.col(f"{s}.{c}").alias(x) for c, x in (("node", ""), ("comp", "c")) for s, x in (("a", x + "u"), ("b", x + "v"))]
-    last = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.comp") != F.col("b.comp")) & order & may_link("a", "b", percent)).select(names)
+    apart = (F.col("a.comp") != F.col("b.comp")) & order & may_link("a", "b", percent)
+    last = a.filter("p = 0").join(b.filter("p = 0"), (F.col("a.t") == F.col("b.t")) & (F.col("a.p") == F.col("b.p")) & apart).select(names)
+    if hot:
+        last = last.union(a.filter("p > 0").join(b.filter("p > 0"), (F.col("a.t") == F.col("b.t")) & apart).select(names))
+    twins = twins.select("g", "node").join(known, "node")
     last = last.union(twins.alias("a").join(twins.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select(names)).distinct()
     tested = spark.read.parquet(*[ws.path(f"links-{k}-pairs") for k in rounds]).select("u", "v")
     links = verified(last.join(tested, ["u", "v"], "left_anti"), rows, ws, "links-last", percent)
     known = moved(known, small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, "graph-last").select(F.col("node").alias("comp"), F.col("component").alias("into"))))
     known = ws.table(known, "known")
-    ws.drop("links-last", f"met-{turn}", "links-last-pairs", *(f"links-{k}-pairs" for k in rounds))
+    ws.drop("links-last", f"met-{turn}", f"links-{turn}", "twins", "graph-last", "links-last-pairs", *(f"{x}-{k}" for k in rounds for x in ("known", "graph")), *(f"links-{k}-pairs" for k in rounds))
     labelled = meta.join(sets, ["g", "k1", "k2"], "left").join(known, "node", "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
     labelled = ws.table(labelled, "labelled")
+    ws.drop("documents", "nodes", "known")
     again = labelled.groupBy("id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("m > 1")
     if not again.isEmpty():
         joined = components(again.filter("lo < hi").select(F.col("lo").alias("u"), F.col("hi").alias("v")), ws, "again").select(F.col("node").alias("comp"), F.col("component").alias("joined"))

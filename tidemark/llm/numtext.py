@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD1342543DE82EF95)
 _rng = np.random.Generator(np.random.PCG64(20240607))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,18 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of an address in the shared folder, for Python on executors."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 class Workspace:
     """Names tables below the shared folder, writes them and removes them.
 
@@ -36,7 +45,7 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    def bucketed(self, df: DataFrame, name: str, key: str | list[str], n: int) -> DataFrame:
         """A table in n buckets of a key: later groupings and joins by it need no shuffle of these rows. Only its files outlive this call, not
         its name in the catalogue."""
         known = f"tidemark_{uuid.uuid4().hex}"
@@ -54,6 +63,17 @@ class Workspace:
         jvm.System.gc()
 
 
+ARROW_BYTES = 4 << 20
+
+
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Batches that Spark hands to Python take about ARROW_BYTES, unless the session has a bound of its own: texts of any length stream in
+    bounded pieces on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def shards(spark: SparkSession) -> int:
     """How many shards a hash space is cut into: the session's shuffle partitions, which follow the input's size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
