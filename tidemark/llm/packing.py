@@ -10,6 +10,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 LONG_TEXT = 1 << 20
 #: Words of Latin letters that end where the tokenizer's own pattern would end them, runs of plain punctuation, other runs without
 #: white space, white space. Each piece is encoded alike alone and in its text.
@@ -158,17 +159,22 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
     return out
 
 
-def slots(patterns: list[tuple[int, list[int]]], size: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: the first rank of each slot, the first sequence of its pattern and its offset there."""
+def slots(patterns: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: the first rank of each row of slots, the first sequence of its pattern, the offset there and the pattern's count.
+
+    The slots of one length in a pattern stand in a row. Each length opens and splits a few packs at most, so there are about three
+    patterns a length, and a pattern of 2048 tokens has 63 different lengths at most: under 20 MB, however many pieces there are.
+    """
     used: dict[int, int] = {}
-    out: dict[int, list[tuple[int, int, int]]] = {}
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
     sequence = 0
     for count, lengths in patterns:
         offset = 0
-        for n in lengths:
-            out.setdefault(n, []).append((used.get(n, 0), sequence, offset))
-            used[n] = used.get(n, 0) + count
-            offset += n
+        for n, same in groupby(lengths):
+            times = len(list(same))
+            out.setdefault(n, []).append((used.get(n, 0), sequence, offset, count))
+            used[n] = used.get(n, 0) + count * times
+            offset += n * times
         sequence += count
     return {n: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for n, rows in out.items()}
 
@@ -186,21 +192,23 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = ws.table(counts.select("part", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
-    where = spark.sparkContext.broadcast(slots(shortest_pack_first(histogram, size), size))  # a few thousand patterns at most
+    where = spark.sparkContext.broadcast(slots(shortest_pack_first(histogram, size)))  # of bounded size
 
     schema = ", ".join(f"{c} {t}" for c, t in cut.dtypes if c not in ("part", "rank_in_part")) + ", sequence_id long, offset long"
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             seq, off = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             order = np.argsort(length, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
-                first, base, offset = where.value[int(length[rows[0]])]
+                n = int(length[rows[0]])
+                first, base, offset, count = where.value[n]
                 k = np.searchsorted(first, rank[rows], "right") - 1
-                seq[rows], off[rows] = base[k] + rank[rows] - first[k], offset[k]
+                place, pack = np.divmod(rank[rows] - first[k], count[k])
+                seq[rows], off[rows] = base[k] + pack, offset[k] + place * n
             keep = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seq), pa.array(off)], names=[*keep, "sequence_id", "offset"])
 
     ranked = cut.join(bases.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("rank_in_part"))
-    return ranked.select(*[c for c in cut.columns if c not in ("part", "rank_in_part")], "rank").mapInArrow(place, schema).withColumnRenamed("id", id_col)
+    return ranked.select(*[c for c in cut.columns if c not in ("part", "rank_in_part")], "rank").mapInArrow(put, schema).withColumnRenamed("id", id_col)
