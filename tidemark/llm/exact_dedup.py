@@ -31,7 +31,7 @@ def fold(spark: SparkSession, inbox: str, schema, out: str, state: str, files_pe
     session = spark.newSession()  # the state's settings stay out of the caller's session
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no disk held in advance
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
