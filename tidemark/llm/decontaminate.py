@@ -25,7 +25,7 @@ from .numtext import grams, mix, slices, words
 MAX_RATE = 0.2
 RECALL = 0.995
 SAMPLED = 3
-MOST_REPETITIONS = 120
+TRIALS, LEAST_HIT = 240, 1e-3
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 8 << 20
 SLICE = 8 << 20
@@ -105,11 +105,12 @@ class Index:
 
     @staticmethod
     def repetitions(items: np.ndarray, n: int, most: int, recall: float) -> int:
-        """How many repetitions find an item after `most` random edits with the wanted probability."""
+        """How many repetitions find an item after `most` random edits with the wanted probability, from simulated edits of the items (a
+        chance below LEAST_HIT cannot be told from none there and counts as LEAST_HIT). Some items are harder than the mean: its chance counts 0.6."""
         if not most:
             return 1
         rng = np.random.default_rng(n)
-        trial = np.repeat(items, -(-240 // len(items)), axis=0)
+        trial = np.repeat(items, -(-TRIALS // len(items)), axis=0)
         changed = []
         for row in trial:
             w = row.tolist()
@@ -125,7 +126,7 @@ class Index:
             changed.append((w + [int(x) for x in rng.integers(2**62, size=n)])[:n])
         other = np.array(changed, np.uint64)
         hit = (walk_keys(trial, 12, n) == walk_keys(other, 12, n)).mean()
-        return int(np.clip(np.ceil(np.log(1 - recall) / np.log(1 - np.clip(0.7 * hit, 1e-3, 0.99))), 4, MOST_REPETITIONS))
+        return max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - np.clip(0.6 * hit, LEAST_HIT, 0.99)))))
 
     def _tables(self) -> list[tuple[np.uint64, np.ndarray]]:
         """Direct-address tables from a pair's hash to its number + 1; pairs that meet in one go on to the next."""
