@@ -12,11 +12,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, store_of
 
 CHUNK_BYTES = 1 << 20
 READ_BYTES = 1 << 16
@@ -38,9 +37,9 @@ def decide(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 def chunk_rows(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table: a row for each chunk_bytes of a response's payload (at least one), one for a revisit."""
     n = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / chunk_bytes))).cast("int")
-    made = records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
-    data = F.when(F.col("refers_to").isNull(), F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return made.select("page_id", "url", "size", "sha1", "refers_to", "chunk_no", data.alias("chunk"))
+    data = lambda k: F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), k * chunk_bytes + 1, F.lit(chunk_bytes)))
+    made = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("chunk_no"), data(k).alias("chunk")))  # cut first: no row bears the whole payload
+    return records.select("page_id", "url", "size", "sha1", "refers_to", F.inline(made))
 
 
 def _id(page: int | None) -> str:
@@ -65,7 +64,7 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = pafs.FileSystem.from_uri(folder)
+        where, base = store_of(folder)
         where.create_dir(base, recursive=True)
         name = f"{base}/{uuid.uuid4().hex}"
         out, z, records = None, None, 0
@@ -167,7 +166,7 @@ def read_archives(archives: DataFrame, with_data: bool = True) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for uri in batch.column("archive").to_pylist():
-                where, path = pafs.FileSystem.from_uri(uri)
+                where, path = store_of(uri)
                 out, held = [], 0
                 with where.open_input_stream(path, compression=None) as stream:
                     for row in records(stream):
