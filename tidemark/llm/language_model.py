@@ -7,7 +7,6 @@ the shared folder. Order two: each order above would shuffle and store about as
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numtext import mix, shard_of, slices, words
-from .workspace import Workspace, dealt, shards
+from .workspace import Workspace, dealt, shards, store_of
 
 GATHER_BYTES = 12 << 20
 BEGIN = np.uint64(0xB5297A4D3F84D5B5)
@@ -98,7 +97,7 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def store(uri: str, arrays: dict[str, np.ndarray]) -> None:
     """One file: a line of names, types and lengths, then the arrays. Written aside and renamed, so a task may run twice."""
-    where, path = pafs.FileSystem.from_uri(uri)
+    where, path = store_of(uri)
     where.create_dir(path.rsplit("/", 1)[0], recursive=True)
     head = " ".join(f"{k}:{v.dtype.str}:{len(v)}" for k, v in arrays.items()).encode()
     aside = f"{path}.{uuid.uuid4().hex}"
@@ -113,26 +112,22 @@ _mapped: dict[str, dict[str, np.ndarray]] = {}
 
 
 def mapped(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a stored file, memory-mapped. From a store without files a worker first takes a copy to map; a copy can
-    be taken again at any time."""
+    """The arrays of a stored file, memory-mapped. From a store without files a worker first takes a copy to map, which has no name any more
+    once it is open, and so goes with the worker."""
     if uri not in _mapped:
-        where, path = pafs.FileSystem.from_uri(uri)
-        if not isinstance(where, pafs.LocalFileSystem):
-            own = os.path.join(tempfile.gettempdir(), uuid.uuid5(uuid.NAMESPACE_URL, uri).hex)
-            if not os.path.exists(own):
-                aside = f"{own}.{uuid.uuid4().hex}"
-                with where.open_input_stream(path) as src, open(aside, "wb") as out:
+        where, path = store_of(uri)
+        with open(path, "rb") if isinstance(where, pafs.LocalFileSystem) else tempfile.TemporaryFile() as f:
+            if not isinstance(where, pafs.LocalFileSystem):
+                with where.open_input_stream(path) as src:
                     while data := src.read(1 << 20):
-                        out.write(data)
-                os.replace(aside, own)
-            path = own
-        with open(path, "rb") as f:
+                        f.write(data)
+                f.seek(0)
             head = f.readline()
-        at, arrays = len(head), {}
-        for name, kind, size in (x.split(":") for x in head.decode().split()):
-            dtype = np.dtype(kind)
-            arrays[name] = np.memmap(path, dtype, "r", at, (int(size),)) if int(size) else np.zeros(0, dtype)
-            at += -(-dtype.itemsize * int(size) // 64) * 64
+            at, arrays = len(head), {}
+            for name, kind, size in (x.split(":") for x in head.decode().split()):
+                dtype = np.dtype(kind)
+                arrays[name] = np.memmap(f, dtype, "r", at, (int(size),)) if int(size) else np.zeros(0, dtype)
+                at += -(-dtype.itemsize * int(size) // 64) * 64
         _mapped[uri] = arrays
     return _mapped[uri]
 
@@ -281,7 +276,7 @@ def train(docs: DataFrame, text_col: str = "text", workspace: Workspace | None =
     ws.drop("words")
     total = [sum(s[k] for s in sums) for k in range(7)] if sums else [0] * 7
     # Shards that no context or word fell into have no file: give them empty ones.
-    where, path = pafs.FileSystem.from_uri(model)
+    where, path = store_of(model)
     where.create_dir(path, recursive=True)
     there = {x.base_name for x in where.get_file_info(pafs.FileSelector(path))}
     z = np.zeros(0, "<u8")
