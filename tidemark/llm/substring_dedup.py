@@ -29,7 +29,7 @@ ANCHOR = 8
 BUCKETS_PER_SHARD = 2
 LAST = np.iinfo(np.int64).max
 _ONE = np.uint64(1)
-_EDGE, _MANY = np.uint32(0), np.uint32(2)  # a text's end; different words. Words are odd.
+_EDGE, _MANY = np.uint64(0), np.uint64(2)  # a text's end; different words. Words are odd.
 
 
 def bucketed(docs: DataFrame, ws: Workspace, n: int) -> DataFrame:
@@ -168,7 +168,7 @@ def send_nodes(n: int, k: int, a: int):
         touched[1 : len(window) + 1] |= window
         at = np.flatnonzero(touched)
         doc = np.searchsorted(t.first, at, "right") - 1
-        word = (t.h & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
+        word = t.h | _ONE
         before = np.where(at > t.first[doc], word[at - 1], _EDGE)
         after = np.where(at + k - 1 < t.first[doc + 1], word[np.minimum(at + k - 1, len(word) - 1)], _EDGE)
         key, low, high, alow, ahigh, count = _gathered(node[at], before, before, after, after, np.ones(len(at), np.int64))
@@ -192,7 +192,7 @@ def answer_nodes(table: pa.Table) -> pa.Table:
     """To each bucket its nodes that occur more than once in the corpus; the last bit says that they branch."""
     bs = table.column("b").to_pylist()
     parts = [np.frombuffer(x, "<u8") for x in table.column("x").to_pylist()]
-    sides = [np.frombuffer(y, "<u4").reshape(2, -1) for y in table.column("y").to_pylist()]
+    sides = [np.frombuffer(y, "<u8").reshape(2, -1) for y in table.column("y").to_pylist()]
     raw = np.concatenate(parts)
     before, after = np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides])
     of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
