@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .numtext import slices, words
+from .numtext import mix, slices, words
 
 WINDOW, STRIDE = 24, 12
 WORD_DIMS, CHAR_DIMS, HIDDEN, ATTEND = 12, 12, 10, 8
@@ -23,11 +23,26 @@ MAX_WORDS = 700
 DROPPED = 0.4
 THRESHOLD = 0.7
 BLOCK = 4096
+PART = 24
 _CASE = np.arange(256, dtype=np.uint32)
 _CASE[65:91] += 32
-def char_grams(buf: np.ndarray, s: np.ndarray, e: np.ndarray, most: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the trigrams of '<word>' for the first `most` bytes of each word, and how many each has (flat)."""
-    length = np.minimum(e - s, most)
+
+
+def parts(h: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, most: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, those of more than `most` bytes cut into parts that are words of their own: all of a long run of characters is read."""
+    n = -(-(e - s) // most)
+    if not len(n) or n.max() == 1:
+        return h, s, e, first
+    of = np.repeat(np.arange(len(h)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = s[of] + k * most
+    own = np.where(n[of] > 1, mix(h[of] + (k + 1).astype(np.uint64)), h[of])
+    return own, at, np.minimum(at + most, e[of]), np.concatenate([[0], np.cumsum(n)])[first]
+
+
+def char_grams(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of '<word>' for each word, and how many each has (flat)."""
+    length = e - s
     first = np.repeat(np.cumsum(length) - length, length)
     k = np.arange(int(length.sum())) - first
     row = np.repeat(np.arange(len(s)), length)
@@ -145,7 +160,7 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def prepared(buf: np.ndarray, offsets: np.ndarray):
     """Distinct words of consecutive texts with their inputs, and for each window its words and mask."""
-    h, s, e, first = words(buf, offsets, lower=True, trim=3)
+    h, s, e, first = parts(*words(buf, offsets, lower=True, trim=3))
     if not len(s):
         return None
     ids, one, back = np.unique(h, return_index=True, return_inverse=True)
@@ -248,9 +263,9 @@ def calibrated(net: Network, logit: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, max_words: int = MAX_WORDS) -> Network:
     """Fits on at most about per_class texts of each class, of at most max_words words, taken by a hash of the text.
 
-    Null labels and texts are left out; rows that repeat id and text count once.
+    Null labels and texts, and ids whose labels contradict each other, are left out; rows that repeat id and text count once.
     """
-    marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1)").distinct()
+    marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("text").isNotNull()).join(marks, "id").withColumn("h", F.xxhash64("text"))
     short = rows.filter(F.size(F.split("text", r"[\x20\x09-\x0D]+")) <= max_words)
     totals = {r["y"]: r["n"] for r in short.groupBy("y").agg(F.count("*").alias("n")).collect()}
