@@ -53,7 +53,7 @@ def test_relevance_score_counts_over_the_whole_content(spark, tmp_path):
     pad = "x" * 5000
     rows = [(1, pad + "7777", "en", "src7", 0), (2, pad + "77772222222", "en", "src7", 0), (3, "7" + pad, "en", "src7", 0), (4, "7" + pad + "444", "en", "src7", 0)]
     got = {r.doc_id: (r.relevance_score, r.is_relevant) for r in catalogue.QUERIES["relevance_score"](spark, documents(spark, tmp_path, rows)).collect()}
-    assert got == {1: (20, False), 2: (0, False), 3: (80, True), 4: (70, True)}
+    assert got == {1: (20, False), 2: (0, False), 3: (75, True), 4: (65, True)}
 
 
 def test_ngrams_cover_the_whole_content(spark, tmp_path):

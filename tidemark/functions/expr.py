@@ -102,11 +102,13 @@ def sentences(text: Column, least: int = 6) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Blank-line parts over 20 characters; without such the text if it has up to four sentences, else threes of sentences."""
+    """Parts between blank lines, of over 20 characters; a text without blank lines is one part if it has up to four sentences, else threes of
+    sentences. Nothing for null or empty text."""
     parts = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.trim(p)), lambda p: F.length(p) > 20)
     s = sentences(text)
     threes = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(s, i * 3 + 1, 3), " "))
-    return F.when(text.contains("\n\n") & (F.size(parts) > 0), parts).when(F.size(s) <= 4, F.array(text)).otherwise(threes)
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).when(text.contains("\n\n"), parts).when(F.size(s) <= 4, F.array(text)).otherwise(threes)
 
 
 def register(spark: SparkSession) -> None:

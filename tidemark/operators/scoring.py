@@ -17,8 +17,8 @@ def contributions(tokens: DataFrame, lexicon: DataFrame, keys: list[str]) -> Dat
 
 
 def valuation_penalty(pos: str, pbr: str) -> Column:
-    """Positive weight after a price-to-book above 6 has taken 5 % a point, up to 30 %."""
-    return F.col(pos) * (1 - F.when(F.col(pbr) > 6, F.least((F.col(pbr) - 6) * 0.05, F.lit(0.3))).otherwise(0.0))
+    """Positive weight after a price-to-book above 6 has taken 10 % a point, up to 30 %."""
+    return F.col(pos) * (1 - F.when(F.col(pbr) > 6, F.least((F.col(pbr) - 6) / 10, F.lit(0.3))).otherwise(0.0))
 
 
 def volume_multiplier(last: Column, mean: Column) -> Column:
@@ -45,21 +45,28 @@ def confidence(tokens: str, mae: str, net: str) -> Column:
     return F.round(c * F.when(F.abs(F.col(net)) > 0.05, 0.7).otherwise(1.0), 1)
 
 
-def relevance(articles: DataFrame, names: DataFrame, key: str, title: str, content: str, name: str, rivals: str = "rivals") -> DataFrame:
-    """Adds relevance_score and is_relevant (30 or more). In the title 50, in the first 200 characters 20, 5 for each mention up to 20; with no
-    mention 0; a rival mentioned more often than the name costs 30 (10 with the name in the title), not below 0.
+def relevance(articles: DataFrame, names: DataFrame | None, key: str, title: str, content: str, name: str, rivals: str = "rivals", aliases: str | None = None) -> DataFrame:
+    """Adds relevance_score and is_relevant (30 or more). The name or an alias in the title 50, in the first 200 characters of the content 20, 5 for
+    each mention of the most mentioned of them in the content, up to 20; nowhere 0. A rival that the content mentions more often costs 30
+    (10 with the name itself in the title), not below 0.
 
-    names: (name, rivals array), one row per article key; spaces do not count. Empty content is irrelevant.
+    names: (name, rivals and aliases arrays), one row per article key, else columns of articles. Spaces do not count. A rival of the
+    name itself is none. Empty content is irrelevant.
     """
-    body, head, who = squeezed(F.col(content)), squeezed(F.col(title)), squeezed(F.col(name))
-    count = occurrences(F.concat(head, body), who)
-    most = F.coalesce(F.array_max(F.transform(rivals, lambda r: occurrences(F.concat(head, body), squeezed(r)))), F.lit(0))
-    base = F.when(F.contains(head, who), 50).otherwise(0) + F.when(F.contains(F.substring(body, 1, 200), who), 20).otherwise(0)
-    penalty = F.when(most > count, F.when(F.contains(head, who), 10).otherwise(30)).otherwise(0)
+    body, head, who = squeezed(F.coalesce(F.col(content), F.lit(""))), squeezed(F.coalesce(F.col(title), F.lit(""))), squeezed(F.col(name))
+    own = F.array_distinct(F.concat(F.array(who), F.transform(F.coalesce(F.col(aliases), F.array().cast("array<string>")), squeezed))) if aliases else F.array(who)
+    others = F.filter(F.transform(rivals, squeezed), lambda r: r != F.col("__who"))
     joined = articles.join(names, key) if names is not None else articles
-    scored = joined.withColumn("__b", base).withColumn("__c", count).withColumn("__p", penalty)
-    score = F.when((F.coalesce(F.length(content), F.lit(0)) == 0) | ((F.col("__c") == 0) & (F.col("__b") == 0)), 0).otherwise(F.greatest(F.lit(0), F.col("__b") + F.least(F.col("__c") * 5, F.lit(20)) - F.col("__p")))
-    return scored.withColumn("relevance_score", score).withColumn("is_relevant", F.col("relevance_score") >= 30).drop("__b", "__c", "__p")
+    cut = joined.withColumns({"__body": body, "__head": head, "__who": who, "__own": own})
+    counted = cut.withColumns({
+        "__c": F.array_max(F.transform("__own", lambda a: occurrences(F.col("__body"), a))),
+        "__m": F.coalesce(F.array_max(F.transform(others, lambda r: occurrences(F.col("__body"), r))), F.lit(0)),
+        "__b": F.when(F.exists("__own", lambda a: F.contains("__head", a)), 50).otherwise(0) + F.when(F.exists("__own", lambda a: F.contains(F.substring("__body", 1, 200), a)), 20).otherwise(0),
+    })
+    penalty = F.when(F.col("__m") > F.col("__c"), F.when(F.contains("__head", F.col("__who")), 10).otherwise(30)).otherwise(0)
+    nothing = (F.col("__body") == "") | ((F.col("__c") == 0) & (F.col("__b") == 0))
+    score = F.when(nothing, 0).otherwise(F.greatest(F.lit(0), F.col("__b") + F.least(F.col("__c") * 5, F.lit(20)) - penalty))
+    return counted.withColumn("relevance_score", score).withColumn("is_relevant", F.col("relevance_score") >= 30).drop("__body", "__head", "__who", "__own", "__c", "__m", "__b")
 
 
 def bert_adjustment(pos: str, neg: str) -> Column:

@@ -263,7 +263,7 @@ def agg_existence_and_totals(spark, d):
     return e.crossJoin(one("documents")).crossJoin(one("pages")).crossJoin(one("orders"))
 
 
-@R.add(sql("news", "select strftime(cast(published_at as date), '%Y-%m-%d') as day, " + ", ".join(f"count(*) filter (where stock_code = '{k:06d}') as s{k}" for k in range(5)) + " from news where doc_id % 25 < 5 group by 1"))
+@R.add(sql("news", "select strftime(cast(published_at as date), '%Y-%m-%d') as day, " + ", ".join(f"count(*) filter (where stock_code = '{k:06d}') as s{k}" for k in range(25)) + " from news group by 1"))
 def pivot_distribution(spark, d):
     n = news(spark, d).groupBy(day("published_at").alias("day")).pivot("stock_code", [f"{k:06d}" for k in range(25)]).count().fillna(0)
     return n.withColumnsRenamed({f"{k:06d}": f"s{k}" for k in range(25)})

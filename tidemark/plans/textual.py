@@ -103,7 +103,7 @@ def tokenize_unigrams(spark, d):
 
 
 @R.add(sql("news", """select doc_id, len(t) + greatest(len(t) - 1, 0) + greatest(len(t) - 2, 0) as n, sha256(array_to_string(list_concat(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ';' || t[i + 1])), list_transform(range(1, len(t) - 1), lambda i: t[i] || ';' || t[i + 1] || ';' || t[i + 2])), ' ')) as digest
-from (select doc_id, list_filter(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), lambda w: length(w) > 1) as t from news)"""))
+from (select doc_id, list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), lambda w: length(w) > 1) as t from news)"""))
 def ngrams_123(spark, d):
     t = news(spark, d).select("doc_id", tokens(F.col("content")).alias("t"))  # a column of its own: else every n-gram splits the text again
     g = t.select("doc_id", expr.ngrams(F.col("t"), 3).alias("g"))
@@ -180,27 +180,33 @@ def word_verification(spark, d):
     return w.groupBy("word").agg(F.count("*").alias("days"), F.round(F.avg((F.signum("beta") == F.signum("excess_return")).cast("double")), 6).alias("hit_rate"))
 
 
-@R.add("select doc_id, len(s) as n, array_to_string(s, '|') as joined from (select doc_id, list_filter(list_transform(string_split(regexp_replace(substring(text, 1, 2000), '([.!?])\\s+', '\\1\n', 'g'), chr(10) ), lambda x: trim(x)), lambda x: length(x) > 5) as s from (select doc_id, replace(text, chr(10), ' ') as text from documents))")
+@R.add("select doc_id, len(s) as n, array_to_string(s, '|') as joined from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), chr(10) ), lambda x: trim(x)), lambda x: length(x) > 5) as s from (select doc_id, replace(text, chr(10), ' ') as text from documents))")
 def sentence_split(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
     s = expr.sentences(F.col("t"))
     return t.select("doc_id", F.size(s).cast("long").alias("n"), F.array_join(s, "|").alias("joined"))
 
 
-@R.add("with p as (select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: length(x) > 20) as s from (select doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) as text from documents)) select doc_id, len(s) as n from p where len(s) > 0")
+@R.add("""with p as (select doc_id, case when doc_id % 3 = 0 then replace(t, '. ', '.' || chr(10) || chr(10)) else t end as t from (select doc_id, replace(coalesce(text, ''), chr(10), ' ') as t from documents)),
+q as (select doc_id, t, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: trim(x)), lambda x: length(x) > 20) as parts, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 5) as s from p),
+r as (select doc_id, case when t = '' then [] when contains(t, chr(10) || chr(10)) then parts when len(s) <= 4 then [t] else list_transform(range(0, (len(s) + 2) // 3), lambda i: array_to_string(s[i * 3 + 1 : i * 3 + 3], ' ')) end as g from q)
+select doc_id, len(g) as n, sha256(array_to_string(g, '|')) as digest from r""")
 def paragraph_split(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("t"))
-    parts = F.filter(F.split("t", "\n\n"), lambda p: F.length(F.trim(p)) > 20)
-    return t.filter(F.size(parts) > 0).filter(F.contains("t", F.lit("\n\n")) | (F.size(parts) == 1)).select("doc_id", F.size(parts).cast("long").alias("n"))
+    """Texts with blank lines (planted in every third), with few and with many sentences."""
+    t = table(spark, d, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("t"))
+    t = t.withColumn("t", F.when(F.col("doc_id") % 3 == 0, F.replace("t", F.lit(". "), F.lit(".\n\n"))).otherwise(F.col("t")))
+    g = t.select("doc_id", expr.paragraphs(F.col("t")).alias("g"))
+    return g.select("doc_id", F.size("g").cast("long").alias("n"), F.sha2(F.array_join("g", "|"), 256).alias("digest"))
 
 
-@R.add(sql("news", """with n2 as (select n_name, lpad(cast(n_nationkey as varchar), 6, '0') as stock_code, n_regionkey from nation),
-a as (select doc_id, replace(title, ' ', '') as head, replace(substring(content, 1, 3000), ' ', '') as body, substring(source, 4) as who, substring('' || (doc_id % 10), 1) as rival from news),
-c as (select *, (length(head || body) - length(replace(head || body, who, ''))) // length(who) as cnt, (length(head || body) - length(replace(head || body, rival, ''))) // length(rival) as riv, case when contains(head, who) then 50 else 0 end + case when contains(substring(body, 1, 200), who) then 20 else 0 end as b from a)
-select doc_id, case when cnt = 0 and b = 0 then 0 else greatest(0, b + least(cnt * 5, 20) - case when riv > cnt then case when contains(head, who) then 10 else 30 end else 0 end) end as relevance_score, case when cnt = 0 and b = 0 then 0 else greatest(0, b + least(cnt * 5, 20) - case when riv > cnt then case when contains(head, who) then 10 else 30 end else 0 end) end >= 30 as is_relevant from c""").replace("news)\nwith n2", "news),\nn2").replace("\nwith n2", ",\nn2", 1))
+@R.add(sql("news", """with a as (select doc_id, replace(coalesce(title, ''), ' ', '') as head, replace(coalesce(content, ''), ' ', '') as body, substring(source, 4) as who, 'x' || substring(source, 4) as alias, '' || (doc_id % 10) as rival from news),
+c as (select *, greatest((length(body) - length(replace(body, who, ''))) // length(who), (length(body) - length(replace(body, alias, ''))) // length(alias)) as cnt, case when rival = who then 0 else length(body) - length(replace(body, rival, '')) end as riv, case when contains(head, who) or contains(head, alias) then 50 else 0 end + case when contains(substring(body, 1, 200), who) or contains(substring(body, 1, 200), alias) then 20 else 0 end as b from a),
+s as (select doc_id, case when body = '' or (cnt = 0 and b = 0) then 0 else greatest(0, b + least(cnt * 5, 20) - case when riv > cnt then case when contains(head, who) then 10 else 30 end else 0 end) end as relevance_score from c)
+select doc_id, relevance_score, relevance_score >= 30 as is_relevant from s""").replace("\nwith a as", ",\na as", 1))
 def relevance_score(spark, d):
-    n = news(spark, d).select("doc_id", "title", "content", F.substring("source", 4, 20).alias("name"), F.array((F.col("doc_id") % 10).cast("string")).alias("rivals"))
-    return scoring.relevance(n, None, "doc_id", "title", "content", "name").select("doc_id", F.col("relevance_score").cast("long").alias("relevance_score"), "is_relevant")
+    who = F.substring("source", 4, 20)
+    n = news(spark, d).select("doc_id", "title", "content", who.alias("name"), F.array(F.concat(F.lit("x"), who)).alias("aliases"), F.array((F.col("doc_id") % 10).cast("string")).alias("rivals"))
+    return scoring.relevance(n, None, "doc_id", "title", "content", "name", "rivals", "aliases").select("doc_id", F.col("relevance_score").cast("long").alias("relevance_score"), "is_relevant")
 
 
 @R.add("select n_name, p_partkey, (length(p_brand) - length(replace(p_brand, x, ''))) // length(x) as mentions from part, (select n_name, '#' || n_nationkey as x from nation) where contains(p_brand, x)")
@@ -231,7 +237,7 @@ def confidence(spark, d):
     return s.select("stock_code", day("prediction_date").alias("date"), scoring.confidence("t", "mae", "expected_alpha").alias("confidence"))
 
 
-@R.add(sql("fund", "select stock_code, strftime(base_date, '%Y-%m-%d') as base_date, round(per * (1 - case when pbr > 6 then least((pbr - 6) * 0.05, 0.3) else 0 end), 6) as pos, case when bps > 0 then round(eps / bps * 100, 6) when per > 0 then round(pbr / per * 100, 6) else 0 end as roe from fund"))
+@R.add(sql("fund", "select stock_code, strftime(base_date, '%Y-%m-%d') as base_date, round(per * (1 - case when pbr > 6 then least((pbr - 6) / 10, 0.3) else 0 end), 6) as pos, case when bps > 0 then round(eps / bps * 100, 6) when per > 0 then round(pbr / per * 100, 6) else 0 end as roe from fund"))
 def valuation_penalty(spark, d):
     return fundamentals(spark, d).select("stock_code", day("base_date").alias("base_date"), F.round(scoring.valuation_penalty("per", "pbr"), 6).alias("pos"), F.round(expr.return_on_equity("per", "pbr", "eps", "bps"), 6).alias("roe"))
 
@@ -243,10 +249,15 @@ def time_decay_scores(spark, d):
     return scoring.contributions(w, v, ["doc_id"]).select("doc_id", F.round("net", 8).alias("score"))
 
 
-@R.add(sql("word_days dict", "select stock_code, k, doc_id, score from (select stock_code, doc_id, round(sum(beta), 6) as score, row_number() over (partition by stock_code order by abs(round(sum(beta), 6)) desc, doc_id) as k from word_days join (select word, beta from dict where version = 'src0') using (word) group by 1, 2 having round(sum(beta), 6) <> 0) where k <= 10"))
+@R.add(sql("words_all dict", """select stock_code, k, doc_id, score from (select *, row_number() over (partition by stock_code order by abs(score) desc, doc_id) as k from (
+select stock_code, doc_id, round(sum(beta) * exp(-0.02 * greatest(date_diff('second', published_at, date_trunc('day', published_at) + interval 33 hour) / 3600.0, 0)), 6) as score from words_all join (select word, beta from dict where version = 'src0') using (word) group by stock_code, doc_id, published_at having round(sum(beta), 9) <> 0) where score <> 0) where k <= 10"""))
 def evidence_top10(spark, d):
+    """Of each stock the ten articles that move it most: the sum of beta over all their words, decayed by the hours to the next morning's opening."""
     v = sentiment_dict(spark, d).filter("version = 'src0'").select("word", "beta")
-    s = word_days(spark, d).join(v, "word").groupBy("stock_code", "doc_id").agg(F.round(F.sum("beta"), 6).alias("score")).filter("score <> 0")
+    n = news(spark, d).select("stock_code", "doc_id", "published_at", F.explode(tokens(F.col("content"))).alias("word"))
+    base = n.join(v, "word").groupBy("stock_code", "doc_id", "published_at").agg(F.round(F.sum("beta"), 9).alias("base"), F.sum("beta").alias("sum")).filter("base <> 0")
+    hours = F.greatest((F.unix_timestamp((F.date_trunc("day", "published_at") + F.expr("INTERVAL 33 HOURS")).cast("timestamp")) - F.unix_timestamp(F.col("published_at").cast("timestamp"))) / 3600.0, F.lit(0.0))
+    s = base.select("stock_code", "doc_id", F.round(F.col("sum") * expr.time_decay(hours), 6).alias("score")).filter("score <> 0")
     return ordered.top_per_key(s, ["stock_code"], [F.desc(F.abs("score")), F.col("doc_id")], 10, "k").select("stock_code", F.col("k").cast("long").alias("k"), "doc_id", "score")
 
 
