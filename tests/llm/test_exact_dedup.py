@@ -64,3 +64,11 @@ def test_different_texts_with_one_digest_are_told_apart(spark, monkeypatch):
 def test_main_path_is_native(docs):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_flags_miss_no_key_and_few_others_are_flagged(spark):
+    keys = spark.createDataFrame([(None,), *((7 * k,) for k in range(500))], "k long")
+    got = workspace.flagged(spark.range(0, 20_000).select("id").union(spark.createDataFrame([(None,)], "id long")), "id", keys, "k").collect()
+    wanted = {None, *(7 * k for k in range(500))}
+    assert all(r["__maybe"] for r in got if r.id in wanted)
+    assert sum(r["__maybe"] for r in got if r.id not in wanted) < 2000

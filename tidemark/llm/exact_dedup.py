@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, join_groups, salted_semi
+from .workspace import Workspace, flagged, join_groups, salted_semi
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -76,7 +76,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ws.drop("inbox", "groups", "state")
 
     # Full bytes on hits: all texts of a digest are equal if the least and the greatest are.
-    texts = rows.select("id", normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2("norm", 256))
+    copied = ws.table(found.filter("group_size > 1").select("id"), "copied")
+    texts = flagged(rows, "id", copied, "id").filter("__maybe").select("id", normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2("norm", 256))
     hits = salted_semi(texts.select("digest", "norm"), groups.filter("group_size > 1"), "digest", "group_size")
     differ = ws.table(hits.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select("digest"), "differ")
     out = found.select("id", "keep_id", "group_size", "digest", "keep_locator")
@@ -89,10 +90,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat id and text one stays."""
-    stay = exact_dedup(docs, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")).agg(F.count("*").alias("__kept_rows"))
-    marked = docs.withColumn("__own_digest", F.sha2(normalised(F.col(f"`{text_col}`")), 256)).join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")) & (F.col("__own_digest") == F.col("__kept_digest")))
+    """The documents that stay, with all their columns; of rows that repeat id and text one stays. Only rows whose id has a copy are joined."""
+    copies = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
+    ws = Workspace(docs.sparkSession, "keep-first")
+    copies = ws.table(copies.groupBy(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")).agg(F.first("kept").alias("__kept"), F.count("*").alias("__kept_rows")), "copies")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    one = marked.filter("__kept_rows = 1").select(columns)
-    again = marked.filter("__kept_rows > 1").groupBy("__kept_id", "__kept_digest").agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")
-    return one.unionByName(again)
+    parted = flagged(docs.withColumn("__own_id", F.col(f"`{id_col}`")), "__own_id", copies, "__kept_id")
+    marked = parted.filter("__maybe").withColumn("__own_digest", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
+    marked = marked.join(copies, F.col("__own_id").eqNullSafe(F.col("__kept_id")) & (F.col("__own_digest") == F.col("__kept_digest")), "left")
+    one = marked.filter("__kept_rows is null or (__kept and __kept_rows = 1)").select(columns)
+    again = marked.filter("__kept and __kept_rows > 1").groupBy("__kept_id", "__kept_digest").agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")
+    return parted.filter("not __maybe").select(columns).unionByName(one).unionByName(again)

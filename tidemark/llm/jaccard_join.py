@@ -2,7 +2,8 @@
 
 Shingles are ordered from rare to frequent by a sketch of fixed size. Documents whose sets have one size and one prefix form a group,
 which is posted once under each token of its prefix. Group pairs are filtered by size and by the token's places in both
-prefixes, expanded to their distinct sets, and verified by exact intersection.
+prefixes, expanded to their distinct sets, filtered by a bound on the intersection from a bit signature of each set, and verified by exact
+intersection.
 
 Pairs inside a cluster are not listed. In each merging round the members of a token's posting list meet two leaders from different
 components, each member's best pairs are verified, and links join components. Once a round finds few links, all pairs that are left are verified: those in different components with a token that
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .numtext import grams, mix, slices, words
-from .workspace import Workspace, bound_arrow_batches, dealt, shards
+from .workspace import Workspace, bound_arrow_batches, dealt, flagged, shards
 
 SHINGLE = 5
 PERCENT = 80
@@ -35,6 +36,7 @@ BROADCAST_IDS = 50_000  # two longs each
 PIECE = 1 << 16
 PARTNERS = 2
 MERGE_WHILE = 0.1  # links found per node left
+SIGNATURE = 1024  # bits
 _SIZE = np.uint64((1 << 20) - 1)
 FAR = 65535
 
@@ -123,7 +125,7 @@ INDEX = "kind int, shard int, a binary, b binary, c binary"
 
 
 def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
-    """Rows of kind 0: ids (a), groups (b), and set keys and sizes (c) of documents; of kind 1: tokens (a), groups (b) and places in the group's order
+    """Rows of kind 0: ids (a), groups (b), and set keys, sizes and signatures (c) of documents; of kind 1: tokens (a), groups (b) and places in the group's order
     (c, 16 bits, larger ones saturate) of postings, by shard; of kind 2: the same of hot tokens, a token's groups dealt over shards.
 
     A group is its set size (20 bits, larger ones saturate) and 28 bits of its prefix's hash; groups that collide are verified like others.
@@ -161,7 +163,7 @@ def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
             # Rare shingles first: the frequency level, then the hash.
             h = (order[h >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (mix(h) >> np.uint64(8))
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype("<i8")
-            group, key = np.zeros(len(batch), np.uint64), np.zeros((len(batch), 3), "<u8")
+            group, key = np.zeros(len(batch), np.uint64), np.zeros((len(batch), 3 + SIGNATURE // 64), "<u8")
             for k in range(len(batch)):
                 s = np.unique(h[start[k] : start[k + 1]])
                 n = len(s)
@@ -169,7 +171,8 @@ def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
                     continue
                 p = s[: prefix_length(n, percent)]
                 mixed = mix(s)
-                key[k] = mixed.sum(), mix(mixed ^ np.uint64(n)).sum(), np.uint64(n)
+                key[k, :3] = mixed.sum(), mix(mixed ^ np.uint64(n)).sum(), np.uint64(n)
+                key[k, 3:] = np.packbits((np.bincount((mixed >> np.uint64(54)).astype(np.int64), minlength=SIGNATURE) & 1).astype(np.uint8)).view("<u8")
                 group[k] = (min(np.uint64(n), _SIZE) << np.uint64(28)) | (mix(mix(p).sum() + p[-1:])[0] >> np.uint64(36))
                 tok.append(p)
                 grp.append(np.full(len(p), group[k]))
@@ -186,15 +189,17 @@ def index(docs: DataFrame, held, n_shards: int, percent: int) -> DataFrame:
 
 
 def documents_of(rows: DataFrame) -> DataFrame:
-    """(id, g, k1, k2, n) of the kind 0 rows; g 0 stands for an empty set, n is the true size."""
+    """(id, g, k1, k2, n, sig) of the kind 0 rows; g 0 stands for an empty set, n is the true size, sig the signature: a bit says whether an odd
+    number of the set's shingles fall on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, c in zip(*(batch.column(x).to_pylist() for x in "abc"), strict=True):
-                g, key = widen(b, 6), np.frombuffer(c, "<i8").reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), pa.array(g.astype(np.int64)), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(key[:, 2])], names=["id", "g", "k1", "k2", "n"])
+                g, key = widen(b, 6), np.frombuffer(c, "<i8").reshape(-1, 3 + SIGNATURE // 64)
+                sig = pa.array([r.tobytes() for r in np.ascontiguousarray(key[:, 3:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, "<i8")), pa.array(g.astype(np.int64)), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(key[:, 2]), sig], names=["id", "g", "k1", "k2", "n", "sig"])
 
-    return rows.filter("kind = 0").mapInArrow(run, "id long, g long, k1 long, k2 long, n long")
+    return rows.filter("kind = 0").mapInArrow(run, "id long, g long, k1 long, k2 long, n long, sig binary")
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
@@ -221,7 +226,7 @@ def shared_postings(rows: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, s): the sorted shingle hashes (8 bytes each) of the documents named in ids."""
-    wanted = docs.join(small(ids), "id", "left_semi")
+    wanted = named(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offsets in slices(batches, "text", SLICE):
@@ -231,11 +236,37 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "id long, s binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
+def named(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ids."""
+    return flagged(rows, "id", ids, "id").filter("__maybe").drop("__maybe").join(ids, "id", "left_semi")
+
+
+def ids_of(pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    return ws.table(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), name)
+
+
+def promising(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their signatures allow. Two sets differ in at least as many shingles as their signatures differ in bits; that bounds what they
+    can have in common, and a pair below the bound does not link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, SIGNATURE // 64) for c in ("su", "sv")]
+            both = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int64)
+            yield batch.select(["u", "v", "cu", "cv"]).take(pa.array(np.flatnonzero((both - differ) * (100 + percent) >= 2 * percent * both)))
+
+    side = lambda x: meta.filter("g <> 0").select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "cu", "cv", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long, cu long, cv long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
     """The pairs (u, v, cu, cv) of nodes whose sets are similar enough; written. Sets are made anew for the documents that pairs name: one more
     scan costs less than to keep and move the sets of all that share a token."""
     pairs = ws.table(pairs, f"{name}-pairs")
-    sets = ws.table(sets_of(docs, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()), f"{name}-sets")
+    signed = ws.table(named(meta.select("id", "g", "n", "sig"), ids_of(pairs, ws, f"{name}-ids")), f"{name}-signed")
+    pairs = ws.table(promising(pairs, signed, percent), f"{name}-left")
+    sets = ws.table(sets_of(docs, ids_of(pairs, ws, f"{name}-ids")), f"{name}-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +282,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, percen
 
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sb")), "v")
     out = ws.table(both.select("u", "v", "cu", "cv", "sa", "sb").mapInArrow(run, "u long, v long, cu long, cv long"), name)
-    ws.drop(f"{name}-sets")
+    ws.drop(f"{name}-sets", f"{name}-left", f"{name}-signed", f"{name}-ids")
     return out
 
 
@@ -328,7 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws.drop("index")
     hot = not left.filter("p > 0").isEmpty()
     twins = ws.table(nodes.join(heads.filter("m > 1"), "g"), "twins")
-    links = verified(twins.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"), F.col("head").alias("cu"), F.col("node").alias("cv")), rows, ws, "links-0", percent)
+    links = verified(twins.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"), F.col("head").alias("cu"), F.col("node").alias("cv")), rows, meta, ws, "links-0", percent)
     known = nodes.select("node", F.col("node").alias("comp")).distinct()
     turn, found, rounds = 0, links.count(), [0]
     while True:
@@ -342,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = met.drop("leads")
         if turn > 1 and found < MERGE_WHILE * left.agg(F.approx_count_distinct("node")).first()[0]:
             break
-        links = verified(best_pairs(met, percent), rows, ws, f"links-{turn}", percent)
+        links = verified(best_pairs(met, percent), rows, meta, ws, f"links-{turn}", percent)
         rounds.append(turn)
         found = links.count()
         if not found:
@@ -359,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twins = twins.select("g", "node").join(known, "node")
     last = last.union(twins.alias("a").join(twins.alias("b"), "g").filter("a.node < b.node and a.comp <> b.comp").select(names)).distinct()
     tested = spark.read.parquet(*[ws.path(f"links-{k}-pairs") for k in rounds]).select("u", "v")
-    links = verified(last.join(tested, ["u", "v"], "left_anti"), rows, ws, "links-last", percent)
+    links = verified(last.join(tested, ["u", "v"], "left_anti"), rows, meta, ws, "links-last", percent)
     known = moved(known, small(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")), ws, "graph-last").select(F.col("node").alias("comp"), F.col("component").alias("into"))))
     known = ws.table(known, "known")
     ws.drop("links-last", f"met-{turn}", f"links-{turn}", "twins", "graph-last", "links-last-pairs", *(f"{x}-{k}" for k in rounds for x in ("known", "graph")), *(f"links-{k}-pairs" for k in rounds))
@@ -378,6 +409,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents, with all columns, that are the smallest id of their component; rows without id stay."""
-    kept = near_duplicates(docs, id_col, text_col, percent).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept_id")).distinct()
-    key = F.col(f"`{id_col}`").cast("long")
-    return docs.join(kept, key == F.col("__kept_id")).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    gone = near_duplicates(docs, id_col, text_col, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = Workspace(docs.sparkSession, "keep-one").table(gone, "gone")
+    parted = flagged(docs.withColumn("__own_id", F.col(f"`{id_col}`").cast("long")), "__own_id", gone, "__gone")
+    return parted.filter("not __maybe").select(columns).unionByName(parted.filter("__maybe").join(gone, F.col("__own_id") == F.col("__gone"), "left_anti").select(columns))

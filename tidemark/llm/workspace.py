@@ -91,6 +91,24 @@ def dealt(rows: DataFrame) -> GroupedData:
     return rows.withColumn("__deal", known[F.col("shard")]).groupBy("__deal")
 
 
+MOST_BITS = 1 << 26
+
+
+def flagged(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows with __maybe: false where the column's value is certainly none of the keys.
+
+    The keys are bits of a table that is broadcast: 16 bits a key, 8 MB at most. Rows of other keys share bits now and then (very often where the
+    keys are far more than the bits); whoever asks joins the rows that may match, few as a rule, and spares the others the shuffle.
+    """
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * keys.count() + 1).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits)) + 1
+    made = keys.select(F.bitmap_bucket_number(spot(key)).alias("__bucket"), F.bitmap_bit_position(spot(key)).alias("__at")).groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    at = F.bitmap_bit_position(spot(column))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
+    return rows.join(F.broadcast(made), F.bitmap_bucket_number(spot(column)) == F.col("__bucket"), "left").withColumn("__maybe", bit).drop("__bucket", "__bits")
+
+
 HOT_GROUPS = 1000
 
 
