@@ -35,6 +35,15 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     return both.filter("__side = 1").select("__l.*", *[F.col(f"__m.{c}").alias(c if c not in left.columns else f"{c}_right") for c in [right_time, *columns]])
 
 
+def asof_forward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str]) -> DataFrame:
+    """Left rows with the columns of the first right row at or after them (right times are unique in a key)."""
+    tag = right.select(key, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*columns).alias("__r"))
+    rows = left.select(key, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct("*").alias("__l"))
+    w = Window.partitionBy(key).orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(tag, allowMissingColumns=True).withColumn("__m", F.last("__r", ignorenulls=True).over(w))
+    return both.filter("__side = 1").select("__l.*", *[F.col(f"__m.{c}").alias(c if c not in left.columns else f"{c}_right") for c in columns])
+
+
 def calendar(price: DataFrame) -> DataFrame:
     """Trading days: the distinct price dates, with the day before (else seven days earlier) and the position. A row per trading day."""
     w = Window.orderBy("td")

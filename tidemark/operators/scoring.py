@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, occurrences, squeezed
@@ -22,7 +22,8 @@ def valuation_penalty(pos: str, pbr: str) -> Column:
 
 
 def volume_multiplier(last: Column, mean: Column) -> Column:
-    return clamp(F.log1p(F.coalesce(F.try_divide(last, mean), F.lit(1.0))) / F.log1p(F.lit(1.0)), 0.5, 2.0)
+    """The logarithm of one and the last volume over the mean of the last days, 0.5 to 2; 1 without a mean."""
+    return F.when(mean > 0, clamp(F.log1p(last / mean), 0.5, 2.0)).otherwise(1.0)
 
 
 def status(net: str, intensity: str, volatility: str, n: str, critical: str) -> Column:
@@ -35,8 +36,38 @@ def status(net: str, intensity: str, volatility: str, n: str, critical: str) ->
     )
 
 
-def expected_alpha(net: Column, multiplier: Column) -> Column:
-    return clamp(net * multiplier, -0.15, 0.15)
+def combined(main: DataFrame, buffer: DataFrame, keys: list[str]) -> DataFrame:
+    """The two dictionaries as one: betas of a feature in both add up."""
+    return main.select(*keys, "feature", "beta").unionByName(buffer.select(*keys, "feature", "beta")).groupBy(*keys, "feature").agg(F.sum("beta").alias("beta"))
+
+
+def predict_advanced(words: DataFrame, dictionary: DataFrame, dense: DataFrame, stats: DataFrame, keys: list[str], critical: list[str], least: float = 1e-5, top: int = 3, shared: bool = False) -> DataFrame:
+    """One row per key: expected_alpha, net, intensity, status, confidence, positive and negative (its `top` strongest words and their weights).
+
+    words: (keys, word, lag, weight), a row per token with the time weight of its article. dictionary: (keys, feature, beta), features word_L1 and so
+    on, and the names of dense columns (shared: one dictionary without keys, for all of them). dense: (keys, feature, value, mean, scale), fundamentals and indicators alike. stats: (keys, last_volume,
+    mean_volume, volatility, n, pbr, mae). Token contributions of at most `least` do not count. Keys of stats without words are left out.
+    """
+    feature = F.concat("word", F.lit("_L"), F.col("lag").cast("string"))
+    tokens = words.groupBy(*keys, "word", "lag", "weight").agg(F.count("*").alias("times")).withColumn("feature", feature)
+    latest = words.filter("lag = 1").groupBy(*keys).agg(F.count("*").alias("tokens"))
+    on = ["feature"] if shared else [*keys, "feature"]
+    dictionary = dictionary.select(*on, "beta")
+    hit = tokens.join(dictionary, on).select(*keys, "word", F.round(F.col("beta") * F.col("weight"), 12).alias("c"), "times").filter(F.abs("c") > least)
+    more = dense.join(dictionary, on).select(*keys, F.col("feature").alias("word"), F.round(F.when(F.col("scale") != 0, (F.col("value") - F.col("mean")) / F.col("scale") * F.col("beta")).otherwise(0.0), 12).alias("c"), F.lit(1).cast("long").alias("times"))
+    all_ = hit.unionByName(more).groupBy(*keys, "word", "c").agg(F.sum("times").alias("times"))
+    rank = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(order, "word"))
+    ranked = all_.withColumns({"up": rank(F.desc("c")), "down": rank(F.asc("c"))})
+    side = lambda on, k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(on & (F.col(k) <= top), F.struct(k, "word", "c")))), lambda x: F.concat(x.word, F.lit(":"), F.round(x.c * 1e6).cast("long").cast("string"))), ",")
+    sums = ranked.groupBy(*keys).agg(
+        F.sum(F.when(F.col("c") > 0, F.col("c") * F.col("times")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("c") < 0, F.col("c") * F.col("times")).otherwise(0.0)).alias("neg"),
+        F.max(F.col("word").isin(critical) & (F.col("c") < 0)).alias("bad"), F.max(F.col("word").isin(critical) & (F.col("c") > 0)).alias("good"),
+        side(F.col("c") > 0, "up").alias("positive"), side(F.col("c") < 0, "down").alias("negative"),
+    )
+    x = words.select(*keys).distinct().join(stats, keys).join(sums, keys, "left").join(latest, keys, "left").fillna(0.0, ["pos", "neg"]).fillna(0, ["tokens"]).fillna("", ["positive", "negative"])
+    multiplier = F.coalesce(volume_multiplier(F.col("last_volume"), F.col("mean_volume")), F.lit(1.0))
+    x = x.withColumn("pos", valuation_penalty("pos", "pbr")).withColumns({"net": (F.col("pos") + F.col("neg")) * multiplier, "intensity": (F.col("pos") - F.col("neg")) * multiplier, "critical": F.when(F.coalesce("bad", F.lit(False)), -1).when(F.coalesce("good", F.lit(False)), 1).otherwise(0)})
+    return x.select(*keys, clamp(F.col("net"), -0.15, 0.15).alias("expected_alpha"), "net", "intensity", status("net", "intensity", "volatility", "n", "critical").alias("status"), confidence("tokens", "mae", "net").alias("confidence"), "positive", "negative")
 
 
 def confidence(tokens: str, mae: str, net: str) -> Column:

@@ -170,19 +170,6 @@ def lagged_daily_scores(spark, d):
     return n.join(F.broadcast(cal), "td").join(v, "word").groupBy("stock_code", day("target").alias("date")).agg(F.round(F.sum(F.col("beta") / F.sqrt("lag")), 6).alias("score"), F.count("*").alias("hits"))
 
 
-@R.add()
-def daily_training_and_prediction(spark, d):
-    """A whole run: lagged returns, sparse fit, dictionary of coefficients, prediction of every stock's last day, settlement."""
-    p = price(spark, d)
-    rows = models.lagged(p, "stock_code", "date", "return_rate", 5)
-    last = rows.groupBy("stock_code").agg(F.max("date").alias("last"))
-    fit = models.lasso(rows.join(last, "stock_code").filter("date < last").drop("last"), "stock_code", "date", 1e-5)
-    w = fit.groupBy("stock_code").agg(F.map_from_entries(F.collect_list(F.struct("feature", "coefficient"))).alias("w"))
-    at = rows.join(last, "stock_code").filter("date = last").join(w, "stock_code")
-    score = F.coalesce(F.element_at("w", -1), F.lit(0.0)) + F.aggregate(F.transform("x", lambda v, i: v * F.coalesce(F.element_at("w", i), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
-    return at.select("stock_code", day("date").alias("date"), score.alias("expected_alpha"), F.col("y").alias("actual_alpha")).withColumn("is_correct", metrics.same_sign("expected_alpha", "actual_alpha"))
-
-
 @R.add()
 def hashed_embeddings(spark, d):
     return tables.hashed_embeddings(table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("words")), "doc_id", "words")

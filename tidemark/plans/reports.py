@@ -92,16 +92,19 @@ def drift_windows(spark, d):
     return ordered.drift(s, "stock_code", "prediction_date", "ok")
 
 
-_SERIES = "s as (select stock_code, date, close_price as v, row_number() over (partition by stock_code order by date) - 1 as k from price)"
+SERIES = "s as (select stock_code, date, close_price as v, row_number() over (partition by stock_code order by date) - 1 as k from price)"
 
 
-@R.add(with_views("price", _SERIES + """, r as (select stock_code, date, k, v, cast(0 as double) as g, cast(0 as double) as l from s where k = 0 union all
-select s.stock_code, s.date, s.k, s.v, case when s.k <= 14 then r.g + greatest(s.v - r.v, 0) / 14 else (r.g * 13 + greatest(s.v - r.v, 0)) / 14 end, case when s.k <= 14 then r.l + greatest(r.v - s.v, 0) / 14 else (r.l * 13 + greatest(r.v - s.v, 0)) / 14 end from r join s on s.stock_code = r.stock_code and s.k = r.k + 1)""", "select stock_code, strftime(date, '%Y-%m-%d') as date, round(case when k < 14 or l = 0 then 0 else 100 - 100 / (1 + g / l) end, 5) as rsi from r").replace("with ", "with recursive ", 1))
+RSI = """r as (select stock_code, date, k, v, cast(0 as double) as g, cast(0 as double) as l from s where k = 0 union all
+select s.stock_code, s.date, s.k, s.v, case when s.k <= 14 then r.g + greatest(s.v - r.v, 0) / 14 else (r.g * 13 + greatest(s.v - r.v, 0)) / 14 end, case when s.k <= 14 then r.l + greatest(r.v - s.v, 0) / 14 else (r.l * 13 + greatest(r.v - s.v, 0)) / 14 end from r join s on s.stock_code = r.stock_code and s.k = r.k + 1)"""
+
+
+@R.add(with_views("price", SERIES + ", " + RSI, "select stock_code, strftime(date, '%Y-%m-%d') as date, round(case when k < 14 or l = 0 then 0 else 100 - 100 / (1 + g / l) end, 5) as rsi from r").replace("with ", "with recursive ", 1))
 def rsi_wilder(spark, d):
     return ordered.wilder_rsi(price(spark, d), "stock_code", "date", "close_price").select("stock_code", day("date").alias("date"), F.round("rsi", 5).alias("rsi"))
 
 
-@R.add(with_views("price", _SERIES + """, r as (select stock_code, date, k, v as f, v as w, cast(0 as double) as g from s where k = 0 union all
+@R.add(with_views("price", SERIES + """, r as (select stock_code, date, k, v as f, v as w, cast(0 as double) as g from s where k = 0 union all
 select stock_code, date, k, f, w, (f - w) * 0.2 + g * 0.8 from (select s.stock_code, s.date, s.k, cast(s.v * 2 / 13 + r.f * 11 / 13 as double) as f, cast(s.v * 2 / 27 + r.w * 25 / 27 as double) as w, r.g from r join s on s.stock_code = r.stock_code and s.k = r.k + 1))""", "select stock_code, strftime(date, '%Y-%m-%d') as date, round(f - w, 4) as macd, round(g, 4) as macd_signal from r").replace("with ", "with recursive ", 1))
 def macd(spark, d):
     return ordered.macd(price(spark, d), "stock_code", "date", "close_price").select("stock_code", day("date").alias("date"), F.round("macd", 4).alias("macd"), F.round("macd_signal", 4).alias("macd_signal"))
