@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, flagged, join_groups, salted_semi
+from .workspace import NO_MARK, Workspace, flagged, join_groups, salted_semi
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,6 +34,7 @@ def fold(spark: SparkSession, inbox: str, schema, out: str, state: str, files_pe
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no disk held in advance
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    session.conf.set("spark.sql.streaming.checkpointFileManagerClass", "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")  # works on all stores
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     reader = session.readStream.schema(schema)
     if files_per_batch:
@@ -43,7 +44,7 @@ def fold(spark: SparkSession, inbox: str, schema, out: str, state: str, files_pe
         state_of.writeStream.outputMode("update")
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
-        .foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/batch_{k:09d}"))
+        .foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("overwrite").option(*NO_MARK).parquet(f"{out}/batch_{k:09d}"))
         .start()
     )
     try:

@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.filter("id is not null")
     bound_arrow_batches(spark)
     held = spark.sparkContext.broadcast(sketch(rows.select("text")))  # 2**SKETCH_BITS bytes
-    index(rows, held, shards(spark), percent).write.partitionBy("kind").parquet(ws.path("index"))
+    ws.table(index(rows, held, shards(spark), percent), "index", "kind")
     held.destroy()
     posted = spark.read.schema(INDEX).parquet(ws.path("index"))
     meta = ws.table(documents_of(posted), "documents")

@@ -27,6 +27,28 @@ def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
+NO_MARK = ("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")  # nobody waits for an intermediate table's _SUCCESS
+
+
+def release(spark: SparkSession) -> None:
+    """The driver's JVM frees the shuffle files and broadcasts of finished steps, and returns free memory of its own to the machine, where it has
+    that command."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    jvm.System.gc()
+    of = jvm.java.lang.Class.forName
+
+    def call(name: str, *given) -> object:
+        """A method of the management interface; the class behind it is not open to calls."""
+        kinds, values = gateway.new_array(jvm.java.lang.Class, len(given)), gateway.new_array(jvm.java.lang.Object, len(given))
+        for k, (kind, value) in enumerate(given):
+            kinds[k], values[k] = of(kind), value
+        return of("javax.management.MBeanServer").getMethod(name, kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+    bean = ("javax.management.ObjectName", jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"))
+    if any(x.getName() == "systemTrimNativeHeap" for x in call("getMBeanInfo", bean).getOperations()):
+        call("invoke", bean, ("java.lang.String", "systemTrimNativeHeap"), ("[Ljava.lang.Object;", None), ("[Ljava.lang.String;", None))
+
+
 class Workspace:
     """Names tables below the shared folder, writes them and removes them.
 
@@ -41,15 +63,17 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
+        """Written, by the folders of `parts` if there are any, and read again."""
+        out = df.write.mode("overwrite").option(*NO_MARK)
+        (out.partitionBy(*parts) if parts else out).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def bucketed(self, df: DataFrame, name: str, key: str | list[str], n: int) -> DataFrame:
         """A table in n buckets of a key: later groupings and joins by it need no shuffle of these rows. Only its files outlive this call, not
         its name in the catalogue."""
         known = f"tidemark_{uuid.uuid4().hex}"
-        df.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", self.path(name)).saveAsTable(known)
+        df.write.option(*NO_MARK).bucketBy(n, key).sortBy(key).format("parquet").option("path", self.path(name)).saveAsTable(known)
         table = self.spark.table(known)
         self.spark.sql(f"DROP TABLE {known}")
         return table
@@ -60,7 +84,7 @@ class Workspace:
         for name in names:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        jvm.System.gc()
+        release(self.spark)
 
 
 ARROW_BYTES = 4 << 20
