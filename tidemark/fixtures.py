@@ -68,7 +68,7 @@ def sentiment_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "labels").select("doc_id", "quality")
     mean = q.agg((F.sum("quality") / F.count("quality")).alias("mean"))
     return (
-        word_days(spark, sf_dir).join(q, "doc_id").groupBy("word", F.col("source").alias("version")).agg(F.sum("quality").alias("s"), F.count("quality").alias("n"), F.max("published_at").alias("updated_at")).filter("n >= 2")
+        news(spark, sf_dir).join(q, "doc_id").select("source", "quality", "published_at", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word")).groupBy("word", F.col("source").alias("version")).agg(F.sum("quality").alias("s"), F.count("quality").alias("n"), F.max("published_at").alias("updated_at")).filter("n >= 2")
         .crossJoin(F.broadcast(mean)).select("word", "version", F.round(F.col("s") / F.col("n") - F.col("mean"), 6).alias("beta"), "n", "updated_at")
     )
 

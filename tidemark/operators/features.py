@@ -25,8 +25,8 @@ def vocabulary(tf: DataFrame, n_rows: int | None, rows: DataFrame, row: str, min
 def tfidf(tf: DataFrame, vocab: DataFrame, row: str) -> DataFrame:
     """(row, word, value): tf times idf, each row scaled to length one."""
     x = tf.join(vocab, "word").select(row, "word", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = x.groupBy(row).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return x.join(norm, row).select(row, "word", (F.col("x") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(row)))  # one shuffle by row, none for a join
+    return x.select(row, "word", (F.col("x") / norm).alias("value"))
 
 
 def max_abs(x: DataFrame, feature: str = "word", value: str = "value") -> DataFrame:

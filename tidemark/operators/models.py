@@ -88,46 +88,58 @@ def optimal_lag(df: DataFrame, key: str, by: str, value: str, most: int = 5, alp
 
 
 def walk_forward(df: DataFrame, folds: DataFrame, key: str, by: str, alpha: float) -> DataFrame:
-    """(key, test_date, predicted, actual): each retraining fold's model, from rows with train_start <= date <= train_end, predicts until the
-    next retraining. Folds meet rows by date ranges through the fold's trading days, so the join is by equality."""
-    fits = folds.filter("retrain").select("model_pos", "train_start", "train_end")
-    days = fits.select("model_pos", F.explode(F.sequence("train_start", "train_end")).alias(by), F.lit(True).alias("train"))
-    days = days.unionByName(folds.select("model_pos", F.col("test_date").alias(by), F.lit(False).alias("train")))
-    rows = df.join(days, by)
-
-    def run(key_, pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, te = pdf[pdf.train].sort_values(by), pdf[~pdf.train]
-        if len(tr) < 20 or not len(te):
-            return pd.DataFrame(columns=[key, "test_date", "predicted", "actual"])
-        w, b = solvers.lasso_cd(np.stack(tr.x.to_numpy()), tr.y.to_numpy(float), alpha, steps=200, tol=1e-7)
-        return pd.DataFrame({key: key_[0], "test_date": te[by], "predicted": np.stack(te.x.to_numpy()) @ w + b, "actual": te.y})
-
-    return rows.groupBy(key, "model_pos").applyInPandas(run, f"{key} string, test_date date, predicted double, actual double")
+    """(key, test_date, predicted, actual): each retraining fold's model, from rows with train_start <= date <= train_end (20 at least), predicts
+    until the next retraining. Every key's rows are moved and sorted once; a fold is a slice of them. The folds, a row per trading
+    day, go along with the function."""
+    f = folds.select("model_pos", "test_date", "train_start", "train_end", "retrain").toPandas()
+    fits = f[f.retrain].sort_values("model_pos")
+    model = dict(zip(f.test_date, f.model_pos, strict=True))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by)
+        dates, x, y = pdf[by].to_numpy("datetime64[D]"), np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(float)
+        fold = np.array([model.get(d, -1) for d in pdf[by]])
+        out = []
+        for pos, lo, hi in zip(fits.model_pos, *(np.searchsorted(dates, fits[c].to_numpy("datetime64[D]"), side) for c, side in (("train_start", "left"), ("train_end", "right"))), strict=True):
+            at = np.flatnonzero(fold == pos)
+            if hi - lo >= 20 and len(at):
+                w, b = solvers.lasso_cd(x[lo:hi], y[lo:hi], alpha, steps=200, tol=1e-7)
+                out.append(pd.DataFrame({key: pdf[key].iloc[0], "test_date": pdf[by].iloc[at], "predicted": x[at] @ w + b, "actual": y[at]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[key, "test_date", "predicted", "actual"])
+
+    return df.groupBy(key).applyInPandas(run, f"{key} string, test_date date, predicted double, actual double")
 
 
 def grid_scan(df: DataFrame, key: str, by: str, windows: list[int], alphas: list[float], done: DataFrame | None = None) -> DataFrame:
     """(key, window_months, alpha, hit_rate, mae, error): every cell on its own; cells of `done` are skipped, a failing cell reports its error.
-    A cell's window counts back from the last fifth of rows, on which it is judged."""
-    cells = df.sparkSession.createDataFrame([(w, a) for w in windows for a in alphas], "window_months int, alpha double")
-    keyed = df.select(key).distinct().crossJoin(F.broadcast(cells))  # windows x penalties, fixed
-    if done is not None:
-        keyed = keyed.join(done.select(key, "window_months", "alpha"), [key, "window_months", "alpha"], "left_anti")
-    rows = df.join(keyed, key)
-    names = [key, "window_months", "alpha", "hit_rate", "mae", "error"]
-
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    A cell's window counts back from the last fifth of rows, on which it is judged. A key's rows are moved once, whatever the number of cells."""
+    schema = f"{key} string, window_months int, alpha double, hit_rate double, mae double, error string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def cell(x: np.ndarray, y: np.ndarray, window: int, alpha: float) -> tuple:
         try:
-            pdf = pdf.sort_values(by)
-            cut = int(len(pdf) * 0.8)
-            tr, te = pdf.iloc[max(0, cut - 21 * int(k[1])) : cut], pdf.iloc[cut:]
-            w, b = solvers.lasso_cd(np.stack(tr.x.to_numpy()), tr.y.to_numpy(float), float(k[2]), steps=200, tol=1e-7)
-            p, y = np.stack(te.x.to_numpy()) @ w + b, te.y.to_numpy(float)
-            out = (float((np.sign(p) == np.sign(y)).mean()), float(np.abs(p - y).mean()), None)
+            cut = int(len(y) * 0.8)
+            lo = max(0, cut - 21 * window)
+            if not cut - lo or cut == len(y):
+                raise ValueError("a cell needs rows to fit and rows to judge it by")
+            w, b = solvers.lasso_cd(x[lo:cut], y[lo:cut], alpha, steps=200, tol=1e-7)
+            p = x[cut:] @ w + b
+            return float((np.sign(p) == np.sign(y[cut:])).mean()), float(np.abs(p - y[cut:]).mean()), None
         except (ValueError, ZeroDivisionError, np.linalg.LinAlgError) as e:
-            out = (None, None, str(e)[:200])
-        return pd.DataFrame([(*k, *out)], columns=names)
-
-    return rows.groupBy(key, "window_months", "alpha").applyInPandas(run, f"{key} string, window_months int, alpha double, hit_rate double, mae double, error string")
+            return None, None, str(e)[:200]
+
+    def run(k: tuple, pdf: pd.DataFrame, seen: pd.DataFrame | None = None) -> pd.DataFrame:
+        skip = set() if seen is None else set(zip(seen.window_months, seen.alpha, strict=True))
+        if not len(pdf):
+            return pd.DataFrame(columns=names)
+        pdf = pdf.sort_values(by)
+        x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(float)
+        with np.errstate(invalid="ignore"):
+            return pd.DataFrame([(*k, w, a, *cell(x, y, w, a)) for w in windows for a in alphas if (w, a) not in skip], columns=names)
+
+    if done is None:
+        return df.groupBy(key).applyInPandas(lambda k, pdf: run(k, pdf), schema)
+    return df.groupBy(key).cogroup(done.select(key, "window_months", "alpha").groupBy(key)).applyInPandas(lambda k, pdf, seen: run(k, pdf, seen), schema)
 
 
 def blend(tfidf: F.Column, other: F.Column, share: float = 0.6) -> F.Column:

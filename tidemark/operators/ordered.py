@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,45 +98,53 @@ def islands(days: DataFrame, key: str, date: str = "day") -> DataFrame:
     return days.withColumn("__g", F.date_sub(F.col(date), n)).groupBy(key, "__g").agg(F.min(date).alias("start"), F.max(date).alias("end"), F.count("*").alias("days")).drop("__g")
 
 
-def _fold(series: Column, start: Column, step, finish) -> Column:
-    return F.aggregate(series, start, step, finish)
+def by_series(df: DataFrame, key: str, by: str, value: str, columns: list[str], step: Callable[[list[float]], Iterator[tuple]]) -> DataFrame:
+    """(key, by, columns): what a recursion makes of each key's values in order; a key is one stock's history (thousands of days at most)."""
+    kinds = dict(df.dtypes)
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by)
+        made = pd.DataFrame(step(pdf[value].to_list()), columns=columns, index=pdf.index)
+        return pd.concat([pdf[[key, by]], made], axis=1)
 
-def gathered(df: DataFrame, key: str, by: str, value: str) -> DataFrame:
-    """A key's series in order as one array; a key is one stock's history (thousands of days at most)."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("d"), F.col(value).cast("double").alias("v")))).alias("s"))
+    schema = f"{key} {kinds[key]}, {by} {kinds[by]}, " + ", ".join(f"{c} double" for c in columns)
+    return df.select(key, by, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, schema)
 
 
 def wilder_rsi(df: DataFrame, key: str, by: str, value: str, n: int = 14) -> DataFrame:
     """(key, by, rsi): seeded with the mean of the first n changes, then smoothed by (n - 1) / n. 0 before n changes, and 0
     where there has been no loss (the published formula's choice)."""
-    zero = F.struct(F.array().cast("array<struct<d:date,rsi:double>>").alias("out"), F.lit(None).cast("double").alias("p"), F.lit(0).alias("k"), F.lit(0.0).alias("g"), F.lit(0.0).alias("l"))
 
-    def step(a: Column, x: Column) -> Column:
-        up, down = F.greatest(x.v - a.p, F.lit(0.0)), F.greatest(a.p - x.v, F.lit(0.0))
-        first = a.p.isNull()
-        grow = lambda old, new: F.when(first, F.lit(0.0)).when(a.k < n, old + new / n).otherwise((old * (n - 1) + new) / n)
-        g, lo = grow(a.g, up), grow(a.l, down)
-        k = F.when(first, F.lit(0)).otherwise(a.k + 1)
-        rsi = F.when((k < n) | (lo == 0), F.lit(0.0)).otherwise(100 - 100 / (1 + g / F.nullif(lo, F.lit(0.0))))
-        return F.struct(F.concat(a.out, F.array(F.struct(x.d.alias("d"), rsi.alias("rsi")))).alias("out"), x.v.alias("p"), k.alias("k"), g.alias("g"), lo.alias("l"))
+    def step(values: list[float]) -> Iterator[tuple]:
+        up = down = 0.0
+        for k, v in enumerate(values):
+            change = v - values[k - 1] if k else 0.0
+            keep = 1.0 if k <= n else (n - 1) / n
+            up, down = up * keep + max(change, 0.0) / n, down * keep + max(-change, 0.0) / n
+            yield (0.0 if k < n or down == 0 else 100 - 100 / (1 + up / down),)
 
-    return gathered(df, key, by, value).select(key, F.explode(F.aggregate("s", zero, step, lambda a: a.out)).alias("r")).select(key, F.col("r.d").alias(by), F.col("r.rsi").alias("rsi"))
+    return by_series(df, key, by, value, ["rsi"], step)
 
 
 def macd(df: DataFrame, key: str, by: str, value: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """(key, by, macd, macd_signal, macd_hist): exponential means with weight 2 / (n + 1), seeded with the first value."""
-    kind = "array<struct<d:date,m:double,s:double>>"
-    zero = F.struct(F.array().cast(kind).alias("out"), *[F.lit(None).cast("double").alias(c) for c in "fws"])
-    ema = lambda old, x, n: F.when(old.isNull(), x).otherwise(x * (2 / (n + 1)) + old * (1 - 2 / (n + 1)))
 
-    def step(a: Column, x: Column) -> Column:
-        f, w = ema(a.f, x.v, fast), ema(a.w, x.v, slow)
-        s = ema(a.s, f - w, signal)
-        return F.struct(F.concat(a.out, F.array(F.struct(x.d.alias("d"), (f - w).alias("m"), s.alias("s")))).alias("out"), f.alias("f"), w.alias("w"), s.alias("s"))
+    def step(values: list[float]) -> Iterator[tuple]:
+        mean: list[float] = []
+
+        def follow(k: int, x: float, n: int) -> float:
+            if len(mean) <= k:
+                mean.append(x)
+            else:
+                mean[k] = x * (2 / (n + 1)) + mean[k] * (1 - 2 / (n + 1))
+            return mean[k]
+
+        for v in values:
+            line = follow(0, v, fast) - follow(1, v, slow)
+            s = follow(2, line, signal)
+            yield line, s, line - s
 
-    rows = gathered(df, key, by, value).select(key, F.explode(F.aggregate("s", zero, step, lambda a: a.out)).alias("r"))
-    return rows.select(key, F.col("r.d").alias(by), F.col("r.m").alias("macd"), F.col("r.s").alias("macd_signal"), (F.col("r.m") - F.col("r.s")).alias("macd_hist"))
+    return by_series(df, key, by, value, ["macd", "macd_signal", "macd_hist"], step)
 
 
 def compounded(ret: Column, key: str, by: str) -> Column:

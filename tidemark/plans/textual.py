@@ -148,8 +148,8 @@ _VOL = "vol as (select word, count(*) as n, avg(abs(excess_return)) as volatilit
 
 
 def _volatility(spark, d):
-    w = word_days(spark, d).withColumn("date", F.to_date("published_at"))
-    return w.join(price(spark, d), ["stock_code", "date"]).groupBy("word").agg(F.count("*").alias("n"), F.avg(F.abs("excess_return")).alias("volatility"))
+    n = news(spark, d).select("stock_code", F.to_date("published_at").alias("date"), "content").join(price(spark, d), ["stock_code", "date"])  # articles first, words after
+    return n.select("excess_return", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.avg(F.abs("excess_return")).alias("volatility"))
 
 
 @R.add(with_views("word_days price", _VOL, "select word, n, round(volatility, 12) as volatility, round(w / (select avg(w) from kept), 6) as weight from kept"))
@@ -170,13 +170,15 @@ def tail_keywords(spark, d):
     p = price(spark, d)
     s = p.groupBy("stock_code").agg(F.avg("excess_return").alias("mu"), F.stddev_samp("excess_return").alias("sd"), F.count("*").alias("k")).filter("k > 200")
     e = p.join(s, "stock_code").filter(F.abs(F.col("excess_return") - F.col("mu")) > 2 * F.col("sd")).select("stock_code", F.explode(F.array("date", F.date_sub("date", 1))).alias("day"))
-    return word_days(spark, d).withColumn("day", F.to_date("published_at")).join(e, ["stock_code", "day"]).groupBy("word").agg(F.count("*").alias("hits")).filter("hits >= 2")
+    n = news(spark, d).select("stock_code", F.to_date("published_at").alias("day"), "content").join(e, ["stock_code", "day"])
+    return n.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("word")).groupBy("word").agg(F.count("*").alias("hits")).filter("hits >= 2")
 
 
 @R.add(sql("word_days price dict", "select word, count(*) as days, round(avg(case when sign(beta) = sign(excess_return) then 1.0 else 0.0 end), 6) as hit_rate from word_days join (select word, beta from dict where version = 'src0' and beta <> 0) using (word) join price on word_days.stock_code = price.stock_code and cast(published_at as date) + 1 = date group by 1"))
 def word_verification(spark, d):
     v = sentiment_dict(spark, d).filter("version = 'src0' and beta <> 0").select("word", "beta")
-    w = word_days(spark, d).withColumn("date", F.date_add(F.to_date("published_at"), 1)).join(v, "word").join(price(spark, d), ["stock_code", "date"])
+    n = news(spark, d).select("stock_code", F.date_add(F.to_date("published_at"), 1).alias("date"), "content").join(price(spark, d), ["stock_code", "date"])
+    w = n.select("excess_return", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word")).join(v, "word")
     return w.groupBy("word").agg(F.count("*").alias("days"), F.round(F.avg((F.signum("beta") == F.signum("excess_return")).cast("double")), 6).alias("hit_rate"))
 
 
