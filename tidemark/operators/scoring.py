@@ -41,17 +41,17 @@ def combined(main: DataFrame, buffer: DataFrame, keys: list[str]) -> DataFrame:
     return main.select(*keys, "feature", "beta").unionByName(buffer.select(*keys, "feature", "beta")).groupBy(*keys, "feature").agg(F.sum("beta").alias("beta"))
 
 
-def predict_advanced(words: DataFrame, dictionary: DataFrame, dense: DataFrame, stats: DataFrame, keys: list[str], critical: list[str], least: float = 1e-5, top: int = 3, shared: bool = False) -> DataFrame:
+def predict_advanced(words: DataFrame, dictionary: DataFrame, dense: DataFrame, stats: DataFrame, keys: list[str], critical: list[str], least: float = 1e-5, top: int = 3) -> DataFrame:
     """One row per key: expected_alpha, net, intensity, status, confidence, positive and negative (its `top` strongest words and their weights).
 
     words: (keys, word, lag, weight), a row per token with the time weight of its article. dictionary: (keys, feature, beta), features word_L1 and so
-    on, and the names of dense columns (shared: one dictionary without keys, for all of them). dense: (keys, feature, value, mean, scale), fundamentals and indicators alike. stats: (keys, last_volume,
+    on, and the names of dense columns (a dictionary may have some of the keys only, or none: then it serves all rows of those it has). dense: (keys, feature, value, mean, scale), fundamentals and indicators alike. stats: (keys, last_volume,
     mean_volume, volatility, n, pbr, mae). Token contributions of at most `least` do not count. Keys of stats without words are left out.
     """
     feature = F.concat("word", F.lit("_L"), F.col("lag").cast("string"))
     tokens = words.groupBy(*keys, "word", "lag", "weight").agg(F.count("*").alias("times")).withColumn("feature", feature)
     latest = words.filter("lag = 1").groupBy(*keys).agg(F.count("*").alias("tokens"))
-    on = ["feature"] if shared else [*keys, "feature"]
+    on = [*(k for k in keys if k in dictionary.columns), "feature"]
     dictionary = dictionary.select(*on, "beta")
     hit = tokens.join(dictionary, on).select(*keys, "word", F.round(F.col("beta") * F.col("weight"), 12).alias("c"), "times").filter(F.abs("c") > least)
     more = dense.join(dictionary, on).select(*keys, F.col("feature").alias("word"), F.round(F.when(F.col("scale") != 0, (F.col("value") - F.col("mean")) / F.col("scale") * F.col("beta")).otherwise(0.0), 12).alias("c"), F.lit(1).cast("long").alias("times"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import code, fundamentals, news, price, sentiment_dict, settled, sql, table, tokens
 from ..functions import expr
-from ..operators import lifecycle, metrics, ordered, scoring, training
+from ..operators import lifecycle, ordered, scoring, training
 from .registry import Registry
 from .relational import day, with_views
 from .reports import RSI, SERIES
@@ -67,14 +67,14 @@ def train_text_dictionary(spark, d):
     return trained(spark, d).withColumn("version", F.lit("1995-08-15"))
 
 
-def words_by_lag(spark: SparkSession, d: str, rows: DataFrame, at: DataFrame, lags: int) -> DataFrame:
-    """(stock_code, word, lag, weight) of the articles of each stock's last sessions: those from 16:00 on count for the next trading day, and an article
-    decays by the hours to the opening at nine of the stock's day in at (stock_code, td, tpos)."""
+def words_by_lag(spark: SparkSession, d: str, rows: DataFrame, at: DataFrame, lags: int, keys: tuple[str, ...] | list[str] = ("stock_code",)) -> DataFrame:
+    """(keys, word, lag, weight) of the articles of the last sessions before each row of at (stock_code, td, tpos): those from 16:00 on count for the
+    next trading day, and an article decays by the hours to the opening of td at nine."""
     n = news(spark, d).withColumn("date", ordered.session_date("published_at", "cutoff16"))
     placed = ordered.asof_forward(n.select("stock_code", "date", "published_at", "content"), rows, "stock_code", "date", "date", ["pos"])
     near = placed.join(at, "stock_code").withColumn("lag", F.col("tpos") - F.col("pos") + 1).filter(F.col("lag").between(1, lags))
     weight = expr.time_decay(expr.hours_since(F.col("published_at"), F.col("td").cast("timestamp") + F.expr("INTERVAL 9 HOURS")))
-    return near.select("stock_code", "lag", weight.alias("weight"), F.explode(tokens(F.col("content"))).alias("word"))
+    return near.select(*keys, "lag", weight.alias("weight"), F.explode(tokens(F.col("content"))).alias("word"))
 
 
 def market_stats(rows: DataFrame, at: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def predict_advanced(spark, d):
     rsi = ordered.wilder_rsi(p, "stock_code", "date", "close_price").join(at, "stock_code").filter("date = td").select("stock_code", F.lit("__T_rsi_14__").alias("feature"), F.col("rsi").alias("value"), F.lit(50.0).alias("mean"), F.lit(10.0).alias("scale"))
     mae = settled(spark, d).groupBy("stock_code").agg(F.avg(F.abs(F.col("expected_alpha") - F.col("actual_alpha"))).alias("mae"))
     stats = market_stats(rows, at).join(latest.select("stock_code", F.coalesce("pbr", F.lit(1.0)).alias("pbr")), "stock_code").join(mae, "stock_code", "left")
-    out = scoring.predict_advanced(words_by_lag(spark, d, rows, at, 5), both, dense.unionByName(rsi), stats, ["stock_code"], ["gratis", "idiot"], shared=True)
+    out = scoring.predict_advanced(words_by_lag(spark, d, rows, at, 5), both, dense.unionByName(rsi), stats, ["stock_code"], ["gratis", "idiot"])
     return out.select("stock_code", *[F.round(c, 8).alias(c) for c in ("expected_alpha", "net", "intensity")], "status", "confidence", "positive", "negative")
 
 
@@ -152,3 +152,73 @@ def daily_training_and_prediction(spark, d):
     out = scoring.predict_advanced(words_by_lag(spark, d, rows, nxt, LAGS), fitted, dense, stats, ["stock_code"], training.CRITICAL)
     actual = rows.join(nxt, "stock_code").filter("pos = tpos").select("stock_code", day("td").alias("date"), F.col("excess_return").alias("actual_alpha"))
     return out.join(actual, "stock_code").withColumn("is_correct", F.when(F.col("status").contains("Buy"), F.col("actual_alpha") > 0).when(F.col("status").contains("Sell"), F.col("actual_alpha") < 0).otherwise(F.lit(False)))
+
+
+WF_FIRST, WF_LAST, WF_WINDOW, WF_EVERY = "1995-06-01", "1995-08-15", 120, 20
+
+
+def walk_forward_set(rows: DataFrame, first: str, last: str, window_days: int, every: int) -> tuple[DataFrame, DataFrame]:
+    """(tests, fits): test rows (stock_code, fold, td, tpos), whose fold is retrained every so many of a stock's rows, and the range of days that each
+    fold learns from (fold, stock_code, lo, hi): window_days up to the day before its first test."""
+    w = Window.partitionBy("stock_code")
+    test = rows.filter(F.col("date").between(first, last)).withColumn("fold", F.floor((F.col("pos") - F.min("pos").over(w)) / every).cast("int"))
+    tests = test.select("stock_code", "fold", F.col("date").alias("td"), F.col("pos").alias("tpos"))
+    start = tests.groupBy("stock_code", "fold").agg(F.min("td").alias("from"))
+    return tests, start.select("stock_code", "fold", F.date_sub("from", 1 + window_days).alias("lo"), F.date_sub("from", 1).alias("hi"))
+
+
+def in_folds(df: DataFrame, fits: DataFrame) -> DataFrame:
+    """Rows once for each fold that learns from their date, under the fold's name as stock_code."""
+    own = fits.select(F.col("stock_code").alias("__stock"), "fold", "lo", "hi")
+    joined = df.join(own, F.col("stock_code") == F.col("__stock")).filter(F.col("date").between(F.col("lo"), F.col("hi")))
+    return joined.withColumn("stock_code", F.concat("__stock", F.lit("#"), F.col("fold").cast("string"))).drop("__stock", "fold", "lo", "hi")
+
+
+@R.add()
+def walk_forward_scorer(spark, d):
+    """Every stock's test days scored by dictionaries retrained on the days before: Buy stands for 1, Sell for 0, any other status for no prediction,
+    which counts as wrong."""
+    rows = training.numbered(price(spark, d), ["volume", "return_rate", "excess_return"])
+    tests, fits = walk_forward_set(rows, WF_FIRST, WF_LAST, WF_WINDOW, WF_EVERY)
+    dense = [named(c) for c in FUNDAMENTAL]
+    wide = dense_rows(spark, d, False)
+    kept = training.numbered(in_folds(wide.withColumn("y", F.col("excess_return")), fits), ["y", *[F.col(c).alias(named(c)) for c in FUNDAMENTAL]])
+    articles = news(spark, d).select("stock_code", F.to_date("published_at").alias("date"), tokens(F.col("content")).alias("words"))
+    fitted = training.train_dictionary(training.day_tfidf(training.day_counts(in_folds(articles, fits), kept), LAGS), kept, dense, LAGS)
+    key = F.concat("stock_code", F.lit("#"), F.col("fold").cast("string"))
+    placed = tests.select("stock_code", "td", "tpos", key.alias("key"))
+    words = words_by_lag(spark, d, rows, placed, LAGS, ["key", "td"])
+    before = placed.join(wide.select("stock_code", F.col("date").alias("td"), *FUNDAMENTAL), ["stock_code", "td"])
+    values = before.select("key", "td", F.explode(F.array(*[F.struct(F.lit(named(c)).alias("feature"), F.col(c).cast("double").alias("value")) for c in FUNDAMENTAL])).alias("x")).select("key", "td", "x.*")
+    fitted = fitted.withColumnRenamed("stock_code", "key")
+    scaled = values.join(fitted.filter("mean is not null").select("key", "feature", "mean", "scale"), ["key", "feature"])
+    day_stats = rows.withColumns({"last_volume": F.col("volume"), "mean_volume": F.avg("volume").over(_back(5)), "volatility": F.stddev_samp("return_rate").over(_back(30)), "n": F.count("return_rate").over(_back(30))})
+    stats = placed.withColumn("pos", F.col("tpos") - 1).join(day_stats.select("stock_code", "pos", "last_volume", "mean_volume", "volatility", "n"), ["stock_code", "pos"]).join(before.select("key", "td", "pbr"), ["key", "td"]).select("key", "td", "last_volume", "mean_volume", "volatility", "n", "pbr", F.lit(None).cast("double").alias("mae"))
+    out = scoring.predict_advanced(words, fitted, scaled, stats, ["key", "td"], training.CRITICAL)
+    actual = placed.join(rows.select("stock_code", F.col("pos").alias("tpos"), F.col("excess_return").alias("actual_alpha")), ["stock_code", "tpos"]).select("key", "td", "stock_code", "actual_alpha")
+    predicted = F.when(F.col("status").contains("Buy"), 1).when(F.col("status").contains("Sell"), 0)
+    return out.join(actual, ["key", "td"]).select("stock_code", day("td").alias("date"), "status", "expected_alpha", "actual_alpha", predicted.alias("prediction")).withColumn("is_correct", F.coalesce((F.col("prediction") == 1) == (F.col("actual_alpha") > 0), F.lit(False)))
+
+
+def _back(n: int):
+    return Window.partitionBy("stock_code").orderBy("pos").rowsBetween(1 - n, 0)
+
+
+@R.add(with_views("news price", "p as (select stock_code, min(date) as lo, max(date) as hi from price where date between date '1995-01-02' and date '1995-08-31' group by 1), n as (select stock_code, count(distinct cast(published_at as date)) as news_days from news group by 1)", "select stock_code, date_diff('day', lo, hi) as span_days, coalesce(news_days, 0) as news_days, date_diff('day', lo, hi) >= 50 and coalesce(news_days, 0) >= 30 as enough from p left join n using (stock_code)"))
+def data_availability(spark, d):
+    """Whether a stock has enough days of prices and of news to learn from a window of 60 days."""
+    p = price(spark, d).filter(F.col("date").between("1995-01-02", "1995-08-31")).groupBy("stock_code").agg(F.datediff(F.max("date"), F.min("date")).cast("long").alias("span_days"))
+    n = news(spark, d).groupBy("stock_code").agg(F.countDistinct(F.to_date("published_at")).alias("news_days"))
+    x = p.join(n, "stock_code", "left").fillna(0, ["news_days"])
+    return x.withColumn("enough", lifecycle.enough_data(F.col("span_days"), F.col("news_days"), 60))
+
+
+@R.add("select l.doc_id, quality from labels l where doc_id not in (select doc_id from documents where n_chars >= 500)")
+def stale_label_rows(spark, d):
+    return lifecycle.stale_labels(table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents").filter("n_chars >= 500"), ["doc_id"])
+
+
+@R.add("select event_id, case when event_type = 'click' then 'verification_light' else 'verification_heavy' end as queue, cast(floor(least(value, 100) * (event_id % 30) / 100) as int) as resume_day from events")
+def job_queue_and_resume(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", "DAILY_UPDATE").otherwise("SCAN").alias("kind"), F.least("value", F.lit(100)).alias("progress"), (F.col("event_id") % 30).alias("days"))
+    return e.select("event_id", lifecycle.routed_queue("kind").alias("queue"), lifecycle.resume_at("progress", "days").alias("resume_day"))

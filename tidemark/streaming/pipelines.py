@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -25,16 +28,25 @@ def arrivals(spark: SparkSession, path: str, per_batch: int | None = None) -> Da
     return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run(stream: DataFrame, mode: str, to: str, state: str) -> DataFrame:
-    """Runs a stream to the end of what is there; append goes to files, other modes to one table per batch, of which the last counts."""
+def run(stream: DataFrame, mode: str, to: str, state: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream to the end of what is there. Append goes to files; other modes write each batch to a folder of its own, so a batch that runs
+    again overwrites itself alone: of complete batches the last one counts, of update batches the last row of each of `keys`."""
     spark = stream.sparkSession
     w = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
-        q = w.outputMode("append").format("parquet").option("path", to).start()
-    else:
-        q = w.outputMode(mode).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(to)).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(to)
+        w.outputMode("append").format("parquet").option("path", to).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(to)
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of the table")
+    w.outputMode(mode).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{to}/batch={k}")).start().awaitTermination()
+    folder_ = spark._jvm.org.apache.hadoop.fs.Path(to)
+    if not folder_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder_):  # nothing has arrived
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", to).parquet(to)
+    if mode == "complete":
+        return rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+    last = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return rows.withColumn("__k", F.row_number().over(last)).filter("__k = 1").drop("__k", "batch")
 
 
 def daily_counts(events: DataFrame, ts: str, kind: str, late: str = "1 day") -> DataFrame:
