@@ -115,22 +115,23 @@ def dealt(rows: DataFrame) -> GroupedData:
     return rows.withColumn("__deal", known[F.col("shard")]).groupBy("__deal")
 
 
-MOST_BITS = 1 << 26
+MOST_BITS = 1 << 25
 
 
 def flagged(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows with __maybe: false where the column's value is certainly none of the keys.
 
-    The keys are bits of a table that is broadcast: 16 bits a key, 8 MB at most. Rows of other keys share bits now and then (very often where the
-    keys are far more than the bits); whoever asks joins the rows that may match, few as a rule, and spares the others the shuffle.
+    The keys are bits of a table that is broadcast: 16 bits a key, at most MOST_BITS in words of 64 (16 MB with their numbers). Rows of other keys
+    share bits now and then (very often where the keys are far more than the bits); whoever asks joins the rows that may match, few as a
+    rule, and spares the others the shuffle.
     """
-    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * keys.count() + 1).bit_length()))
-    spot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits)) + 1
-    made = keys.select(F.bitmap_bucket_number(spot(key)).alias("__bucket"), F.bitmap_bit_position(spot(key)).alias("__at")).groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
-    at = F.bitmap_bit_position(spot(column))
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
-    return rows.join(F.broadcast(made), F.bitmap_bucket_number(spot(column)) == F.col("__bucket"), "left").withColumn("__maybe", bit).drop("__bucket", "__bits")
+    bits = min(MOST_BITS, max(1 << 12, 1 << (16 * keys.count() + 1).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
+    word = lambda c: F.shiftright(spot(c), 6)
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (spot(c) % 64).cast("int"))
+    made = keys.select(word(key).alias("__word"), one(key).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    joined = rows.join(F.broadcast(made), word(column) == F.col("__word"), "left")
+    return joined.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(one(column)) != 0, F.lit(False))).drop("__word", "__bits")
 
 
 HOT_GROUPS = 1000
@@ -156,4 +157,4 @@ def salted_semi(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     hot = F.broadcast(pieces.filter("__pieces > 1"))  # fewer than `most` rows
     dealt_rows = rows.join(hot, key, "left").withColumn("__piece", F.coalesce(F.floor(F.rand(7) * F.col("__pieces")), F.lit(0).cast("long"))).drop("__pieces")
     wanted = pieces.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__pieces") - 1)).alias("__piece"))  # at most `most` more than groups
-    return dealt_rows.join(wanted, [key, "__piece"], "left_semi").drop("__piece")
+    return dealt_rows.join(wanted.hint("merge"), [key, "__piece"], "left_semi").drop("__piece")
