@@ -58,3 +58,12 @@ def test_segments_and_long_texts(spark):
     seg = chat_format.format_conversations(spark.createDataFrame([(1, 0, "user", "a" * 300_000), (1, 1, "assistant", "ok")], SCHEMA)).orderBy("seg_no").collect()
     assert [(s.kind, s.loss) for s in seg] == [("mark", False), ("text", False), ("mark", False), ("mark", False), ("text", True), ("mark", False)]
     assert "".join(s.text for s in seg) == "[INST] " + "a" * 300_000 + " [/INST]<s> ok</s>"
+
+
+def test_columns_that_clash_are_not_read(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho")], "conv_id long, turn int, role string, text string")
+    extra = ["kind", "loss", "seg_no", "turn_no", "valid", "n_turns"]
+    plain = chat_format.read_back(chat_format.format_conversations(rows)).collect()
+    assert chat_format.read_back(chat_format.format_conversations(rows.select("*", *[F.lit(c).alias(c) for c in extra]))).collect() == plain

@@ -85,6 +85,16 @@ def test_frequent_pairs_keep_their_counts(spark):
     assert r.score == pytest.approx(sum(math.log10(p(b, x)) for b, x in zip(["<s>", *w], w)))
 
 
+def test_language_model_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (None, None)], "doc_id long, text string")
+    model = language_model.train(df)
+    p, words = kneser_ney(["a b c", "a b c", "a b c", None])
+    assert (model.tokens, model.words) == (sum(words.values()), len(words))
+    got = language_model.score(df, model).collect()
+    full = sum(math.log10(p(b, x)) for b, x in zip(["<s>", "a", "b", "c"], ["a", "b", "c", "</s>"]))
+    assert sorted((r.doc_id or 0, r.n_tokens, round(r.score, 9)) for r in got) == sorted([(0, 4, round(full, 9)), (1, 4, round(full, 9)), (1, 4, round(full, 9)), (0, 1, round(math.log10(p("<s>", "</s>")), 9))])
+
+
 def test_op3_beats_the_base_on_held_out_text(spark):
     r = queries.op3_language_model(spark, SF).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
@@ -203,9 +213,26 @@ def test_windows_cover_every_word_and_overlap():
 
 
 def test_op5_on_held_out_text(spark):
-    lab = spark.read.parquet(f"{SF}/labels.parquet")
-    r = {(x.toxic, x.predicted): x["count"] for x in queries.op5_toxicity(spark, SF).filter("held_out").join(lab, "doc_id").groupBy("toxic", "predicted").count().collect()}
-    assert r.get((0, 0), 0) > 0.88 * (r.get((0, 0), 0) + r.get((0, 1), 0)) and r.get((1, 1), 0) > r.get((1, 0), 0)
+    large = "/root/testdata/sf0.1"  # some 600 toxic texts; the smaller tables have too few to learn from
+    lab = spark.read.parquet(f"{large}/labels.parquet")
+    r = {(x.toxic, x.predicted): x["count"] for x in queries.op5_toxicity(spark, large).filter("held_out").join(lab, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert r[1, 1] > 0.88 * (r[1, 1] + r[1, 0]) and r[0, 0] > 0.94 * (r[0, 0] + r[0, 1])
+
+
+def test_long_runs_are_read_to_their_end():
+    run = "lovely" * 40
+    data = [run.encode(), (run + "scumidiotscum").encode()]
+    buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    ids, grams, length, back, start, doc, first = toxicity.prepared(buf, offsets)
+    assert np.diff(first).tolist() == [10, 11] and length.max() <= toxicity.PART  # every byte stands in a part
+    assert length[back].sum() == sum(map(len, data))
+
+
+def test_contradicting_labels_teach_nothing(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 3} and some more words", ) for k in range(40)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(k, 1 - k % 2) for k in range(40)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, lab)).collect()
+    assert len({r.score for r in got}) == 1 and len(got) == 40
 
 
 def test_toxicity_of_odd_texts(spark, docs, empty):

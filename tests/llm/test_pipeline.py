@@ -66,3 +66,26 @@ def test_run_is_the_stages(spark, stages):
 def test_language_stage_with_clashing_columns(spark):
     docs = queries.read(spark, SF, "documents").withColumns({"score": F.lit(1), "lang_pred": F.lit("x")})
     assert cp.identify_language(spark, docs, SF).columns == docs.columns
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, tmp_path, rows):
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    queries.read(spark, SF, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    assert cp.run(spark, tables(spark, tmp_path, [])).count() == 0
+
+
+def test_run_on_nulls_repeated_rows_and_a_very_long_text(spark, tmp_path):
+    long = " ".join(f"word{k} of many" for k in range(100_000))
+    text = lambda k: " ".join(f"plain{(k * 7 + j) % 997} text" for j in range(30))
+    rows = [(k, text(k), "en" if k % 2 else "de", None, None) for k in range(40)] + [(1, text(1), "en", None, None)] * 3 + [(None, text(90), "en", None, None), (None, text(90), None, None, None), (50, None, None, None, None), (51, "", "en", None, None), (52, " ", None, None, None), (53, "12 34", "en", None, None), (54, long, "de", None, None), (55, long, "en", None, None)]
+    got = cp.run(spark, tables(spark, tmp_path, rows))
+    ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
+    assert ids <= {*range(40), 54, None} and {1, 54, None} <= ids
+    assert got.filter("doc_id = 1 and start = 0").count() == 1  # of rows that repeat id and text one stays

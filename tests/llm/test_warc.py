@@ -48,3 +48,19 @@ def test_nulls_ties_and_repeats(spark):
 def test_empty(spark):
     archives, chunks = pages_back(spark, [])
     assert archives.count() == 0 and chunks.count() == 0
+
+
+def test_columns_that_clash_are_not_read(spark):
+    from pyspark.sql import functions as F
+
+    extra = ["payload", "size", "sha1", "key", "refers_to", "chunk", "chunk_no", "response_id", "r_key"]
+    pages = spark.createDataFrame([(1, "u", "z" * 1500), (2, "u", "z" * 1500)], SCHEMA).select("*", *[F.lit(c).alias(c) for c in extra])
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.page_rows(warc.read_archives(warc.archive_pages(pages))).collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None)}
+
+
+def test_a_large_payload_is_cut_before_it_is_repeated(spark):
+    rows = warc.decide(spark.createDataFrame([(1, "u", "x" * 100_000)], SCHEMA))
+    chunks = warc.chunk_rows(rows, 1000)
+    assert "payload" not in chunks.columns and chunks.count() == 100
+    assert sum(len(r.chunk) for r in chunks.collect()) == 100_000
