@@ -109,3 +109,30 @@ def test_optimal_lag_has_the_best_direction(spark, sf):
 def test_walk_forward_covers_every_stock(spark, sf, rows):
     got = catalogue.QUERIES["walk_forward"](spark, sf).collect()
     assert all(np.isfinite([r.predicted, r.actual]).all() for r in got) and len({(r.stock_code, r.test_date) for r in got}) == len(got)
+
+
+def test_hybrid_is_the_blend_of_words_and_a_ridge_on_vectors(spark, sf):
+    from tidemark.fixtures import price
+    from tidemark.operators import training
+    from tidemark.plans import signals
+
+    rows = training.numbered(price(spark, sf), ["excess_return"])
+    v = signals.day_vectors(spark, sf, rows).toPandas()
+    got = catalogue.QUERIES["hybrid_prediction"](spark, sf).collect()
+    tested = 0
+    for r in got:
+        own = v[v.stock_code == r.stock_code].sort_values("pos")
+        tr = own[(own.date.astype(str) >= signals.FIRST) & (own.date.astype(str) <= signals.LAST)]
+        if len(tr) < 2:
+            assert r.vectors is None
+            continue
+        x, y = np.stack(tr.x.to_numpy()).astype(float), tr.y.to_numpy(float)
+        sd = np.where(x.std(0) > 0, x.std(0), 1)
+        z = (x - x.mean(0)) / sd
+        w = np.linalg.lstsq(np.vstack([z, np.eye(z.shape[1])]), np.concatenate([y - y.mean(), np.zeros(z.shape[1])]), rcond=None)[0]
+        at = np.array(own[own.date.astype(str) == r.date].x.iloc[0], float)
+        want = (at - x.mean(0)) / sd @ w + y.mean()
+        assert r.vectors == pytest.approx(want, abs=1e-9) and r.blended == pytest.approx(0.6 * r.expected_alpha + 0.4 * want, abs=1e-9)
+        assert r.direction == np.sign(r.blended)
+        tested += 1
+    assert tested > 5

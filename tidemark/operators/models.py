@@ -69,6 +69,28 @@ def ridge_fit(df: DataFrame, key: str, order: str, penalty: float = 1.0) -> Data
     return per_group(df, [key], order, f"{key} string, intercept double, largest double, mse double", fit)
 
 
+def ridge_predict(train: DataFrame, test: DataFrame, key: str, order: str, penalty: float = 1.0) -> DataFrame:
+    """(key, order, predicted): what each key's ridge on standardised columns, fitted on its training rows (order, y, x), says of its test rows. Keys
+    with fewer than two training rows predict nothing."""
+    kind = dict(test.dtypes)[order]
+
+    def run(k: tuple, tr: pd.DataFrame, te: pd.DataFrame) -> pd.DataFrame:
+        if len(tr) < 2 or not len(te):
+            return pd.DataFrame(columns=[key, order, "predicted"])
+        tr = tr.sort_values(order)
+        w, b = solvers.ridge(np.stack(tr["x"].to_numpy()).astype(float), tr["y"].to_numpy(float), penalty)
+        return pd.DataFrame({key: k[0], order: te[order], "predicted": np.stack(te["x"].to_numpy()).astype(float) @ w + b})
+
+    named = test.select(*[F.col(c).alias(c) for c in (key, order, "x")])  # columns of their own, as both may come from one table
+    return train.select(key, order, "y", "x").groupBy(key).cogroup(named.groupBy(key)).applyInPandas(run, f"{key} string, {order} {kind}, predicted double")
+
+
+def mean_vectors(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """(keys, x): the mean of each key's vectors, element by element."""
+    each = rows.select(*keys, F.posexplode(vec).alias("i", "v")).groupBy(*keys, "i").agg(F.avg("v").alias("v"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e.v).alias("x"))
+
+
 def optimal_lag(df: DataFrame, key: str, by: str, value: str, most: int = 5, alpha: float = 1e-5) -> DataFrame:
     """(key, lag, hit_rate): the lag count with the best direction on the last fifth of rows; of equals the smaller."""
     parts = [lagged(df, key, by, value, k).withColumn("lag", F.lit(k)) for k in range(1, most + 1)]

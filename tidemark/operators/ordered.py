@@ -65,7 +65,7 @@ def impact_date(rows: DataFrame, days: DataFrame, date: str) -> DataFrame:
     spine = bounds.select(F.explode(F.sequence("lo", "hi")).alias("__d"))
     w = Window.orderBy("__d").rowsBetween(0, Window.unboundedFollowing)
     known = spine.join(days.select(F.col("td").alias("__d"), F.col("td").alias("__td")), "__d", "left").select("__d", F.first("__td", ignorenulls=True).over(w).alias("__to"))
-    before = rows.join(F.broadcast(known), F.col(date) == F.col("__d"), "left").crossJoin(F.broadcast(bounds))
+    before = rows.join(known, F.col(date) == F.col("__d"), "left").crossJoin(F.broadcast(bounds))
     return before.withColumn("impact_date", F.when(F.col(date) < F.col("lo"), F.col("lo")).otherwise(F.coalesce("__to", next_weekday(date)))).drop("__d", "__to", "lo", "hi")
 
 

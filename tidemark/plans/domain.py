@@ -167,7 +167,7 @@ def lagged_daily_scores(spark, d):
     nxt = days.select("td", F.lead("td").over(Window.orderBy("td")).alias("next_td"))
     cal = nxt.select("td", F.explode(F.array(F.struct(F.lit(1).alias("lag"), F.col("td").alias("target")), F.struct(F.lit(2).alias("lag"), F.col("next_td").alias("target")))).alias("l")).select("td", "l.*").filter("target is not null")
     v = sentiment_dict(spark, d).filter("version = 'src0'").select("word", "beta")
-    return n.join(F.broadcast(cal), "td").join(v, "word").groupBy("stock_code", day("target").alias("date")).agg(F.round(F.sum(F.col("beta") / F.sqrt("lag")), 6).alias("score"), F.count("*").alias("hits"))
+    return n.join(cal, "td").join(v, "word").groupBy("stock_code", day("target").alias("date")).agg(F.round(F.sum(F.col("beta") / F.sqrt("lag")), 6).alias("score"), F.count("*").alias("hits"))
 
 
 @R.add()

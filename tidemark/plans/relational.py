@@ -23,7 +23,7 @@ def join_inner_news_price(spark, d):
 @R.add("select n_name, o_orderpriority, count(*) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2")
 def join_three_way(spark, d):
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
-    return o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey).groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
 @R.add(sql("news price", "select doc_id, strftime(date, '%Y-%m-%d') as date, excess_return from news join price on news.stock_code = price.stock_code and cast(published_at as date) = date"))
@@ -62,7 +62,7 @@ def join_trading_day_lag(spark, d):
     days = ordered.calendar(price(spark, d))
     n = ordered.impact_date(news(spark, d).select(F.to_date("published_at").alias("date")), days, "date")
     lag3 = days.select(F.col("td").alias("impact_date"), F.lead("td", 2).over(Window.orderBy("td")).alias("target")).filter("target is not null")
-    return n.join(F.broadcast(lag3), "impact_date").groupBy(day("target").alias("date")).agg(F.count("*").alias("n"))
+    return n.join(lag3, "impact_date").groupBy(day("target").alias("date")).agg(F.count("*").alias("n"))
 
 
 _SPINE = "have as (select distinct stock_code, cast(published_at as date) as day from news), spine as (select stock_code, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from have group by 1), gaps as (select * from spine anti join have using (stock_code, day))"
@@ -103,7 +103,7 @@ def join_groupwise_max(spark, d):
 def join_topn_then_history(spark, d):
     v = sentiment_dict(spark, d)
     top = v.groupBy("word").agg(F.round(F.avg(F.abs("beta")), 6).alias("m")).orderBy(F.desc("m"), "word").limit(20)  # the feature: the 20 strongest words
-    return v.join(F.broadcast(top.select("word")), "word").select("word", "version", "beta")
+    return v.join(top.select("word"), "word").select("word", "version", "beta")
 
 
 @R.add(sql("price fund", "select price.stock_code, strftime(date, '%Y-%m-%d') as date, strftime(base_date, '%Y-%m-%d') as base_date, per, market_cap from price asof left join fund on price.stock_code = fund.stock_code and date >= base_date"))
@@ -118,7 +118,7 @@ def range_join_session_window(spark, d):
     n = ordered.impact_date(news(spark, d).withColumn("date", ordered.session_date("published_at", "cutoff16")), days, "date")
     first = days.filter("pos = 1").select(F.col("td").alias("first_td"), F.col("prev_td").alias("first_prev"))
     n = n.crossJoin(F.broadcast(first)).filter(F.expr("cast(published_at as timestamp) >= cast(first_prev as timestamp) + interval 16 hours"))
-    return n.join(F.broadcast(days.select(F.col("td").alias("impact_date"))), "impact_date", "left_semi").select("doc_id", day("impact_date").alias("session"))
+    return n.join(days.select(F.col("td").alias("impact_date")), "impact_date", "left_semi").select("doc_id", day("impact_date").alias("session"))
 
 
 @R.add(sql("price", "select price.stock_code, strftime(date, '%Y-%m-%d') as date, excess_return from price join (select stock_code, avg(excess_return) as mu, stddev_samp(excess_return) as sd from price group by 1 having count(*) > 200) s on price.stock_code = s.stock_code and abs(excess_return - mu) > 2 * sd"))
