@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .numtext import column
+from .numtext import column, let_go
 
 DIMS = 4096
 PER_LANGUAGE = 600
@@ -181,6 +181,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
+        let_go()
         for batch in batches:
             buf, offsets = column(batch, text_col)
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()

@@ -6,6 +6,7 @@ values, taken from prefix sums, so that a whole batch is hashed in a few numpy p
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,19 @@ _MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+#: What operators keep in a worker from task to task; an operator that needs none of it lets it go, since workers outlive their stage.
+CACHES: list[dict] = []
+
+
+def let_go() -> None:
+    """Empties the caches and returns their memory to the machine, where the C library can."""
+    if any(CACHES):
+        for c in CACHES:
+            c.clear()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2**64."""
     have = _powers.get(int(base))
@@ -149,6 +163,7 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts batches so that the texts of each piece take about `most` bytes, or hold one longer text."""
+    let_go()
     for batch in batches:
         buf, offsets = column(batch, text)
         lo, n = 0, len(batch)

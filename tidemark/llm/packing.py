@@ -18,9 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numtext import CACHES
 from .workspace import Workspace
 
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 500_000
 LONG_TEXT = 1 << 20
 #: Words of Latin letters that end where the tokenizer's own pattern would end them, runs of plain punctuation, other runs without
 #: white space, white space. Each piece is encoded alike alone and in its text.
@@ -30,6 +31,7 @@ PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, Encoder] = {}
+CACHES.append(_encoders)
 
 
 class Encoder:
