@@ -213,6 +213,12 @@ def test_windows_cover_every_word_and_overlap():
 
 
 def test_op5_on_held_out_text(spark):
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    r = {(x.toxic, x.predicted): x["count"] for x in queries.op5_toxicity(spark, SF).filter("held_out").join(lab, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert r.get((0, 0), 0) > 0.88 * (r.get((0, 0), 0) + r.get((0, 1), 0)) and r.get((1, 1), 0) > r.get((1, 0), 0)
+
+
+def test_op5_on_more_held_out_text(spark):
     large = "/root/testdata/sf0.1"  # some 600 toxic texts; the smaller tables have too few to learn from
     lab = spark.read.parquet(f"{large}/labels.parquet")
     r = {(x.toxic, x.predicted): x["count"] for x in queries.op5_toxicity(spark, large).filter("held_out").join(lab, "doc_id").groupBy("toxic", "predicted").count().collect()}
