@@ -92,12 +92,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat id and text one stays. Only rows whose id has a copy are joined."""
+    """The documents that stay, with all their columns; of rows that repeat id and text one stays. Only rows whose id goes or is repeated are joined."""
     copies = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
     ws = Workspace(docs.sparkSession, "keep-first")
     copies = ws.table(copies.groupBy(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")).agg(F.first("kept").alias("__kept"), F.count("*").alias("__kept_rows")), "copies")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    parted = flagged(docs.withColumn("__own_id", F.col(f"`{id_col}`")), "__own_id", copies, "__kept_id")
+    parted = flagged(docs.withColumn("__own_id", F.col(f"`{id_col}`")), "__own_id", copies.filter("not __kept or __kept_rows > 1"), "__kept_id")
     marked = parted.filter("__maybe").withColumn("__own_digest", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
     marked = marked.join(copies, F.col("__own_id").eqNullSafe(F.col("__kept_id")) & (F.col("__own_digest") == F.col("__kept_digest")), "left")
     one = marked.filter("__kept_rows is null or (__kept and __kept_rows = 1)").select(columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .numtext import grams, mix, slices, words
+from .numtext import column, grams, mix, slices, words
 from .workspace import Workspace, bound_arrow_batches, dealt, flagged, shards
 
 SHINGLE = 5
@@ -224,18 +224,6 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     return dealt(rows.filter("kind > 0").select("kind", "shard", "a", "b", "c")).applyInArrow(run, "t long, p int, g long, at int")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the sorted shingle hashes (8 bytes each) of the documents named in ids."""
-    wanted = named(docs, ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offsets in slices(batches, "text", SLICE):
-            h, start = shingle_hashes(buf, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["id", "s"])
-
-    return wanted.mapInArrow(run, "id long, s binary")
-
-
 def named(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id is in ids."""
     return flagged(rows, "id", ids, "id").filter("__maybe").drop("__maybe").join(ids, "id", "left_semi")
@@ -261,28 +249,26 @@ def promising(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
-    """The pairs (u, v, cu, cv) of nodes whose sets are similar enough; written. Sets are made anew for the documents that pairs name: one more
-    scan costs less than to keep and move the sets of all that share a token."""
+    """The pairs (u, v, cu, cv) of nodes whose sets are similar enough; written. Texts of the documents that pairs name move to their pairs, and sets
+    are made there: a text takes less room than the hashes of its shingles, which do not compress."""
     pairs = ws.table(pairs, f"{name}-pairs")
     signed = ws.table(named(meta.select("id", "g", "n", "sig"), ids_of(pairs, ws, f"{name}-ids")), f"{name}-signed")
     pairs = ws.table(promising(pairs, signed, percent), f"{name}-left")
-    sets = ws.table(sets_of(docs, ids_of(pairs, ws, f"{name}-ids")), f"{name}-sets")
+    texts = ws.table(named(docs, ids_of(pairs, ws, f"{name}-ids")), f"{name}-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (a, at), (b, bt) = (shingle_hashes(*column(batch, c)) for c in ("ta", "tb"))
             keep = np.zeros(len(batch), bool)
-            last, mine = None, None
-            for k, (a, b) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
-                if a != last:
-                    last, mine = a, np.frombuffer(a, "<u8")
-                other = np.frombuffer(b, "<u8")
+            for k in range(len(batch)):
+                mine, other = np.unique(a[at[k] : at[k + 1]]), np.unique(b[bt[k] : bt[k + 1]])
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 keep[k] = 100 * both >= percent * (len(mine) + len(other) - both)
             yield batch.select(["u", "v", "cu", "cv"]).take(pa.array(np.flatnonzero(keep)))
 
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("sa")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sb")), "v")
-    out = ws.table(both.select("u", "v", "cu", "cv", "sa", "sb").mapInArrow(run, "u long, v long, cu long, cv long"), name)
-    ws.drop(f"{name}-sets", f"{name}-left", f"{name}-signed", f"{name}-ids")
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("ta")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tb")), "v")
+    out = ws.table(both.select("u", "v", "cu", "cv", "ta", "tb").mapInArrow(run, "u long, v long, cu long, cv long"), name)
+    ws.drop(f"{name}-texts", f"{name}-left", f"{name}-signed", f"{name}-ids")
     return out
 
 
