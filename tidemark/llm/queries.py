@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, language_model, packing, substring_dedup, toxicity, warc
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, language_model, merkle, packing, substring_dedup, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,9 +73,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    cut = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verify(merkle.manifest(docs, tampered={"text": cut}))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_chat_format, op3_language_model, op4_packing, op5_toxicity, op6_substring_dedup, op7_warc, op8_jaccard_join, op9_exact_dedup, op10_language_id)
+    for f in (op1_decontaminate, op2_chat_format, op3_language_model, op4_packing, op5_toxicity, op6_substring_dedup, op7_warc, op8_jaccard_join, op9_exact_dedup, op10_language_id, op11_merkle)
 }
 
 ORACLE = {
