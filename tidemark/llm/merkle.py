@@ -153,3 +153,45 @@ def verify(proven: DataFrame) -> DataFrame:
     """Rows of `manifest` with proof_sha256, folded_root (from tampered_leaf) and verified in place of proof and tampered_leaf."""
     root = folded(F.col("tampered_leaf"), F.col("proof"))
     return proven.withColumns({"proof_sha256": proof_digest(F.col("proof")), "folded_root": root}).withColumn("verified", F.col("folded_root") == F.col("root")).drop("proof", "tampered_leaf")
+
+
+def oracle() -> str:
+    """DuckDB text of the query over `documents`."""
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(concat(" + ", ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    step = "list_reduce(range(8), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, xor(a, b))"
+    return f"""
+with recursive
+odd as (select distinct doc_id, list_reduce(list_transform(split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda a, b: {step}, 4294967295::bigint) % 2 = 0 as odd from documents),
+leaf as (
+  select doc_id, source, {leaf("text")} as node, {leaf("cut")} as other
+  from (select d.*, case when odd then text else replace(text, chr(10), '') end as cut from documents d join odd using (doc_id))
+),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, node) - 1 as pos, count(*) over (partition by source) as size from leaf),
+up as (
+  select 0 as lvl, source, pos, size, node from placed
+  union all
+  select lvl + 1, source, pos // 3, (size + 2) // 3, sha256(string_agg(node, '' order by pos)) from up where size > 1 group by all
+),
+tops as (select source, node as subroot, lvl as height, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as size from up where size = 1),
+over_ as (
+  select 0 as lvl, pos, size, subroot as node from tops
+  union all
+  select lvl + 1, pos // 3, (size + 2) // 3, sha256(string_agg(node, '' order by pos)) from over_ where size > 1 group by all
+),
+steps as (
+  select p.doc_id, p.source, u.lvl,
+    coalesce(string_agg(u.node, '' order by u.pos) filter (u.pos < p.pos // (3 ** u.lvl)::bigint), '') as lo, coalesce(string_agg(u.node, '' order by u.pos) filter (u.pos > p.pos // (3 ** u.lvl)::bigint), '') as hi
+  from placed p join up u on p.source is not distinct from u.source and u.pos // 3 = p.pos // (3 ** (u.lvl + 1))::bigint and u.size > 1 group by p.doc_id, p.source, u.lvl
+  union all
+  select p.doc_id, p.source, t.height + o.lvl,
+    coalesce(string_agg(o.node, '' order by o.pos) filter (o.pos < t.pos // (3 ** o.lvl)::bigint), ''), coalesce(string_agg(o.node, '' order by o.pos) filter (o.pos > t.pos // (3 ** o.lvl)::bigint), '')
+  from placed p join tops t on p.source is not distinct from t.source join over_ o on o.pos // 3 = t.pos // (3 ** (o.lvl + 1))::bigint and o.size > 1 group by p.doc_id, p.source, t.height, o.lvl
+),
+proofs as (select doc_id, list(struct_pack(lo := lo, hi := hi) order by lvl) as proof from steps group by 1),
+done as (
+  select p.doc_id, p.node as leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(proof, lambda s: s.lo || s.hi), ''), '')) as proof_sha256,
+    list_reduce(list_transform(coalesce(proof, []), lambda s: struct_pack(x := s.lo, y := s.hi)), lambda a, s: struct_pack(x := sha256(s.x || a.x || s.y), y := ''), struct_pack(x := p.other, y := '')).x as folded_root
+  from placed p join tops t on p.source is not distinct from t.source join (select node as root from over_ where size = 1) on true left join proofs using (doc_id)
+)
+select *, folded_root = root as verified from done"""

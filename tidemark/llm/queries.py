@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, language_model, merkle, packing, substring_dedup, toxicity, warc
+from . import chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, language_model, merkle, packing, substring_dedup, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,9 +79,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(docs, tampered={"text": cut}))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").filter(hard_negatives.usable(F.col("embedding"), F.col("label")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    taken = rows.select(F.col("vec_id").cast("long").alias("id"), label.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("q"))
+    return hard_negatives.mine(taken, F.coalesce(F.col("id") % 50 == 0, F.lit(False)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_chat_format, op3_language_model, op4_packing, op5_toxicity, op6_substring_dedup, op7_warc, op8_jaccard_join, op9_exact_dedup, op10_language_id, op11_merkle)
+    for f in (op1_decontaminate, op2_chat_format, op3_language_model, op4_packing, op5_toxicity, op6_substring_dedup, op7_warc, op8_jaccard_join, op9_exact_dedup, op10_language_id, op11_merkle, op13_hard_negatives)
 }
 
 ORACLE = {
@@ -96,4 +103,18 @@ from p left join r on p.digest = r.digest and size >= 1000""",
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as text_sha256 from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, text_sha256
 from d window w as (partition by text_sha256)""",
+    "op11_merkle": merkle.oracle(),
+    "op13_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as alike, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+),
+p as (select anchor_id, id as positive_id, score as positive_score from s where alike qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, row_number() over w as rank, id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not alike and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, id) qualify row_number() over w <= 3""",
 }
