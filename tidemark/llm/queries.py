@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, language_model, merkle, packing, substring_dedup, toxicity, warc
+from . import chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, language_model, merkle, packing, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(docs, tampered={"text": cut}))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").filter(hard_negatives.usable(F.col("embedding"), F.col("label")))
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -88,7 +92,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_chat_format, op3_language_model, op4_packing, op5_toxicity, op6_substring_dedup, op7_warc, op8_jaccard_join, op9_exact_dedup, op10_language_id, op11_merkle, op13_hard_negatives)
+    for f in (op1_decontaminate, op2_chat_format, op3_language_model, op4_packing, op5_toxicity, op6_substring_dedup, op7_warc, op8_jaccard_join, op9_exact_dedup, op10_language_id, op11_merkle, op12_suffix_dedup, op13_hard_negatives)
 }
 
 ORACLE = {
