@@ -4,7 +4,7 @@ import pytest
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names clash with those that operators use inside or return.
-EXTRA = ["id", "b", "g", "n", "kept", "score", "component_id", "digest", "shard", "lang_pred", "text_sha256"]
+EXTRA = ["id", "b", "g", "n", "kept", "score", "component_id", "digest", "shard", "lang_pred", "text_sha256", "__kept", "__word", "__bits", "__bit", "__maybe", "__kept_id", "__own_id", "__gone", "__row", "row", "own_id", "kept_id", "gone", "key", "pos", "h", "d"]
 
 
 @pytest.fixture(scope="session")

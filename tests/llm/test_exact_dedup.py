@@ -72,3 +72,9 @@ def test_flags_miss_no_key_and_few_others_are_flagged(spark):
     wanted = {None, *(7 * k for k in range(500))}
     assert all(r["__maybe"] for r in got if r.id in wanted)
     assert sum(r["__maybe"] for r in got if r.id not in wanted) < 2000
+
+
+def test_keep_first_leaves_columns_as_they_are(docs):
+    want = {r.doc_id: r for r in docs.collect()}
+    got = exact_dedup.keep_first(docs)
+    assert got.columns == docs.columns and all(r == want[r.doc_id] for r in got.collect())

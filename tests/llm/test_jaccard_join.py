@@ -34,7 +34,17 @@ def test_empty(empty):
 def test_nulls_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (1, "f g h i j"), (1, "a b c d e"), (4, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()), key=str)
-    assert got == sorted([(0, None, None), (2, 1, 1), (1, 1, 1), (1, 1, 1), (4, 0, 4)], key=str)
+    assert got == sorted([(0, 1, None), (2, 1, 1), (1, 1, 1), (1, 1, 1), (4, 0, 4)], key=str)
+
+
+def test_sizes_of_rows_without_id(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, None), (None, "one"), (1, "a b c d e f")], "doc_id long, text string")
+    assert sorted((r.n_shingles, r.component_id is None) for r in jaccard_join.near_duplicates(df).collect()) == [(0, True), (1, True), (2, False), (2, True)]
+
+
+def test_keep_one_leaves_columns_as_they_are(docs):
+    want = {r.doc_id: r for r in docs.collect()}
+    assert all(r == want[r.doc_id] for r in jaccard_join.keep_one(docs).collect())
 
 
 def test_keep_one(docs, corpus):

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import plain
 import pytest
+import regex as re
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, language_model, queries, toxicity
@@ -109,7 +110,7 @@ def test_op10_on_held_out_text(spark):
 def test_language_of_odd_texts(spark, docs, empty):
     model = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
     got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
-    odd = {r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")}
+    odd = {r.doc_id for r in docs.collect() if not re.search(r"\p{L}", r.text or "")}
     assert {i for i, r in got.items() if r.lang_pred == "und"} == odd and len(odd) == 4
     assert language_id.predict(docs, model).columns == [c for c in docs.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
     assert language_id.predict(empty, model).count() == 0
@@ -128,11 +129,22 @@ def test_a_language_of_copies_is_learned(spark):
         assert {r.lang_pred for r in language_id.predict(df.limit(3), model).collect()} == {"en"}
 
 
-def test_the_most_frequent_labels_are_learned(spark):
-    df = spark.createDataFrame([(k, f"{'abcdefgh'[k % 8] * 3} word{k}", "abcdefgh"[min(k % 8, k % 5)]) for k in range(400)], "doc_id long, text string, lang string")
-    model = language_id.train(df, most_languages=3, most_rows=60)
-    n = Counter(r.lang for r in df.collect())
-    assert sorted(x for names in model.tree.values() for x in names) == sorted(sorted(n, key=lambda x: (-n[x], x))[:3])
+def test_all_labels_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SEEDS", 6)
+    monkeypatch.setattr(language_id, "SEED_SIZE", 8)
+    word = lambda k: "".join(chr(97 + (k * 7 + j * j * (1 + k // 26)) % 26) for j in range(12))
+    df = spark.createDataFrame([(100 * k + j, f"{word(k)} {word(k)} {word(k + j % 2)}", f"x{k:02d}") for k in range(40) for j in range(1 + k % 3)], "doc_id long, text string, lang string")
+    model = language_id.train(df, most_rows=20)
+    assert sorted(x for names in model.tree.values() for x in names) == sorted({r.lang for r in df.collect()}) and len(model.tree) == 6
+    got = language_id.predict(df, model).filter("lang = lang_pred").count()
+    assert got > 0.7 * df.count()
+
+
+def test_number_signs_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "abc def", "en"), (2, "² ½ 5", "fr"), (3, "Ⅷ", None), (4, "①", None), (5, "123", None), (6, "é", None), (7, "字", None)], "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert [x for names in model.tree.values() for x in names] == ["en"]
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()} == {1: "en", 2: "und", 3: "und", 4: "und", 5: "und", 6: "en", 7: "en"}
 
 
 def plain_votes(model, text):
@@ -247,3 +259,71 @@ def test_toxicity_of_odd_texts(spark, docs, empty):
     got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
     assert len(got) == docs.count() and all(0 <= s <= 1 for s in got.values())
     assert toxicity.score(empty, net).count() == 0
+
+
+def test_toxicity_of_few_texts(spark):
+    """A class whose only text is held back, or has no word, or is one text many times."""
+    few = spark.createDataFrame([(k, f"fine words number {k}") for k in range(4)] + [(4, "you idiot scum")], "doc_id long, text string")
+    lab = lambda n: spark.createDataFrame([(k, int(k == n)) for k in range(5)], "doc_id long, toxic int")
+    for n in range(5):
+        assert toxicity.score(few, toxicity.train(few, lab(n))).count() == 5
+    blank = few.withColumn("text", F.when(F.col("doc_id") == 4, "").otherwise(F.col("text")))
+    assert len({r.score for r in toxicity.score(blank, toxicity.train(blank, lab(4))).filter("doc_id < 4").collect()}) == 1
+    clean = [(k, f"fine plain words of text {k} for all to read") for k in range(300)]
+    docs = spark.createDataFrame(clean, "doc_id long, text string").unionByName(spark.range(1000, 4000).select(F.col("id").alias("doc_id"), F.lit("you idiot scum of the earth").alias("text")))
+    net = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") >= 1000).cast("int").alias("toxic")), per_class=100)
+    got = {r.doc_id: r.score for r in toxicity.score(docs.filter("doc_id % 500 = 0"), net).collect()}
+    assert got[1000] > got[0]
+
+
+def test_scores_are_those_of_the_plain_network():
+    """Window by window and step by step, with plain loops."""
+    r = np.random.default_rng(1)
+    texts = ["good day to you all here", "You IDIOT scum!", "", " ".join(f"w{k % 7}" for k in range(60)), "é" * 30]
+    data = [t.encode() for t in texts]
+    buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    ids, *_ = toxicity.prepared(buf, offsets)
+    net = toxicity.Network(ids[::2])
+    net.p["word"][1:] = r.standard_normal(net.p["word"][1:].shape)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def vector(word):
+        b = np.frombuffer(word, np.uint8)
+        one = toxicity.prepared(b, np.array([0, len(b)]))
+        low = bytes(x + 32 if 65 <= x <= 90 else x for x in word)
+        marks = [1, *low, 2]
+        bucket = [((((a * 0x9E3779B1 + m * 0x85EBCA77 + z * 0xC2B2AE3D) & 0xFFFFFFFF) * 0x27D4EB2F & 0xFFFFFFFF) >> 16) % toxicity.CHAR_BUCKETS for a, m, z in zip(marks, marks[1:], marks[2:])]
+        at = np.flatnonzero(net.vocabulary == one[0][0])
+        return [*net.p["word"][at[0] + 1 if len(at) else 0], *np.mean(net.p["char"][bucket], 0)]
+
+    def window(ws):
+        x, h = [vector(w) for w in ws], toxicity.HIDDEN
+        states = [[0.0] * (2 * h) for _ in x]
+        for side, order, col in (("f", range(len(x)), 0), ("b", range(len(x) - 1, -1, -1), h)):
+            w, u, b = net.p[f"w{side}"], net.p[f"u{side}"], net.p[f"b{side}"]
+            now = [0.0] * h
+            for k in order:
+                g = [sum(x[k][i] * w[i, j] for i in range(len(x[k]))) + b[j] for j in range(3 * h)]
+                a = [sum(now[i] * u[i, j] for i in range(h)) for j in range(3 * h)]
+                z, q = [sig(g[j] + a[j]) for j in range(h)], [sig(g[h + j] + a[h + j]) for j in range(h)]
+                c = [math.tanh(g[2 * h + j] + q[j] * a[2 * h + j]) for j in range(h)]
+                now = [z[j] * now[j] + (1 - z[j]) * c[j] for j in range(h)]
+                states[k][col : col + h] = now
+        e = [sum(math.tanh(sum(s[i] * net.p["attend"][i, j] for i in range(2 * h)) + net.p["attend_b"][j]) * net.p["query"][j] for j in range(toxicity.ATTEND)) for s in states]
+        m = [math.exp(v - max(e)) for v in e]
+        pooled = [sum(v * s[i] for v, s in zip(m, states)) / sum(m) for i in range(2 * h)]
+        return sum(p * o for p, o in zip(pooled, net.p["out"])) + float(net.p["bias"][0])
+
+    def pieces(text):
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", text):
+            for _ in range(3):
+                w = w[1:] if len(w) > 1 and w[:1] in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else w
+                w = w[:-1] if len(w) > 1 and w[-1:] in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else w
+            yield w
+
+    got = toxicity.logits(net, buf, offsets)
+    for i in (0, 1, 3):
+        w = list(pieces(data[i]))
+        starts = range(0, max(1, -(-(len(w) - toxicity.WINDOW) // toxicity.STRIDE) + 1) * toxicity.STRIDE, toxicity.STRIDE)
+        assert got[i] == pytest.approx(max(window(w[s : s + toxicity.WINDOW]) for s in starts), abs=1e-3)
+    assert got[2] == -np.inf

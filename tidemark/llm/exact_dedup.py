@@ -95,11 +95,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents that stay, with all their columns; of rows that repeat id and text one stays. Only rows whose id goes or is repeated are joined."""
     copies = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
     ws = Workspace(docs.sparkSession, "keep-first")
-    copies = ws.table(copies.groupBy(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")).agg(F.first("kept").alias("__kept"), F.count("*").alias("__kept_rows")), "copies")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    parted = flagged(docs.withColumn("__own_id", F.col(f"`{id_col}`")), "__own_id", copies.filter("not __kept or __kept_rows > 1"), "__kept_id")
-    marked = parted.filter("__maybe").withColumn("__own_digest", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    marked = marked.join(copies, F.col("__own_id").eqNullSafe(F.col("__kept_id")) & (F.col("__own_digest") == F.col("__kept_digest")), "left")
-    one = marked.filter("__kept_rows is null or (__kept and __kept_rows = 1)").select(columns)
-    again = marked.filter("__kept and __kept_rows > 1").groupBy("__kept_id", "__kept_digest").agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")
-    return parted.filter("not __maybe").select(columns).unionByName(one).unionByName(again)
+    copies = ws.table(copies.groupBy(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_digest")).agg(F.first("kept").alias("kept"), F.count("*").alias("kept_rows")), "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"))  # names of any kind stay inside the row
+    parted = flagged(rows, "own_id", copies.filter("not kept or kept_rows > 1"), "kept_id")
+    marked = parted.filter("__maybe").withColumn("own_digest", F.sha2(normalised(F.col("row")[text_col]), 256))
+    marked = marked.join(copies, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")), "left")
+    one = marked.filter("kept_rows is null or (kept and kept_rows = 1)").select("row.*")
+    again = marked.filter("kept and kept_rows > 1").groupBy("kept_id", "kept_digest").agg(F.first("row").alias("row")).select("row.*")
+    return parted.filter("not __maybe").select("row.*").unionByName(one).unionByName(again)

@@ -315,6 +315,17 @@ def best_pairs(met: DataFrame, percent: int) -> DataFrame:
     return counted.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "v"))).filter(F.col("k") <= PARTNERS).select("u", "v", "cu", "cv")
 
 
+def set_sizes(docs: DataFrame) -> DataFrame:
+    """(n): the number of different shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, buf, offsets in slices(batches, "text", SLICE):
+            h, start = shingle_hashes(buf, offsets)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(np.unique(h[a:b])) for a, b in zip(start[:-1], start[1:], strict=True)], pa.int64())})
+
+    return docs.select("text").mapInArrow(run, "n long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id) per document: link when 100 * intersection >= percent * union of their shingle sets.
 
@@ -390,13 +401,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = labelled.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"))
     if nameless.isEmpty():
         return out
-    return out.unionByName(nameless.select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    none = F.lit(None).cast("long")
+    return out.unionByName(set_sizes(nameless).select(none.alias(id_col), F.col("n").alias("n_shingles"), none.alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents, with all columns, that are the smallest id of their component; rows without id stay."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    gone = near_duplicates(docs, id_col, text_col, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
     gone = Workspace(docs.sparkSession, "keep-one").table(gone, "gone")
-    parted = flagged(docs.withColumn("__own_id", F.col(f"`{id_col}`").cast("long")), "__own_id", gone, "__gone")
-    return parted.filter("not __maybe").select(columns).unionByName(parted.filter("__maybe").join(gone, F.col("__own_id") == F.col("__gone"), "left_anti").select(columns))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("own_id"))  # names of any kind stay inside the row
+    parted = flagged(rows, "own_id", gone, "gone")
+    return parted.filter("not __maybe").select("row.*").unionByName(parted.filter("__maybe").join(gone, F.col("own_id") == F.col("gone"), "left_anti").select("row.*"))

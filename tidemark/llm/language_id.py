@@ -5,13 +5,13 @@ Features are hashed byte trigrams of the whole text (A-Z lower-cased), square-ro
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -20,7 +20,7 @@ from .numtext import column, let_go
 
 DIMS = 4096
 PER_LANGUAGE = 600
-MOST_LANGUAGES = 64
+SEEDS, SEED_SIZE = 48, 32
 MOST_ROWS = 9600
 SLICE = 2 << 20
 UNKNOWN = "und"
@@ -33,7 +33,7 @@ FAMILIES = {
     "turkic": "tr az kk uz",
     "indo-aryan": "hi mr ne bn ur",
 }
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # as in the training filter: number signs are no letters
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -114,25 +114,42 @@ class Model:
         return out, score
 
 
-def _family(lang: str) -> str:
-    return next((f"family {name}" for name, codes in FAMILIES.items() if lang in codes.split()), f"family of {lang}")
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_rows: int = MOST_ROWS) -> Model:
+def families(lang: np.ndarray, x: np.ndarray) -> dict[str, list[str]]:
+    """Languages by family. Labels that FAMILIES does not list are families of their own, the SEEDS most frequent of them (ties: by name; more where
+    that is less than one in SEED_SIZE); each further one joins the nearest of these by its mean counts, so every label has a place while
+    the pairs stay few."""
+    known = {code: f"family {name}" for name, codes in FAMILIES.items() for code in codes.split()}
+    names, count = np.unique(lang, return_counts=True)
+    tree: dict[str, list[str]] = {}
+    for k in names.tolist():
+        if k in known:
+            tree.setdefault(known[k], []).append(k)
+    rest = [str(names[i]) for i in np.lexsort((names, -count)) if names[i] not in known]
+    cut = max(SEEDS, -(-len(rest) // SEED_SIZE))
+    tree |= {f"family of {k}": [k] for k in rest[:cut]}
+    if rest[cut:]:
+        mean = lambda k: x[lang == k].mean(0)
+        seeds = np.stack([mean(k) for k in rest[:cut]])
+        for k in rest[cut:]:
+            room = np.array([len(tree[f"family of {s}"]) < 2 * SEED_SIZE for s in rest[:cut]])
+            tree[f"family of {rest[int(np.argmax(np.where(room, seeds @ mean(k), -np.inf)))]}"].append(k)
+    return {f: sorted(v) for f, v in tree.items()}
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
     """Fits on about per_language different texts of each language, taken by a hash of text and id; their counts of trigrams go to the
     driver, not their texts.
 
-    Rows without language or letters teach nothing; rows that repeat id and text count once. Of more than most_languages labels the most
-    frequent are learned (ties: by name), and all languages share most_rows: the bounds of the sample, of its memory and of the number
-    of machines. They bound the fit alone.
+    Rows without language or letters teach nothing; rows that repeat id and text count once. All languages share most_rows, and each has one
+    row at least: the bounds of the sample and of its memory. They bound the fit alone, and every label is learned.
     """
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("different")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("different"), F.min(F.pmod("h", F.lit(1 << 20))).alias("least")).collect()  # a row for each language
     if not totals:
         return Model({}, {})
     each = max(1, min(per_language, most_rows // len(totals)))
-    share = {r["lang"]: min(1.0, each / r["different"]) for r in totals}
-    wanted = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in share.items()], F.lit(0.0))
+    below = [(r["lang"], max(r["least"], int(min(1.0, each / max(1, r["different"])) * (1 << 20)) - 1)) for r in totals]
+    wanted = docs.sparkSession.createDataFrame(below, "lang string, most long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +157,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for i in range(len(batch)):
                 yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(i, 1), "h": batch.column("h").slice(i, 1), "counts": [np.minimum(trigrams(buf, offsets[i : i + 2]), 65535).astype("<u2").tobytes()]})
 
-    sample = rows.filter(F.pmod("h", F.lit(1 << 20)) < wanted * (1 << 20)).groupBy("lang", "h").agg(F.min("text").alias("text"))  # one text of all copies
+    sample = rows.join(F.broadcast(wanted), "lang").filter(F.pmod("h", F.lit(1 << 20)) <= F.col("most")).groupBy("lang", "h").agg(F.min("text").alias("text"))  # one text of all copies
     got = sorted(((r["lang"], r["h"], bytes(r["counts"])) for r in sample.mapInArrow(run, "lang string, h long, counts binary").toLocalIterator()), key=lambda r: r[:2])
     if not got:
         return Model({}, {})
@@ -154,9 +171,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def fit(x: np.ndarray, lang: np.ndarray) -> Model:
     """The machines of all pairs of families, and of all pairs of languages in each family, from scaled counts with a column of ones."""
-    tree: dict[str, list[str]] = {}
-    for k in sorted(set(lang.tolist())):
-        tree.setdefault(_family(k), []).append(k)
+    tree = families(lang, x)
 
     def machine(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         own = first | second
@@ -176,7 +191,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "score")
-    held = spark.sparkContext.broadcast(model)  # at most 2016 pairs of languages x 4097 numbers of 4 bytes
+    held = spark.sparkContext.broadcast(model)  # 4097 numbers of 4 bytes for each pair of families and of languages in one
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

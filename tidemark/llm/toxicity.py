@@ -190,6 +190,14 @@ def logits(net: Network, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def unlearned() -> Network:
+    """Says the same of every text, where there is nothing to tell classes apart by."""
+    net = Network(np.zeros(0, np.uint64))
+    net.p["out"][:] = 0
+    net.p["bias"][:] = -2
+    return net
+
+
 def fit(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 192, seed: int = 5) -> Network:
     """Trains on windows: at first every window bears its text's label, later a toxic text's worst window only."""
     data = [t.encode() for t in texts]
@@ -197,10 +205,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 192
     offsets = np.cumsum([0, *map(len, data)])
     ready = prepared(buf, offsets)
     if ready is None or labels.min(initial=1) == labels.max(initial=0):
-        net = Network(np.zeros(0, np.uint64))
-        net.p["out"][:] = 0
-        net.p["bias"][:] = -2
-        return net
+        return unlearned()
     ids, grams, length, back, start, doc, first = ready
     seen = np.bincount(np.unique(np.stack([np.repeat(np.arange(len(texts)), np.diff(first)), back]), axis=1)[1], minlength=len(ids))
     net = Network(ids[seen >= 4])
@@ -208,6 +213,10 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 192
     starts = np.cumsum(length) - length
     part = np.arange(len(texts)) % 5 == 4  # held back to place the threshold
     own = labels[doc]
+    if len(set(own.tolist())) < 2:  # a class whose texts have no word
+        return unlearned()
+    if len(set(own[~part[doc]].tolist())) < 2:  # too few texts to hold any back
+        part[:] = False
     toxic, clean = np.flatnonzero((own == 1) & ~part[doc]), np.flatnonzero((own == 0) & ~part[doc])
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -263,14 +272,16 @@ def calibrated(net: Network, logit: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, max_words: int = MAX_WORDS) -> Network:
     """Fits on at most about per_class texts of each class, of at most max_words words, taken by a hash of the text.
 
-    Null labels and texts, and ids whose labels contradict each other, are left out; rows that repeat id and text count once.
+    Null labels and texts, and ids whose labels contradict each other, are left out; copies of a text count once in its class. Where a class has no
+    text with a word, every text gets one score.
     """
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("text").isNotNull()).join(marks, "id").withColumn("h", F.xxhash64("text"))
     short = rows.filter(F.size(F.split("text", r"[\x20\x09-\x0D]+")) <= max_words)
-    totals = {r["y"]: r["n"] for r in short.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("y") == k, F.lit(min(1.0, per_class / v))) for k, v in totals.items()], F.lit(0.0))
-    got = sorted({(r["h"], r["text"], r["y"]) for r in short.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("h", "text", "y").toLocalIterator()})
+    totals = {r["y"]: r["n"] for r in short.groupBy("y").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # different texts: copies count once
+    share = F.coalesce(*[F.when(F.col("y") == k, F.lit(min(1.0, per_class / max(1, v)))) for k, v in totals.items()], F.lit(0.0))
+    sample = short.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).groupBy("y", "h").agg(F.min("text").alias("text"))
+    got = sorted((r["h"], r["text"], r["y"]) for r in sample.toLocalIterator())
     return fit([t for _, t, _ in got], np.array([y for _, _, y in got], np.int64))
 
 
