@@ -15,7 +15,7 @@ from tidemark.llm.workspace import Workspace
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the model has learned; rejects texts that are null, have no letter, or fit none."""
+    """Rejects documents whose text is null or has no letter, which get no language; keeps all others (and all columns as they are)."""
     model = language_id.train(docs)
     columns = docs.columns
     named = docs.withColumns({f"__{c}": F.col(f"`{c}`") for c in ("lang_pred", "score") if c in columns})
