@@ -97,9 +97,9 @@ def test_dictionaries_are_the_plain_ones(spark, sf, trained):
 def test_rare_words_are_rescued_and_critical_ones_weigh_more():
     y = np.array([0.01, -0.01, 0.01, -0.2, 0.01, 0.01])
     pos, word, value = np.array([1, 2, 3, 4, 5, 6, 2]), np.array([0, 0, 0, 1, 0, 0, 2]), np.ones(7)
-    *_, weight, kept = training.text_matrix(pos, word, value, 3, np.array([False, False, True]), y, 1, 3, 0.0)
+    *_, weight, kept, _ = training.text_matrix(pos, word, value, 3, np.array([False, False, True]), y, 1, 3, 0.0)
     assert kept.tolist() == [True, True, True]  # frequent, volatile, critical
-    *_, again, plain = training.text_matrix(pos, word, value, 3, np.zeros(3, bool), y, 1, 3, 0.0)
+    *_, again, plain, _ = training.text_matrix(pos, word, value, 3, np.zeros(3, bool), y, 1, 3, 0.0)
     assert plain.tolist() == [True, True, False] and weight[2] / weight[0] > again[2] / again[0]
 
 

@@ -31,40 +31,89 @@ def lasso_cd(x: np.ndarray, y: np.ndarray, alpha: float, steps: int = 2000, tol:
     return w, float(my - mx @ w)
 
 
-def lasso_sparse(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, p: int, y: np.ndarray, alpha: float, steps: int = 2000, tol: float = 1e-6) -> tuple[np.ndarray, float]:
-    """What lasso_cd minimises, for a sparse matrix of n rows and p columns in coordinates, to a duality gap of tol times the objective of no
-    coefficients. Coordinate descent on the products of a working set, which grows by the columns that most break the optimality conditions. Of equal
-    columns the first stands for all."""
-    mean = np.bincount(col, val, minlength=p) / n
-    scale = np.bincount(col, val * val, minlength=p) / n - mean * mean
-    mark = np.random.RandomState(0).standard_normal((2, n))
-    _, first = np.unique(np.round([np.bincount(col, val * m[row], minlength=p) for m in mark], 11), axis=1, return_index=True)
-    open_ = np.zeros(p, bool)
-    open_[first] = scale[first] > 1e-12
-    yc = y - y.mean()
-    start = float(yc @ yc) / (2 * n)
-    w, r, used = np.zeros(p), yc.copy(), np.zeros(0, np.int64)
-    x = np.zeros((n, 0))
-    while start > 0:
-        slope = np.bincount(col, val * r[row], minlength=p) / n - mean * r.sum() / n
-        most = np.abs(slope[open_]).max(initial=0.0)
-        theta = r / n * min(1.0, alpha / most) if most else r / n
-        gap = float(r @ r) / (2 * n) + alpha * np.abs(w).sum() - float(yc @ theta - n / 2 * (theta @ theta))
-        wrong = np.where(open_, np.abs(slope) - alpha, 0.0)
-        wrong[used] = 0
-        new = np.flatnonzero(wrong > 0)
-        if gap <= tol * start or not len(new):
-            break
-        new = new[np.argsort(-wrong[new], kind="stable")][: max(20, len(used))]
-        more = np.zeros((n, len(new)))
-        place = np.full(p, -1)
+class SparsePath:
+    """Lassos over one sparse matrix of n rows and p columns in coordinates, for one penalty after the other: what lasso_cd minimises.
+
+    Coordinate descent on the products of a working set, which grows by the columns that most break the optimality conditions and stays from penalty to
+    penalty, with its coefficients. Columns that the duality gap shows to be zero at the optimum are left out of the conditions (a safe rule). Of
+    equal columns the first stands for all.
+    """
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, p: int, y: np.ndarray):
+        self.row, self.col, self.val, self.n, self.p = row, col, val, n, p
+        self.mean = np.bincount(col, val, minlength=p) / n
+        self.scale = np.bincount(col, val * val, minlength=p) / n - self.mean * self.mean
+        mark = np.random.RandomState(0).standard_normal((2, n))
+        _, first = np.unique(np.round([np.bincount(col, val * m[row], minlength=p) for m in mark], 11), axis=1, return_index=True)
+        self.open = np.zeros(p, bool)
+        self.open[first] = self.scale[first] > 1e-12
+        self.middle = y.mean()
+        self.y = y - self.middle
+        self.start = float(self.y @ self.y) / (2 * n)
+        self.w, self.r, self.used = np.zeros(p), self.y.copy(), np.zeros(0, np.int64)
+        self.x, self.gram, self.q = np.zeros((n, 0)), np.zeros((0, 0)), np.zeros(0)
+
+    def _take(self, new: np.ndarray) -> None:
+        """Columns into the working set."""
+        more = np.zeros((self.n, len(new)))
+        place = np.full(self.p, -1)
         place[new] = np.arange(len(new))
-        mine = place[col] >= 0
-        np.add.at(more, (row[mine], place[col[mine]]), val[mine])
-        x, used = np.hstack([x, more - more.mean(0)]), np.concatenate([used, new])
-        w[used] = _descend(x.T @ x / n, x.T @ yc / n, w[used], alpha, start, steps, tol / 3)
-        r = yc - x @ w[used]
-    return w, float(y.mean() - mean @ w)
+        mine = place[self.col] >= 0
+        np.add.at(more, (self.row[mine], place[self.col[mine]]), self.val[mine])
+        more -= more.mean(0)
+        cross = self.x.T @ more / self.n
+        self.gram = np.block([[self.gram, cross], [cross.T, more.T @ more / self.n]])
+        self.x, self.q = np.hstack([self.x, more]), np.concatenate([self.q, more.T @ self.y / self.n])
+        self.used = np.concatenate([self.used, new])
+
+    def begin(self, w: np.ndarray) -> None:
+        """Coefficients to start from."""
+        new = np.setdiff1d(np.flatnonzero((w != 0) & self.open), self.used)
+        if len(new):
+            self._take(new)
+        self.w = np.where(self.open, w, 0.0)
+        self.r = self.y - self.x @ self.w[self.used]
+
+    def solve(self, alpha: float, steps: int = 2000, tol: float = 1e-6) -> tuple[np.ndarray, float]:
+        """Coefficients and intercept, to a duality gap of tol times the objective of no coefficients."""
+        n, live = self.n, self.open.copy()
+        row, col, val = self.row, self.col, self.val
+        while self.start > 0:
+            slope = np.bincount(col, val * self.r[row], minlength=self.p) / n - self.mean * self.r.sum() / n
+            slope[~live] = 0
+            most = np.abs(slope).max(initial=0.0)
+            shrink = min(1.0, alpha / most) if most else 1.0
+            theta = self.r / n * shrink
+            gap = float(self.r @ self.r) / (2 * n) + alpha * np.abs(self.w).sum() - float(self.y @ theta - n / 2 * (theta @ theta))
+            wrong = np.where(live, np.abs(slope) - alpha, 0.0)
+            wrong[self.used] = 0
+            new = np.flatnonzero(wrong > 0)
+            if gap <= tol * self.start or not len(new):
+                if len(self.used) and gap > tol * self.start:
+                    before = self.w[self.used].copy()
+                    self._descend(alpha, steps, tol)
+                    if np.abs(self.w[self.used] - before).max() > 0:
+                        continue
+                break
+            keep = np.abs(slope) * shrink + np.sqrt(np.maximum(self.scale, 0) * 2 * max(gap, 0.0)) * (1 + 1e-9) >= alpha
+            keep[self.used] = True
+            if (live & keep).sum() < 0.5 * live.sum():
+                live &= keep
+                inside = live[col]
+                row, col, val = row[inside], col[inside], val[inside]
+                new = new[live[new]]
+            self._take(new[np.argsort(-wrong[new], kind="stable")][: max(20, len(self.used))])
+            self._descend(alpha, steps, tol)
+        return self.w.copy(), float(self.middle - self.mean @ self.w)
+
+    def _descend(self, alpha: float, steps: int, tol: float) -> None:
+        self.w[self.used] = _descend(self.gram, self.q, self.w[self.used], alpha, self.start, steps, tol / 3)
+        self.r = self.y - self.x @ self.w[self.used]
+
+
+def lasso_sparse(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, p: int, y: np.ndarray, alpha: float, steps: int = 2000, tol: float = 1e-6) -> tuple[np.ndarray, float]:
+    """One penalty of a SparsePath."""
+    return SparsePath(row, col, val, n, p, y).solve(alpha, steps, tol)
 
 
 def _descend(gram: np.ndarray, q: np.ndarray, w: np.ndarray, alpha: float, start: float, steps: int, tol: float) -> np.ndarray:

@@ -64,8 +64,8 @@ def lag_decay(y: np.ndarray, lags: int, rate: float | None) -> np.ndarray:
 
 
 def text_matrix(pos: np.ndarray, word: np.ndarray, value: np.ndarray, n_words: int, critical: np.ndarray, y: np.ndarray, lags: int, min_df: int, rate: float | None):
-    """(row, column, value, weights, kept): the lagged matrix in coordinates (column (lag - 1) * n_words + word), scaled by each column's largest
-    value, the columns' weights, and which columns stay.
+    """(row, column, value, weights, kept, top): the lagged matrix in coordinates (column (lag - 1) * n_words + word), scaled by each column's largest
+    value, the columns' weights, which columns stay, and their largest values (1 for none).
 
     A column's weight is the mean size of y over the rows where it stands, over the mean of all columns, times its lag's decay. A column in fewer
     than min_df rows stays if its volatility is more than twice the mean, or if it is critical, which then weighs that much at least."""
@@ -76,7 +76,8 @@ def text_matrix(pos: np.ndarray, word: np.ndarray, value: np.ndarray, n_words: i
     row, col, val = row[inside], col[inside], val[inside]
     top = np.zeros(p)
     np.maximum.at(top, col, np.abs(val))
-    val = val / np.where(top > 0, top, 1)[col]
+    top = np.where(top > 0, top, 1)
+    val = val / top[col]
     count = np.bincount(col, minlength=p)
     weight = np.bincount(col, np.abs(y)[row], minlength=p) / np.maximum(count, 1)
     mean = weight[weight > 0].mean() if (weight > 0).any() else 0.0
@@ -85,7 +86,7 @@ def text_matrix(pos: np.ndarray, word: np.ndarray, value: np.ndarray, n_words: i
     kept = ~rare | ((count > 0) & ((weight > 2 * mean) | critical))
     weight = np.where(kept & rare & critical, np.maximum(weight, 2 * mean), weight)
     weight = weight / weight.mean() if p and weight.mean() > 0 else np.ones(p)
-    return row, col, val, weight * np.repeat(lag_decay(y, lags, rate), n_words), kept
+    return row, col, val, weight * np.repeat(lag_decay(y, lags, rate), n_words), kept, top
 
 
 def standardised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +96,38 @@ def standardised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (x - mean) / sd, mean, sd
 
 
-def train_dictionary(days: DataFrame, rows: DataFrame, dense: list[str], lags: int = LAGS, alphas: tuple[float, ...] = (1e-5, 1e-6), min_df: int = MIN_DF, rate: float | None = None, critical: list[str] | None = None) -> DataFrame:
+class Design:
+    """One stock's training matrix in coordinates: the columns of `text_matrix` that stay, then the standardised dense ones."""
+
+    def __init__(self, vocabulary: np.ndarray, pos: np.ndarray, word: np.ndarray, value: np.ndarray, y: np.ndarray, dense: np.ndarray, critical: list[str], lags: int, min_df: int, rate: float | None):
+        self.vocabulary, self.y, self.lags = vocabulary, y, lags
+        row, col, val, self.weight, self.kept, self.top = text_matrix(pos, word, value, len(vocabulary), np.isin(vocabulary, critical), y, lags, min_df, rate)
+        number = np.cumsum(self.kept) - 1
+        use = self.kept[col]
+        row, val, col = row[use], (val * self.weight[col])[use], number[col[use]]
+        self.words = int(self.kept.sum())
+        self.column = np.flatnonzero(self.kept)
+        scaled, self.mean, self.sd = standardised(dense) if dense.shape[1] else (dense, np.zeros(0), np.zeros(0))
+        at, k = np.nonzero(scaled)
+        self.row, self.col, self.val = np.concatenate([row, at]), np.concatenate([col, self.words + k]), np.concatenate([val, scaled[at, k]])
+        self.p = self.words + dense.shape[1]
+
+    def path(self) -> solvers.SparsePath:
+        return solvers.SparsePath(self.row, self.col, self.val, len(self.y), self.p, self.y)
+
+    def dictionary(self, w: np.ndarray, names: list[str]) -> list[tuple]:
+        """(feature, beta, mean, scale) of the nonzero coefficients, in units of the unweighted columns."""
+        out: list[tuple] = []
+        for j in np.flatnonzero(np.abs(w) > 1e-12):
+            if j < self.words:
+                lag, base = divmod(int(self.column[j]), len(self.vocabulary))
+                out.append((f"{self.vocabulary[base]}_L{lag + 1}", float(w[j] * self.weight[self.column[j]]), None, None))
+            else:
+                out.append((names[j - self.words], float(w[j]), float(self.mean[j - self.words]), float(self.sd[j - self.words])))
+        return out
+
+
+def train_dictionary(days: DataFrame, rows: DataFrame, dense: list[str], lags: int = LAGS, alphas: tuple[float, ...] = (1e-5, 1e-6), min_df: int = MIN_DF, rate: float | None = None, critical: list[str] | None = None, tol: float = 1e-6) -> DataFrame:
     """The dictionary of each stock: nonzero coefficients in units of the unweighted columns, as (stock_code, feature, beta, mean, scale, alpha).
 
     days: as from day_tfidf; rows: (stock_code, pos, y, dense columns). Features are word_L1 and so on for words, and the names in dense, which come
@@ -109,28 +141,12 @@ def train_dictionary(days: DataFrame, rows: DataFrame, dense: list[str], lags: i
         if not len(own):
             return pd.DataFrame(columns=names)
         own = own.sort_values("pos")
-        y = own["y"].to_numpy(float)
         vocabulary, word = np.unique(words["word"].to_numpy(str), return_inverse=True) if len(words) else (np.zeros(0, str), np.zeros(0, np.int64))
-        row, col, val, weight, kept = text_matrix(words["pos"].to_numpy(np.int64), word.reshape(-1), words["value"].to_numpy(float), len(vocabulary), np.isin(vocabulary, critical), y, lags, min_df, rate)
-        number = np.cumsum(kept) - 1
-        use = kept[col]
-        row, val, col = row[use], (val * weight[col])[use], number[col[use]]
-        p = int(kept.sum())
-        scaled, mean, sd = standardised(own[dense].to_numpy(float)) if dense else (np.zeros((len(y), 0)), np.zeros(0), np.zeros(0))
-        at, k = np.nonzero(scaled)
-        row, col, val = np.concatenate([row, at]), np.concatenate([col, p + k]), np.concatenate([val, scaled[at, k]])
-        out: list[tuple] = []
+        x = Design(vocabulary, words["pos"].to_numpy(np.int64), word.reshape(-1), words["value"].to_numpy(float), own["y"].to_numpy(float), own[dense].to_numpy(float), critical, lags, min_df, rate)
         for alpha in alphas:
-            w, _ = solvers.lasso_sparse(row, col, val, len(y), p + len(dense), y, alpha)
-            column = np.flatnonzero(kept)
-            for j in np.flatnonzero(np.abs(w) > 1e-12):
-                if j < p:
-                    lag, base = divmod(int(column[j]), len(vocabulary))
-                    out.append((key[0], f"{vocabulary[base]}_L{lag + 1}", float(w[j] * weight[column[j]]), None, None, alpha))
-                else:
-                    out.append((key[0], dense[j - p], float(w[j]), float(mean[j - p]), float(sd[j - p]), alpha))
+            out = x.dictionary(x.path().solve(alpha, tol=tol)[0], dense)
             if out:
-                break
-        return pd.DataFrame(out, columns=names)
+                return pd.DataFrame([(key[0], *r, alpha) for r in out], columns=names)
+        return pd.DataFrame(columns=names)
 
     return days.groupBy("stock_code").cogroup(rows.groupBy("stock_code")).applyInPandas(fit, FITTED)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..fixtures import code, fundamentals, news, price, sentiment_dict, settled, sql, table, tokens
 from ..functions import expr
-from ..operators import lifecycle, models, ordered, scoring, training
+from ..operators import lifecycle, models, ordered, scoring, training, tuning
 from ..sources import tables
+from ..streaming import pipelines
 from .registry import Registry
 from .relational import day, with_views
 from .reports import RSI, SERIES
@@ -42,12 +43,18 @@ def named(c: str) -> str:
 
 def training_set(spark: SparkSession, d: str, technical: bool = True, first: str = FIRST, last: str = LAST) -> tuple[DataFrame, DataFrame, list[str]]:
     """The days (as from training.day_tfidf) and rows of every stock in a range of dates, and the names of the dense columns."""
+    counts, rows, names = counted_set(spark, d, technical, first, last)
+    return training.day_tfidf(counts, LAGS), rows, names
+
+
+def counted_set(spark: SparkSession, d: str, technical: bool = True, first: str = FIRST, last: str = LAST) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The same with the counts of days (as from training.day_counts)."""
     dense = FUNDAMENTAL + (TECHNICAL if technical else [])
     kept = dense_rows(spark, d, technical).filter(F.col("date").between(first, last)).withColumn("y", F.col("excess_return"))
     rows = training.numbered(kept, ["y", *[F.col(c).alias(named(c)) for c in dense]])
     t = news(spark, d).filter((F.col("published_at") >= F.date_sub(F.lit(first).cast("date"), LAGS + 2)) & (F.to_date("published_at") <= last)).select("stock_code", F.to_date("published_at").alias("date"), tokens(F.col("content")).alias("t"))
     counts = training.day_counts(t.select("stock_code", "date", expr.ngrams(F.col("t"), GRAMS).alias("words")), rows)
-    return training.day_tfidf(counts, LAGS), rows, [named(c) for c in dense]
+    return counts, rows, [named(c) for c in dense]
 
 
 def own_names(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +162,21 @@ def daily_training_and_prediction(spark, d):
     return out.join(actual, "stock_code").withColumn("is_correct", F.when(F.col("status").contains("Buy"), F.col("actual_alpha") > 0).when(F.col("status").contains("Sell"), F.col("actual_alpha") < 0).otherwise(F.lit(False)))
 
 
+@R.add()
+def text_window_scan(spark, d):
+    """The text trainer over ten windows and four penalties for every stock, each judged on the stock's last fifth of rows."""
+    counts, rows, dense = counted_set(spark, d, technical=False)
+    return tuning.scan(counts, rows, dense, lags=LAGS)
+
+
+@R.add()
+def text_scan_choice(spark, d):
+    """The scan kept in a checkpoint table, its most stable cell for each stock, and whether that is promoted."""
+    counts, rows, dense = counted_set(spark, d, technical=False)
+    cells = tuning.checkpointed(spark, counts, rows, dense, pipelines.folder(spark, "scan") + "/cells", lags=LAGS)
+    return lifecycle.promote(tuning.stability(cells), "stock_code", LAST).select("stock_code", "window_months", "alpha", "hit_rate", "mae", "mean_hr", "std_hr", "neighbours", "stability", "version", "promotion_status")
+
+
 WF_FIRST, WF_LAST, WF_WINDOW, WF_EVERY = "1995-06-01", "1995-08-15", 120, 20
 
 
