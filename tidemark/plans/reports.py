@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import code, fundamentals, grid, news, predictions, price, sentiment_dict, settled, sql, table
-from ..operators import metrics, models, ordered
+from ..operators import metrics, models, ordered, text_search
 from ..streaming import pipelines
 from .registry import Registry
 from .relational import _SPINE, day, with_views
@@ -137,7 +137,10 @@ def top_signals(spark, d):
 
 @R.add(sql("news", "select stock_code, doc_id, title from (select *, row_number() over (partition by stock_code order by published_at desc, doc_id) as k from news where title ilike '%the%' or content ilike '%zu und%') where k <= 5"))
 def grounding_search(spark, d):
-    n = news(spark, d).filter(F.col("title").ilike("%the%") | F.col("content").ilike("%zu und%"))
+    """Each stock's latest articles with a word in the title or a phrase in the content, by the trigram index of both."""
+    n, index = news(spark, d), pipelines.folder(spark, "trigrams")
+    text_search.write_index(n, "doc_id", ["title", "content"], index)
+    n = text_search.grounding(spark, n, "doc_id", index, {"title": "the", "content": "zu und"})
     return ordered.top_per_key(n, ["stock_code"], [F.desc("published_at"), F.col("doc_id")], 5).select("stock_code", "doc_id", "title")
 
 

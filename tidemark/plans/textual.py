@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import code, fundamentals, news, predictions, price, sentiment_dict, settled, sql, table, tokens, word_days
 from ..functions import expr
-from ..operators import features, metrics, ordered, scoring, sinks
+from ..operators import features, metrics, ordered, scoring, sinks, text_search
 from .registry import Registry
 from .relational import day, with_views
 
@@ -213,9 +213,17 @@ def relevance_score(spark, d):
 
 @R.add("select n_name, p_partkey, (length(p_brand) - length(replace(p_brand, x, ''))) // length(x) as mentions from part, (select n_name, '#' || n_nationkey as x from nation) where contains(p_brand, x)")
 def contains_join_names(spark, d):
-    names = table(spark, d, "nation").select("n_name", F.concat(F.lit("#"), F.col("n_nationkey").cast("string")).alias("x"))  # 25 names, fixed
-    p = table(spark, d, "part").select("p_partkey", "p_brand")
-    return p.join(F.broadcast(names), F.contains("p_brand", F.col("x"))).select("n_name", "p_partkey", expr.occurrences(F.col("p_brand"), F.col("x")).cast("long").alias("mentions"))
+    names = table(spark, d, "nation").select("n_name", F.concat(F.lit("#"), F.col("n_nationkey").cast("string")).alias("x"))
+    found = text_search.mentions(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey", "p_brand", names, "x")
+    return found.join(names, found["name"] == names["x"]).select("n_name", "p_partkey", "mentions")
+
+
+@R.add(sql("news", "select doc_id, name, (length(body) - length(replace(body, name, ''))) // length(name) as mentions from (select doc_id, replace(content, ' ', '') as body from news) a, (select distinct substring(replace(content, ' ', ''), 1, 4) as name from news where length(replace(content, ' ', '')) >= 4) b where contains(body, name)"))
+def name_mentions(spark, d):
+    """How often each name stands in each article, blanks removed; an article's first four letters serve as a name."""
+    n = news(spark, d).select("doc_id", F.replace("content", F.lit(" "), F.lit("")).alias("body"))
+    names = n.filter(F.length("body") >= 4).select(F.substring("body", 1, 4).alias("name"))
+    return text_search.mentions(n, "doc_id", "body", names, "name")
 
 
 @R.add(sql("news", "select doc_id, contains(title, 'the') or contains(title, 'der') or contains(title, 'les') as in_title, greatest((length(content) - length(replace(content, 'the', ''))) // 3, (length(content) - length(replace(content, 'der', ''))) // 3, (length(content) - length(replace(content, 'les', ''))) // 3) as most from news"))
