@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import code, fundamentals, grid, news, predictions, price, sentiment_dict, settled, sql, table
 from ..operators import metrics, models, ordered, text_search
-from ..streaming import pipelines
+from ..streaming import heartbeats, pipelines
 from .registry import Registry
 from .relational import _SPINE, day, with_views
 
@@ -270,11 +270,32 @@ def stream_dedup(spark, d):
     return pipelines.run(s, "append", pipelines.folder(spark, "seen"), pipelines.folder(spark, "state"))
 
 
-@R.add("select user_id, status, case when reports % 5 <= 3 then 'retry' else 'fail' end as action from (select user_id, max(ts) as last_seen, count(*) as reports, arg_max(event_type, ts) as status from events group by 1) where date_diff('second', last_seen, timestamp '2024-01-30 12:00:00') > 7200")
+@R.add("""with e as (select user_id, ts, lead(ts) over (partition by user_id order by ts) as nxt from events where user_id is not null and ts is not null),
+x as (select user_id, ts + k * interval 36 hour as due from e, (select unnest(range(1, 100)) as k) where ts + k * interval 36 hour < coalesce(nxt, (select date_trunc('millisecond', max(ts)) from events))),
+r as (select *, row_number() over (partition by user_id order by due) as k from x)
+select user_id, strftime(due, '%Y-%m-%d %H:%M:%S') as at, case when k <= 2 then 'retry' else 'fail' end as action, least(k, 2) as retry_count from r where k <= 3""")
 def stream_stale_jobs(spark, d):
-    s = pipelines.latest_state(pipelines.arrivals(spark, f"{d}/events.parquet"), "user_id", "ts")
-    latest = pipelines.run(s, "complete", pipelines.folder(spark, "latest"), pipelines.folder(spark, "state"))
-    return pipelines.stale(latest, F.lit("2024-01-30 12:00:00"), 7200).select("user_id", "status", "action")
+    """Workers silent for more than 36 hours: two retries, then the third silence fails them. Every event is a heartbeat."""
+    session = spark.newSession()  # the state's settings stay out of the caller's session
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", heartbeats.ROCKSDB)
+    s = heartbeats.watched(pipelines.arrivals(session, f"{d}/events.parquet"), "user_id", "ts", 36 * 3600, most=2)
+    out = pipelines.run(s, "append", pipelines.folder(spark, "stale"), pipelines.folder(spark, "state"))
+    return out.select(F.col("job").alias("user_id"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "action", "retry_count")
+
+
+@R.add("""with j as (select user_id as job, arg_max(event_type, ts) as queue, max(ts) as last_seen from events group by 1), c as (select event_type as queue, count(*) filter (ts > timestamp '2024-01-30 23:00:00') as consumers, count(*) as ready from events group by 1)
+select job, queue, 'zombie' as issue from j where last_seen < timestamp '2024-01-30 21:58:00' and queue not in (select queue from c where consumers > 5)
+union all select null, queue, 'backlog' from c where ready > (select avg(ready) from c)""")
+def stream_zombies_and_backlogs(spark, d):
+    """Workers without a sign of life for two minutes on queues that nobody consumes, and queues with more waiting than usual."""
+    e = pipelines.arrivals(spark, f"{d}/events.parquet")
+    jobs = pipelines.run(e.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.max_by("event_type", "ts").alias("queue")), "complete", pipelines.folder(spark, "jobs"), pipelines.folder(spark, "state"))
+    late = F.count(F.when(F.col("ts") > F.lit("2024-01-30 23:00:00").cast("timestamp_ntz"), 1)).alias("late")
+    queues = pipelines.run(e.groupBy(F.col("event_type").alias("queue")).agg(late, F.count("*").alias("ready")), "complete", pipelines.folder(spark, "queues"), pipelines.folder(spark, "state"))
+    running = jobs.select(F.col("user_id").alias("job"), "queue", "last_seen")
+    usual = queues.agg(F.avg("ready")).first()[0] or 0
+    z = heartbeats.zombies(running, queues.select("queue", F.when(F.col("late") > 5, F.col("late")).otherwise(0).alias("consumers")), F.lit("2024-01-30 22:00:00"))
+    return z.select("job", "queue", F.lit("zombie").alias("issue")).unionByName(heartbeats.backlog(queues, usual).select(F.lit(None).cast("long").alias("job"), "queue", F.lit("backlog").alias("issue")))
 
 
 @R.add("select queue, count(*) as n, cast(sum(event_id) as bigint) as ids from (select event_id, case when event_type = 'error' then 'dead' when event_type = 'view' then 'light' else 'heavy' end as queue from events) group by 1")

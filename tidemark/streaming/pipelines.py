@@ -64,12 +64,6 @@ def latest_state(jobs: DataFrame, key: str, ts: str) -> DataFrame:
     return jobs.groupBy(key).agg(F.max(ts).alias("last_seen"), F.max_by("event_type", F.struct(ts, "event_id")).alias("status"), F.count("*").alias("reports"))
 
 
-def stale(latest: DataFrame, as_of: F.Column, seconds: int, retries: str = "reports", most: int = 3) -> DataFrame:
-    """Workers silent for longer than `seconds`: retried up to `most` times, then failed."""
-    silent = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(F.col("last_seen").cast("timestamp"))
-    return latest.filter(silent > seconds).withColumn("action", F.when(F.col(retries) % 5 <= most, "retry").otherwise("fail"))
-
-
 def routed(stream: DataFrame, ok: F.Column, light: F.Column, to: str, state: str, handle: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """Sends each row to the light, the heavy or the dead-letter table. A batch that runs again overwrites its own folder, so a row lands once."""
     spark = stream.sparkSession
