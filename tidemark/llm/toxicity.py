@@ -276,12 +276,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text with a word, every text gets one score.
     """
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("text").isNotNull()).join(marks, "id").withColumn("h", F.xxhash64("text"))
-    short = rows.filter(F.size(F.split("text", r"[\x20\x09-\x0D]+")) <= max_words)
-    totals = {r["y"]: r["n"] for r in short.groupBy("y").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # different texts: copies count once
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("text").isNotNull())
+    short = rows.filter(F.size(F.split("text", r"[\x20\x09-\x0D]+")) <= max_words).withColumn("h", F.xxhash64("text"))
+    keyed = short.select("id", "h").join(marks, "id")  # no text is shuffled
+    totals = {r["y"]: r["n"] for r in keyed.groupBy("y").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # different texts: copies count once
     share = F.coalesce(*[F.when(F.col("y") == k, F.lit(min(1.0, per_class / max(1, v)))) for k, v in totals.items()], F.lit(0.0))
-    sample = short.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).groupBy("y", "h").agg(F.min("text").alias("text"))
-    got = sorted((r["h"], r["text"], r["y"]) for r in sample.toLocalIterator())
+    sample = keyed.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).groupBy("y", "h").agg(F.min("id").alias("id"))  # about per_class rows a class
+    got = sorted({(r["h"], r["text"], r["y"]) for r in short.join(F.broadcast(sample), ["id", "h"]).select("h", "text", "y").toLocalIterator()})
     return fit([t for _, t, _ in got], np.array([y for _, _, y in got], np.int64))
 
 
