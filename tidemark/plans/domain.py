@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import fundamentals, grid, news, predictions, price, sentiment_dict, settled, sql, table, tokens, word_days
 from ..functions import expr
 from ..operators import features, lifecycle, metrics, models, ordered, scoring, sinks
-from ..sources import tables
+from ..sources import site, tables
+from ..streaming import pipelines
 from .registry import Registry
 from .relational import day, with_views
 
@@ -48,6 +51,33 @@ def source_paged_search(spark, d):
     return tables.search_pages(hits, [F.desc("n_chars"), F.col("doc_id")]).select("query", "doc_id", "page")
 
 
+@R.add(sql("news", "select stock_code as query, cast(ceil(k / 10.0) as int) as page, cast((k - 1) % 10 + 1 as int) as rank, 'https://news.example/' || doc_id as url from (select stock_code, doc_id, row_number() over (partition by stock_code order by published_at desc, doc_id) as k from news) where k <= 100"))
+def source_listing(spark, d):
+    """The links on each stock's listing pages, ten a page, latest first, ten pages at most; the pages are made from the articles."""
+    k = F.row_number().over(Window.partitionBy("stock_code").orderBy(F.desc("published_at"), "doc_id"))
+    n = news(spark, d).select("stock_code", "doc_id", k.alias("k")).withColumn("page", F.ceil(F.col("k") / 10).cast("int"))
+    link = F.concat(F.lit('<li><a class="news" href="https://news.example/'), F.col("doc_id").cast("string"), F.lit('">'), F.col("doc_id").cast("string"), F.lit("</a></li>"))
+    pages = n.groupBy(F.col("stock_code").alias("query"), "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", link.alias("a")))), lambda x: x.a), "\n").alias("html"))
+    root = pipelines.folder(spark, "listing")
+    pages.write.partitionBy("query", "page").text(root)
+    site.register(spark)
+    stocks = [r[0] for r in pages.select("query").distinct().sort("query").collect()]  # the request's queries
+    return spark.read.format("paged_listing").option("path", root).option("queries", json.dumps(stocks)).load()
+
+
+@R.add("select event_type as queue, count(*) as n, min(event_id) as first, max(event_id) as last from events group by 1")
+def source_queue(spark, d):
+    """Events as messages in a segment a day, consumed as a stream into their queues."""
+    e = table(spark, d, "events").select((F.datediff("ts", F.lit("2024-01-01")) + 1).alias("segment"), F.to_json(F.struct("event_id", "event_type")).alias("body"))
+    root = pipelines.folder(spark, "queue")
+    e.repartition("segment").write.partitionBy("segment").text(root)
+    site.register(spark)
+    messages = spark.readStream.format("message_queue").option("path", root).load()
+    read = F.from_json("body", "event_id long, event_type string")
+    out = pipelines.run(messages.select(read.alias("m")).select("m.*"), "append", pipelines.folder(spark, "consumed"), pipelines.folder(spark, "state"))
+    return out.groupBy(F.col("event_type").alias("queue")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
 @R.add("select page_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')), 1, 5000) as body from pages where regexp_matches(url, 'blog|news|shop')")
 def source_disclosures(spark, d):
     return tables.disclosures(table(spark, d, "pages"), "url", "html", ["blog", "news", "shop"]).select("page_id", "body")
