@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,53 +97,48 @@ def islands(days: DataFrame, key: str, date: str = "day") -> DataFrame:
     return days.withColumn("__g", F.date_sub(F.col(date), n)).groupBy(key, "__g").agg(F.min(date).alias("start"), F.max(date).alias("end"), F.count("*").alias("days")).drop("__g")
 
 
-def by_series(df: DataFrame, key: str, by: str, value: str, columns: list[str], step: Callable[[list[float]], Iterator[tuple]]) -> DataFrame:
-    """(key, by, columns): what a recursion makes of each key's values in order; a key is one stock's history (thousands of days at most)."""
+def by_series(df: DataFrame, key: str, by: str, value: str, columns: list[str], state: dict[str, float], step: Callable[[Column, Column, Column], tuple[dict[str, Column], list[Column]]]) -> DataFrame:
+    """(key, by, columns): what a recursion makes of each key's values in order; a key is one stock's history (thousands of days at most).
+
+    step: from the state, a value and its number (from 0) to the next state and the columns. The fold is one aggregate over the sorted array.
+    """
     kinds = dict(df.dtypes)
+    row = f"struct<__by:{kinds[by]}," + ",".join(f"{c}:double" for c in columns) + ">"
+    series = df.select(key, F.struct(F.col(by).alias("__by"), F.col(value).cast("double").alias("v")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("s"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by)
-        made = pd.DataFrame(step(pdf[value].to_list()), columns=columns, index=pdf.index)
-        return pd.concat([pdf[[key, by]], made], axis=1)
+    def merge(a: Column, x: Column) -> Column:
+        new, out = step(a, x["v"], a["k"])
+        made = F.struct(x["__by"].alias("__by"), *[c.alias(n) for n, c in zip(columns, out, strict=True)]).cast(row)
+        return F.struct((a["k"] + 1).alias("k"), *[new[n].cast("double").alias(n) for n in state], F.array_append(a["out"], made).alias("out"))
 
-    schema = f"{key} {kinds[key]}, {by} {kinds[by]}, " + ", ".join(f"{c} double" for c in columns)
-    return df.select(key, by, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, schema)
+    zero = F.struct(F.lit(0).alias("k"), *[F.lit(float(v)).alias(n) for n, v in state.items()], F.array().cast(f"array<{row}>").alias("out"))
+    return series.select(key, F.inline(F.aggregate("s", zero, merge)["out"])).withColumnRenamed("__by", by)
 
 
 def wilder_rsi(df: DataFrame, key: str, by: str, value: str, n: int = 14) -> DataFrame:
     """(key, by, rsi): seeded with the mean of the first n changes, then smoothed by (n - 1) / n. 0 before n changes, and 0
     where there has been no loss (the published formula's choice)."""
 
-    def step(values: list[float]) -> Iterator[tuple]:
-        up = down = 0.0
-        for k, v in enumerate(values):
-            change = v - values[k - 1] if k else 0.0
-            keep = 1.0 if k <= n else (n - 1) / n
-            up, down = up * keep + max(change, 0.0) / n, down * keep + max(-change, 0.0) / n
-            yield (0.0 if k < n or down == 0 else 100 - 100 / (1 + up / down),)
+    def step(a: Column, v: Column, k: Column):
+        change = F.when(k > 0, v - a["last"]).otherwise(0.0)
+        keep = F.when(k <= n, 1.0).otherwise((n - 1) / n)
+        up, down = a["up"] * keep + F.greatest(change, F.lit(0.0)) / n, a["down"] * keep + F.greatest(-change, F.lit(0.0)) / n
+        return {"last": v, "up": up, "down": down}, [F.when((k < n) | (down == 0), 0.0).otherwise(100 - 100 / (1 + up / down))]
 
-    return by_series(df, key, by, value, ["rsi"], step)
+    return by_series(df, key, by, value, ["rsi"], {"last": 0, "up": 0, "down": 0}, step)
 
 
 def macd(df: DataFrame, key: str, by: str, value: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """(key, by, macd, macd_signal, macd_hist): exponential means with weight 2 / (n + 1), seeded with the first value."""
 
-    def step(values: list[float]) -> Iterator[tuple]:
-        mean: list[float] = []
-
-        def follow(k: int, x: float, n: int) -> float:
-            if len(mean) <= k:
-                mean.append(x)
-            else:
-                mean[k] = x * (2 / (n + 1)) + mean[k] * (1 - 2 / (n + 1))
-            return mean[k]
-
-        for v in values:
-            line = follow(0, v, fast) - follow(1, v, slow)
-            s = follow(2, line, signal)
-            yield line, s, line - s
+    def step(a: Column, v: Column, k: Column):
+        follow = lambda c, x, n: F.when(k == 0, x).otherwise(x * (2 / (n + 1)) + a[c] * (1 - 2 / (n + 1)))
+        quick, slack = follow("fast", v, fast), follow("slow", v, slow)
+        line = quick - slack
+        sig = follow("signal", line, signal)
+        return {"fast": quick, "slow": slack, "signal": sig}, [line, sig, line - sig]
 
-    return by_series(df, key, by, value, ["macd", "macd_signal", "macd_hist"], step)
+    return by_series(df, key, by, value, ["macd", "macd_signal", "macd_hist"], {"fast": 0, "slow": 0, "signal": 0}, step)
 
 
 def compounded(ret: Column, key: str, by: str) -> Column:

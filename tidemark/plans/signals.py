@@ -79,8 +79,9 @@ def words_by_lag(spark: SparkSession, d: str, rows: DataFrame, at: DataFrame, la
     """(keys, word, lag, weight) of the articles of the last sessions before each row of at (stock_code, td, tpos): those from 16:00 on count for the
     next trading day, and an article decays by the hours to the opening of td at nine."""
     n = news(spark, d).withColumn("date", ordered.session_date("published_at", "cutoff16"))
-    placed = ordered.asof_forward(n.select("stock_code", "date", "published_at", "content"), rows, "stock_code", "date", "date", ["pos"])
-    near = placed.join(at, "stock_code").withColumn("lag", F.col("tpos") - F.col("pos") + 1).filter(F.col("lag").between(1, lags))
+    days = ordered.asof_forward(n.select("stock_code", "date").distinct(), rows, "stock_code", "date", "date", ["pos"]).filter("pos is not null")  # days, not articles
+    wanted = days.select("stock_code", "date", "pos").join(at, "stock_code").withColumn("lag", F.col("tpos") - F.col("pos") + 1).filter(F.col("lag").between(1, lags))
+    near = n.select("stock_code", "date", "published_at", "content").join(wanted, ["stock_code", "date"])
     weight = expr.time_decay(expr.hours_since(F.col("published_at"), F.col("td").cast("timestamp") + F.expr("INTERVAL 9 HOURS")))
     return near.select(*keys, "lag", weight.alias("weight"), F.explode(tokens(F.col("content"))).alias("word"))
 
