@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import code, fundamentals, news, predictions, price, sentiment_dict, settled, sql, table, tokens, word_days
 from ..functions import expr
-from ..operators import features, metrics, ordered, scoring, sinks, text_search
+from ..operators import features, metrics, ordered, scoring, segmentation, sinks, text_search
 from .registry import Registry
 from .relational import day, with_views
 
@@ -226,6 +226,15 @@ def name_mentions(spark, d):
     return text_search.mentions(n, "doc_id", "body", names, "name")
 
 
+@R.add()
+def tokenize_user_dictionary(spark, d):
+    """Articles split by a user dictionary: the short words that occur twice at least, which longer ones are made of."""
+    n = news(spark, d).select("doc_id", tokens(F.col("content")).alias("t"))
+    words = n.select(F.explode("t").alias("word")).filter(F.length("word").between(2, 5) & F.col("word").rlike(r"^\p{L}+$")).groupBy("word").count().filter("count > 1")
+    pieces = segmentation.segments(F.col("t"), segmentation.dictionary(words, "word", "count"))
+    return n.select("doc_id", F.size("t").alias("words"), pieces.alias("p")).select("doc_id", "words", F.size("p").alias("pieces"), F.sha2(F.array_join("p", " "), 256).alias("digest"))
+
+
 @R.add(sql("news", "select doc_id, contains(title, 'the') or contains(title, 'der') or contains(title, 'les') as in_title, greatest((length(content) - length(replace(content, 'the', ''))) // 3, (length(content) - length(replace(content, 'der', ''))) // 3, (length(content) - length(replace(content, 'les', ''))) // 3) as most from news"))
 def alias_match(spark, d):
     aliases = F.array(F.lit("the"), F.lit("der"), F.lit("les"))
