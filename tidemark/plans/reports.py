@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import code, fundamentals, grid, news, predictions, price, sentiment_dict, settled, sql, table
 from ..operators import metrics, models, ordered, text_search
-from ..streaming import heartbeats, pipelines
+from ..streaming import heartbeats, meters, pipelines
 from .registry import Registry
 from .relational import _SPINE, day, with_views
 
@@ -283,6 +283,26 @@ def stream_stale_jobs(spark, d):
     return out.select(F.col("job").alias("user_id"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "action", "retry_count")
 
 
+@R.add("""select 'rows_total' as name, null::double as bound, count(*)::double as value from events
+union all select 'errors_total', null, count(*) filter (event_type = 'error') from events
+union all select 'event_value', b, count(*) filter (value <= b) from events, (select unnest([1.0, 10.0, 100.0, 1e6]) as b) group by b
+union all select 'stream_rows_total', null, count(*) from events""")
+def collection_metrics(spark, d):
+    """What a batch plan and a stream over the events count on their way, as a table of metrics."""
+    meter, to = meters.Meter(), pipelines.folder(spark, "metrics")
+    e = table(spark, d, "events")
+    meter.watch(e, "events", {"errors_total": F.col("event_type") == "error"}, {"event_value": (F.col("value"), (1.0, 10.0, 100.0, 1e6))}).write.format("noop").mode("overwrite").save()
+    listener = meters.StreamMeter(meter)
+    spark.streams.addListener(listener)
+    try:
+        pipelines.run(pipelines.daily_counts(pipelines.arrivals(spark, f"{d}/events.parquet"), "ts", "event_type"), "complete", pipelines.folder(spark, "daily"), pipelines.folder(spark, "state"))
+        listener.settled()
+    finally:
+        spark.streams.removeListener(listener)
+    meter.write(spark, to)
+    return spark.read.schema(meters.SERIES).parquet(to).filter(F.col("name").isin("rows_total", "errors_total", "event_value", "stream_rows_total")).groupBy("name", "bound").agg(F.sum("value").alias("value"))
+
+
 @R.add("""with j as (select user_id as job, arg_max(event_type, ts) as queue, max(ts) as last_seen from events group by 1), c as (select event_type as queue, count(*) filter (ts > timestamp '2024-01-30 23:00:00') as consumers, count(*) as ready from events group by 1)
 select job, queue, 'zombie' as issue from j where last_seen < timestamp '2024-01-30 21:58:00' and queue not in (select queue from c where consumers > 5)
 union all select null, queue, 'backlog' from c where ready > (select avg(ready) from c)""")

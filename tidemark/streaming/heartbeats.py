@@ -49,7 +49,7 @@ class Watch(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=["job", "at", "action", "retry_count"]).astype({"retry_count": "int32"})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         beats = sorted(int(x) for pdf in rows for x in pdf["us"])
         last, retries, failed = self.state.get() if self.state.exists() else (beats[0], 0, False)
         actions = []
@@ -60,9 +60,9 @@ class Watch(StatefulProcessor):
         self._keep(last, retries, failed)
         yield from self._frame(actions)
 
-    def handleExpiredTimer(self, key, timers, info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, retries, failed = self.state.get()
-        last, retries, failed, out = self._expired(key, last, retries, failed, timers.getCurrentWatermarkInMs() * 1000)
+        last, retries, failed, out = self._expired(key, last, retries, failed, timerValues.getCurrentWatermarkInMs() * 1000)
         self._keep(last, retries, failed)
         yield from self._frame(out)
 
