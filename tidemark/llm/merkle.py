@@ -110,6 +110,7 @@ def manifest(rows: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     other = sha(*[written((tampered or {}).get(c, v)) for c, v in quoted.items()]) if tampered else leaf
     key = F.coalesce(F.concat(F.lit("="), F.col(f"`{group_col}`").cast("string")), F.lit(""))
     taken = rows.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), leaf.alias("node"), F.nullif(other, leaf).alias("other"))
+    taken = ws.table(taken, "hashed")  # the texts are read once; placing by range reads its rows twice
     rows_of = _positions(ws, taken, "leaves", [F.col("key"), F.col("id"), F.col("node")], shards(spark))
     placed = ws.table(rows_of, "placed")
     trees = ws.table(placed.groupBy("key").agg(F.min("pos").alias("start"), F.count("*").alias("size")), "sources")
@@ -118,7 +119,7 @@ def manifest(rows: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     trees = ws.table(_positions(ws, trees, "ordered", [F.col("key")], max(1, min(shards(spark), _tasks(n_trees)))).withColumnRenamed("pos", "tree"), "trees")
     leaves = join_groups(placed, trees, "key", "size").select("id", "tree", (F.col("pos") - F.col("start")).alias("pos"), "size", "node", "other")
     leaves = ws.table(leaves, "leaves_of")
-    ws.drop("leaves", "placed", "sources", "ordered")
+    ws.drop("hashed", "leaves", "placed", "sources", "ordered")
 
     levels, height = _grown(ws, "levels", leaves, most, total)
     tops = leaves.select("tree", "size", "node").unionByName(levels.select("tree", "size", "node")).filter("size = 1").select("tree", "node")
