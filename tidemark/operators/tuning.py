@@ -119,15 +119,22 @@ def scan(counts: DataFrame, rows: DataFrame, dense: list[str], windows: tuple[in
         had = {(int(m), float(a)) for m, a in own["__cells"].iloc[0]} if "__cells" in own and own["__cells"].iloc[0] is not None else set()
         judged = len(own) - int(len(own) * (1 - share))
         cells = Cells(Counts(words), own["y"].to_numpy(float), own[dense].to_numpy(float), judged, critical, lags, min_df, max_df, max_features, rate, tol, month)
-        truth, out = cells.y[cells.cut :], []
+        truth, out, same = cells.y[cells.cut :], [], (None, {})
         for months in sorted(windows):
             todo = [a for a in alphas if (months, a) not in had]
             fitted = set()
+            lo = max(0, cells.cut - month * months)
+            if same[0] == lo:  # longer than the history: the window before has the same rows
+                out += [(key[0], months, a, *same[1][a]) for a in todo if a in same[1]]
+                todo = [a for a in todo if a not in same[1]]
+            else:
+                same = (lo, {})
             try:
                 if not cells.cut or not judged:
                     raise ValueError("a cell needs rows to fit and rows to judge it by")
                 for alpha, w, _, p, _ in cells.run(months, todo) if todo else ():
-                    out.append((key[0], months, alpha, float((np.sign(p) == np.sign(truth)).mean()), float(np.abs(p - truth).mean()), int((np.abs(w) > 1e-12).sum()), None))
+                    same[1][alpha] = (float((np.sign(p) == np.sign(truth)).mean()), float(np.abs(p - truth).mean()), int((np.abs(w) > 1e-12).sum()), None)
+                    out.append((key[0], months, alpha, *same[1][alpha]))
                     fitted.add(alpha)
             except (ValueError, np.linalg.LinAlgError) as e:
                 out += [(key[0], months, a, None, None, None, str(e)[:200]) for a in todo if a not in fitted]
@@ -136,7 +143,9 @@ def scan(counts: DataFrame, rows: DataFrame, dense: list[str], windows: tuple[in
     if done is not None:
         had = done.filter("error is null").groupBy("stock_code").agg(F.collect_set(F.array(F.col("window_months").cast("double"), "alpha")).alias("__cells"))
         rows = rows.join(had, "stock_code", "left").withColumn("__cells", F.when(F.row_number().over(Window.partitionBy("stock_code").orderBy("pos")) == 1, F.col("__cells")))
-    return counts.select("stock_code", "pos", "word", "tf").groupBy("stock_code").cogroup(rows.groupBy("stock_code")).applyInPandas(run, CELLS)
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables too: the fits take the time, not the rows
+    dealt = counts.select("stock_code", "pos", "word", "tf").repartition(n, "stock_code")
+    return dealt.groupBy("stock_code").cogroup(rows.repartition(n, "stock_code").groupBy("stock_code")).applyInPandas(run, CELLS)
 
 
 def checkpointed(spark: SparkSession, counts: DataFrame, rows: DataFrame, dense: list[str], path: str, batches: int = 4, **more) -> DataFrame:
