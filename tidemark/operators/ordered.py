@@ -97,48 +97,54 @@ def islands(days: DataFrame, key: str, date: str = "day") -> DataFrame:
     return days.withColumn("__g", F.date_sub(F.col(date), n)).groupBy(key, "__g").agg(F.min(date).alias("start"), F.max(date).alias("end"), F.count("*").alias("days")).drop("__g")
 
 
-def by_series(df: DataFrame, key: str, by: str, value: str, columns: list[str], state: dict[str, float], step: Callable[[Column, Column, Column], tuple[dict[str, Column], list[Column]]]) -> DataFrame:
+def by_series(df: DataFrame, key: str, by: str, value: str, columns: list[str], state: dict[str, float], step: Callable[[Column, Column, Column], dict[str, Column]], made: Callable[[Column, Column], list[Column]]) -> DataFrame:
     """(key, by, columns): what a recursion makes of each key's values in order; a key is one stock's history (thousands of days at most).
 
-    step: from the state, a value and its number (from 0) to the next state and the columns. The fold is one aggregate over the sorted array.
+    step: from the state, a value and its number (from 0) to the next state; made: the columns, from the state after a value and its number. The fold is
+    one aggregate over the sorted array; it keeps each state as the next step finds it, so no state is computed twice.
     """
-    kinds = dict(df.dtypes)
-    row = f"struct<__by:{kinds[by]}," + ",".join(f"{c}:double" for c in columns) + ">"
     series = df.select(key, F.struct(F.col(by).alias("__by"), F.col(value).cast("double").alias("v")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("s"))
+    kind = "struct<" + ",".join(f"{n}:double" for n in state) + ">"
 
     def merge(a: Column, x: Column) -> Column:
-        new, out = step(a, x["v"], a["k"])
-        made = F.struct(x["__by"].alias("__by"), *[c.alias(n) for n, c in zip(columns, out, strict=True)]).cast(row)
-        return F.struct((a["k"] + 1).alias("k"), *[new[n].cast("double").alias(n) for n in state], F.array_append(a["out"], made).alias("out"))
+        new = step(a["now"], x["v"], F.size(a["out"]))
+        return F.struct(F.struct(*[new[n].cast("double").alias(n) for n in state]).alias("now"), F.array_append(a["out"], a["now"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("k"), *[F.lit(float(v)).alias(n) for n, v in state.items()], F.array().cast(f"array<{row}>").alias("out"))
-    return series.select(key, F.inline(F.aggregate("s", zero, merge)["out"])).withColumnRenamed("__by", by)
+    zero = F.struct(F.struct(*[F.lit(float(v)).alias(n) for n, v in state.items()]).alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
+    states = F.aggregate("s", zero, merge, lambda a: F.array_append(a["out"], a["now"]))  # the first is the state before all values
+    rows = series.select(key, "s", states.alias("a")).select(key, F.posexplode(F.arrays_zip("s", F.expr("slice(a, 2, size(s))").alias("a"))).alias("k", "r"))
+    out = made(F.col("r.a"), F.col("k"))
+    return rows.select(key, F.col("r.s.__by").alias(by), *[c.alias(n) for n, c in zip(columns, out, strict=True)])
 
 
 def wilder_rsi(df: DataFrame, key: str, by: str, value: str, n: int = 14) -> DataFrame:
     """(key, by, rsi): seeded with the mean of the first n changes, then smoothed by (n - 1) / n. 0 before n changes, and 0
     where there has been no loss (the published formula's choice)."""
 
-    def step(a: Column, v: Column, k: Column):
+    def step(a: Column, v: Column, k: Column) -> dict[str, Column]:
         change = F.when(k > 0, v - a["last"]).otherwise(0.0)
         keep = F.when(k <= n, 1.0).otherwise((n - 1) / n)
-        up, down = a["up"] * keep + F.greatest(change, F.lit(0.0)) / n, a["down"] * keep + F.greatest(-change, F.lit(0.0)) / n
-        return {"last": v, "up": up, "down": down}, [F.when((k < n) | (down == 0), 0.0).otherwise(100 - 100 / (1 + up / down))]
+        return {"last": v, "up": a["up"] * keep + F.greatest(change, F.lit(0.0)) / n, "down": a["down"] * keep + F.greatest(-change, F.lit(0.0)) / n}
 
-    return by_series(df, key, by, value, ["rsi"], {"last": 0, "up": 0, "down": 0}, step)
+    def made(a: Column, k: Column) -> list[Column]:
+        return [F.when((k < n) | (a["down"] == 0), 0.0).otherwise(100 - 100 / (1 + a["up"] / a["down"]))]
+
+    return by_series(df, key, by, value, ["rsi"], {"last": 0, "up": 0, "down": 0}, step, made)
 
 
 def macd(df: DataFrame, key: str, by: str, value: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """(key, by, macd, macd_signal, macd_hist): exponential means with weight 2 / (n + 1), seeded with the first value."""
 
-    def step(a: Column, v: Column, k: Column):
+    def step(a: Column, v: Column, k: Column) -> dict[str, Column]:
         follow = lambda c, x, n: F.when(k == 0, x).otherwise(x * (2 / (n + 1)) + a[c] * (1 - 2 / (n + 1)))
         quick, slack = follow("fast", v, fast), follow("slow", v, slow)
-        line = quick - slack
-        sig = follow("signal", line, signal)
-        return {"fast": quick, "slow": slack, "signal": sig}, [line, sig, line - sig]
+        return {"fast": quick, "slow": slack, "signal": follow("signal", quick - slack, signal)}
+
+    def made(a: Column, k: Column) -> list[Column]:
+        line = a["fast"] - a["slow"]
+        return [line, a["signal"], line - a["signal"]]
 
-    return by_series(df, key, by, value, ["macd", "macd_signal", "macd_hist"], {"fast": 0, "slow": 0, "signal": 0}, step)
+    return by_series(df, key, by, value, ["macd", "macd_signal", "macd_hist"], {"fast": 0, "slow": 0, "signal": 0}, step, made)
 
 
 def compounded(ret: Column, key: str, by: str) -> Column:
