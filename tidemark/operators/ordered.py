@@ -103,7 +103,7 @@ def by_series(df: DataFrame, key: str, by: str, value: str, columns: list[str],
     step: from the state, a value and its number (from 0) to the next state; made: the columns, from the state after a value and its number. The fold is
     one aggregate over the sorted array; it keeps each state as the next step finds it, so no state is computed twice.
     """
-    series = df.select(key, F.struct(F.col(by).alias("__by"), F.col(value).cast("double").alias("v")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("s"))
+    series = df.select(key, F.struct(F.col(by).alias("__by"), F.col(value).cast("double").alias("v")).alias("__x")).groupBy(key).agg(F.array_sort(F.collect_list("__x")).alias("__s"))
     kind = "struct<" + ",".join(f"{n}:double" for n in state) + ">"
 
     def merge(a: Column, x: Column) -> Column:
@@ -111,10 +111,10 @@ def by_series(df: DataFrame, key: str, by: str, value: str, columns: list[str],
         return F.struct(F.struct(*[new[n].cast("double").alias(n) for n in state]).alias("now"), F.array_append(a["out"], a["now"]).alias("out"))
 
     zero = F.struct(F.struct(*[F.lit(float(v)).alias(n) for n, v in state.items()]).alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
-    states = F.aggregate("s", zero, merge, lambda a: F.array_append(a["out"], a["now"]))  # the first is the state before all values
-    rows = series.select(key, "s", states.alias("a")).select(key, F.posexplode(F.arrays_zip("s", F.expr("slice(a, 2, size(s))").alias("a"))).alias("k", "r"))
-    out = made(F.col("r.a"), F.col("k"))
-    return rows.select(key, F.col("r.s.__by").alias(by), *[c.alias(n) for n, c in zip(columns, out, strict=True)])
+    states = F.aggregate("__s", zero, merge, lambda a: F.array_append(a["out"], a["now"]))  # the first is the state before all values
+    rows = series.select(key, "__s", states.alias("__a")).select(key, F.posexplode(F.arrays_zip("__s", F.expr("slice(__a, 2, size(__s))").alias("__a"))).alias("__k", "__r"))
+    out = made(F.col("__r.__a"), F.col("__k"))
+    return rows.select(key, F.col("__r.__s.__by").alias(by), *[c.alias(n) for n, c in zip(columns, out, strict=True)])
 
 
 def wilder_rsi(df: DataFrame, key: str, by: str, value: str, n: int = 14) -> DataFrame:
