@@ -148,3 +148,13 @@ def test_critical_words_decide_the_status(spark):
     assert {k: r.status for k, r in got.items()} == {"a": "Super Sell", "b": "Super Buy", "c": "Wait"}
     assert got["a"].net == pytest.approx(-0.02 * m) and got["b"].net == pytest.approx(0.02 * 0.8 * m) and got["c"].net == pytest.approx(0.01 * 0.8 * m)
     assert got["a"].negative == "fire:-20000" and got["c"].positive == "calm:10000" and got["c"].confidence == 30.0
+
+
+def test_words_are_split_once(spark):
+    """Spark must not push a test of the n-grams' number below the column that splits the text: every n-gram would split it again."""
+    counts, _, _ = signals.counted_set(spark, "/root/testdata/sf0.001", technical=False)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    days = spark.createDataFrame([("a", "1995-01-02", ["x", "y", "x", "y"]), ("a", "1995-01-03", None), ("a", "1995-01-03", [])], "stock_code string, date string, words array<string>").selectExpr("stock_code", "cast(date as date) as date", "words")
+    rows = spark.createDataFrame([("a", "1995-01-02", 1, 2), ("a", "1995-01-03", 2, 2)], "stock_code string, date string, pos int, n_rows long").selectExpr("stock_code", "cast(date as date) as date", "pos", "n_rows")
+    assert {(r.pos, r.word): r.tf for r in training.day_counts(days, rows, 2).collect()} == {(1, "x"): 2, (1, "y"): 2, (1, "x;y"): 2, (1, "y;x"): 1}

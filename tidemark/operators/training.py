@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expr
 from . import ordered, solvers
 
 LAGS, MIN_DF, MAX_DF, MAX_FEATURES = 5, 3, 0.85, 25_000
@@ -26,11 +27,14 @@ def numbered(price: DataFrame, columns: list[str]) -> DataFrame:
     return price.select("stock_code", "date", F.row_number().over(w.orderBy("date")).alias("pos"), F.count("*").over(w).alias("n_rows"), *columns)
 
 
-def day_counts(news: DataFrame, rows: DataFrame) -> DataFrame:
-    """(stock_code, pos, n_rows, word, tf) from articles (stock_code, date, words): the words of each row's own day. Articles after a stock's
-    last row belong to none."""
+def day_counts(news: DataFrame, rows: DataFrame, grams: int = 1) -> DataFrame:
+    """(stock_code, pos, n_rows, word, tf) from articles (stock_code, date, words): the words, or their n-grams up to grams words, of each row's own
+    day. Articles after a stock's last row belong to none."""
     days = ordered.asof_forward(news.select("stock_code", "date").distinct(), rows, "stock_code", "date", "date", ["pos", "n_rows"]).filter("pos is not null")
-    return news.join(days.select("stock_code", "date", "pos", "n_rows"), ["stock_code", "date"]).select("stock_code", "pos", "n_rows", F.explode("words").alias("word")).groupBy("stock_code", "pos", "n_rows", "word").agg(F.count("*").alias("tf"))
+    held = news.join(days.select("stock_code", "date", "pos", "n_rows"), ["stock_code", "date"])
+    # the outer explode: before an inner one Spark tests the array's size in a filter, which it pushes below the column that splits the text, and every n-gram splits it again
+    words = held.select("stock_code", "pos", "n_rows", F.explode_outer(expr.ngrams(F.col("words"), grams)).alias("word"))
+    return words.filter("word is not null").groupBy("stock_code", "pos", "n_rows", "word").agg(F.count("*").alias("tf"))
 
 
 def day_tfidf(counts: DataFrame, lags: int = LAGS, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES) -> DataFrame:

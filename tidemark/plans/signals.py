@@ -52,8 +52,8 @@ def counted_set(spark: SparkSession, d: str, technical: bool = True, first: str
     dense = FUNDAMENTAL + (TECHNICAL if technical else [])
     kept = dense_rows(spark, d, technical).filter(F.col("date").between(first, last)).withColumn("y", F.col("excess_return"))
     rows = training.numbered(kept, ["y", *[F.col(c).alias(named(c)) for c in dense]])
-    t = news(spark, d).filter((F.col("published_at") >= F.date_sub(F.lit(first).cast("date"), LAGS + 2)) & (F.to_date("published_at") <= last)).select("stock_code", F.to_date("published_at").alias("date"), tokens(F.col("content")).alias("t"))
-    counts = training.day_counts(t.select("stock_code", "date", expr.ngrams(F.col("t"), GRAMS).alias("words")), rows)
+    t = news(spark, d).filter((F.col("published_at") >= F.date_sub(F.lit(first).cast("date"), LAGS + 2)) & (F.to_date("published_at") <= last)).select("stock_code", F.to_date("published_at").alias("date"), tokens(F.col("content")).alias("words"))
+    counts = training.day_counts(t, rows, GRAMS)
     return counts, rows, [named(c) for c in dense]
 
 
