@@ -158,3 +158,15 @@ def test_words_are_split_once(spark):
     days = spark.createDataFrame([("a", "1995-01-02", ["x", "y", "x", "y"]), ("a", "1995-01-03", None), ("a", "1995-01-03", [])], "stock_code string, date string, words array<string>").selectExpr("stock_code", "cast(date as date) as date", "words")
     rows = spark.createDataFrame([("a", "1995-01-02", 1, 2), ("a", "1995-01-03", 2, 2)], "stock_code string, date string, pos int, n_rows long").selectExpr("stock_code", "cast(date as date) as date", "pos", "n_rows")
     assert {(r.pos, r.word): r.tf for r in training.day_counts(days, rows, 2).collect()} == {(1, "x"): 2, (1, "y"): 2, (1, "x;y"): 2, (1, "y;x"): 1}
+
+
+def test_descent_on_dependent_columns_needs_few_rounds():
+    """Far more columns than rows and a small penalty: coordinate steps alone creep."""
+    rng = np.random.RandomState(5)
+    x = rng.standard_normal((60, 100)) * 0.05 + rng.standard_normal((60, 1))
+    x, y = x - x.mean(0), rng.standard_normal(60)
+    y = y - y.mean()
+    gram, q, alpha = x.T @ x / 60, x.T @ y / 60, 1e-4
+    w = solvers._descend(gram, q, np.zeros(100), alpha, float(y @ y) / 120, 401, 1e-12)
+    slope = q - gram @ w
+    assert np.abs(slope).max() <= alpha * 1.001 and np.allclose(slope[w != 0], alpha * np.sign(w[w != 0]), atol=alpha * 1e-3)

@@ -117,10 +117,14 @@ def lasso_sparse(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, p: i
 
 
 def _descend(gram: np.ndarray, q: np.ndarray, w: np.ndarray, alpha: float, start: float, steps: int, tol: float) -> np.ndarray:
-    """Coordinate descent for w gram w / 2 - q w + alpha |w|, over all coordinates now and then and over the nonzero ones between."""
+    """Coordinate descent for w gram w / 2 - q w + alpha |w|, over all coordinates now and then and over the nonzero ones between; before all of them
+    the nonzero ones are solved for at once."""
     w, slope, scale = w.copy(), q - gram @ w, np.diag(gram).copy()
     for k in range(steps):
         gain = 0.0
+        if k and k % 10 == 0:
+            w = _solved(gram, q, w, alpha, start)
+            slope = q - gram @ w
         for j in range(len(w)) if k % 10 == 0 else np.flatnonzero(w).tolist():
             z = w[j] * scale[j] + slope[j]
             now = (z - alpha if z > alpha else z + alpha if z < -alpha else 0.0) / scale[j]
@@ -133,6 +137,28 @@ def _descend(gram: np.ndarray, q: np.ndarray, w: np.ndarray, alpha: float, start
     return w
 
 
+def _solved(gram: np.ndarray, q: np.ndarray, w: np.ndarray, alpha: float, start: float, passes: int = 50) -> np.ndarray:
+    """w moved towards the least value with its signs: where a coordinate meets 0 on the way it stays there and the others go on. A pass also weighs how
+    far it moves, by so little that only columns that depend on each other feel it. w itself where the value is not lower."""
+    value = lambda v: float(v @ gram @ v / 2 - q @ v + alpha * np.abs(v).sum())
+    new, small = w.copy(), 1e-9 * float(np.diag(gram).mean()) if len(w) else 0.0
+    for _ in range(passes):
+        at = np.flatnonzero(new)
+        if not len(at):
+            break
+        own, sign = new[at], np.sign(new[at])
+        square = gram[np.ix_(at, at)] + small * np.eye(len(at))
+        to = np.linalg.solve(square, q[at] - alpha * sign + small * own)
+        out = np.flatnonzero(to * sign < 0)
+        if not len(out):
+            new[at] = to
+            break
+        part = own[out] / (own[out] - to[out])
+        new[at] = own + part.min() * (to - own)
+        new[at[out[part == part.min()]]] = 0.0
+    return new if value(new) < value(w) and alpha * np.abs(new).sum() <= start else w
+
+
 def lipschitz(x: np.ndarray, large: int = 20_000) -> float:
     """An upper bound of the gradient's slope: the trace, or ten power steps where there are very many columns."""
     n, p = x.shape
