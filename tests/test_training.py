@@ -170,3 +170,14 @@ def test_descent_on_dependent_columns_needs_few_rounds():
     w = solvers._descend(gram, q, np.zeros(100), alpha, float(y @ y) / 120, 401, 1e-12)
     slope = q - gram @ w
     assert np.abs(slope).max() <= alpha * 1.001 and np.allclose(slope[w != 0], alpha * np.sign(w[w != 0]), atol=alpha * 1e-3)
+
+
+def test_folds_share_counts_and_models_are_made_once(spark):
+    cast = lambda df: df.withColumn("date", df["date"].cast("date"))
+    news = cast(spark.createDataFrame([("a", f"1995-01-0{k}", ["x", "y", "x"][: k % 4]) for k in range(1, 8)] + [("b", "1995-01-03", ["z"])], "stock_code string, date string, words array<string>"))
+    rows = cast(spark.createDataFrame([(f, f"1995-01-0{k}", i + 1, 2) for f, days in (("a#0", (2, 4)), ("a#1", (4, 7)), ("b#0", (3, 4))) for i, k in enumerate(days)], "stock_code string, date string, pos int, n_rows long"))
+    folds = cast(spark.createDataFrame([(f, f[0], f"1995-01-0{k}") for f, lo, hi in (("a#0", 1, 4), ("a#1", 3, 6), ("b#0", 3, 3)) for k in range(lo, hi + 1)], "stock_code string, own string, date string"))
+    got = {(r.stock_code, r.pos, r.word): r.tf for r in training.day_counts(news, rows, folds=folds).collect()}
+    assert got == {("a#0", 1, "x"): 2, ("a#0", 1, "y"): 1, ("a#0", 2, "x"): 2, ("a#0", 2, "y"): 1, ("a#1", 1, "x"): 2, ("a#1", 1, "y"): 1, ("a#1", 2, "x"): 2, ("a#1", 2, "y"): 1, ("b#0", 1, "z"): 1}
+    for query in (signals.walk_forward_scorer, signals.daily_training_and_prediction):
+        assert "CoGroupsInPandas" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -27,14 +27,19 @@ def numbered(price: DataFrame, columns: list[str]) -> DataFrame:
     return price.select("stock_code", "date", F.row_number().over(w.orderBy("date")).alias("pos"), F.count("*").over(w).alias("n_rows"), *columns)
 
 
-def day_counts(news: DataFrame, rows: DataFrame, grams: int = 1) -> DataFrame:
+def day_counts(news: DataFrame, rows: DataFrame, grams: int = 1, folds: DataFrame | None = None) -> DataFrame:
     """(stock_code, pos, n_rows, word, tf) from articles (stock_code, date, words): the words, or their n-grams up to grams words, of each row's own
-    day. Articles after a stock's last row belong to none."""
-    days = ordered.asof_forward(news.select("stock_code", "date").distinct(), rows, "stock_code", "date", "date", ["pos", "n_rows"]).filter("pos is not null")
-    held = news.join(days.select("stock_code", "date", "pos", "n_rows"), ["stock_code", "date"])
+    day. Articles after a stock's last row belong to none. folds: (stock_code, own, date), the days of stock `own` that a fold of the name stock_code
+    has; rows then have the folds' names, and a day's words are counted once for all of them.
+
+    A day's words are counted where its articles are, if these come dealt by stock_code and date, then dealt once by word, as day_tfidf needs them."""
+    folds = news.select("stock_code", F.col("stock_code").alias("own"), "date").distinct() if folds is None else folds
+    at = ordered.asof_forward(folds, rows, "stock_code", "date", "date", ["pos", "n_rows"]).filter("pos is not null")
+    at = at.select(F.col("own").alias("stock_code"), "date", F.col("stock_code").alias("__fold"), "pos", "n_rows")
     # the outer explode: before an inner one Spark tests the array's size in a filter, which it pushes below the column that splits the text, and every n-gram splits it again
-    words = held.select("stock_code", "pos", "n_rows", F.explode_outer(expr.ngrams(F.col("words"), grams)).alias("word"))
-    return words.filter("word is not null").groupBy("stock_code", "pos", "n_rows", "word").agg(F.count("*").alias("tf"))
+    words = news.select("stock_code", "date", F.explode_outer(expr.ngrams(F.col("words"), grams)).alias("word")).filter("word is not null")
+    daily = words.groupBy("stock_code", "date", "word").agg(F.count("*").alias("tf")).join(at, ["stock_code", "date"])
+    return daily.select(F.col("__fold").alias("stock_code"), "pos", "n_rows", "word", "tf").repartition("stock_code", "word").groupBy("stock_code", "pos", "n_rows", "word").agg(F.sum("tf").alias("tf"))
 
 
 def day_tfidf(counts: DataFrame, lags: int = LAGS, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES) -> DataFrame:

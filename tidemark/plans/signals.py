@@ -41,6 +41,17 @@ def named(c: str) -> str:
     return f"__T_{c}__" if c in TECHNICAL else f"__F_{c}__"
 
 
+def by_day(n: DataFrame) -> DataFrame:
+    """Articles as (stock_code, date, content), dealt by both: texts travel, not their words."""
+    return n.select("stock_code", F.to_date("published_at").alias("date"), "content").repartition("stock_code", "date")
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """The rows from a table in the shared folder: what several parts of a plan read is made once."""
+    df.write.parquet(to := pipelines.folder(spark, name))
+    return spark.read.parquet(to)
+
+
 def training_set(spark: SparkSession, d: str, technical: bool = True, first: str = FIRST, last: str = LAST) -> tuple[DataFrame, DataFrame, list[str]]:
     """The days (as from training.day_tfidf) and rows of every stock in a range of dates, and the names of the dense columns."""
     counts, rows, names = counted_set(spark, d, technical, first, last)
@@ -52,7 +63,8 @@ def counted_set(spark: SparkSession, d: str, technical: bool = True, first: str
     dense = FUNDAMENTAL + (TECHNICAL if technical else [])
     kept = dense_rows(spark, d, technical).filter(F.col("date").between(first, last)).withColumn("y", F.col("excess_return"))
     rows = training.numbered(kept, ["y", *[F.col(c).alias(named(c)) for c in dense]])
-    t = news(spark, d).filter((F.col("published_at") >= F.date_sub(F.lit(first).cast("date"), LAGS + 2)) & (F.to_date("published_at") <= last)).select("stock_code", F.to_date("published_at").alias("date"), tokens(F.col("content")).alias("words"))
+    n = news(spark, d).filter((F.col("published_at") >= F.date_sub(F.lit(first).cast("date"), LAGS + 2)) & (F.to_date("published_at") <= last))
+    t = by_day(n).select("stock_code", "date", tokens(F.col("content")).alias("words"))
     counts = training.day_counts(t, rows, GRAMS)
     return counts, rows, [named(c) for c in dense]
 
@@ -153,7 +165,7 @@ def daily_training_and_prediction(spark, d):
     training range from the sessions before it, and its settlement."""
     rows = training.numbered(price(spark, d), ["volume", "return_rate", "excess_return"])
     nxt = rows.filter(F.col("date") > LAST).groupBy("stock_code").agg(F.min("date").alias("td"), F.min("pos").alias("tpos"))
-    fitted = trained(spark, d)
+    fitted = stored(spark, trained(spark, d), "trained")
     before = rows.join(nxt, "stock_code").filter(F.col("pos") == F.col("tpos") - 1).select("stock_code", "date")
     wide = dense_rows(spark, d, True).join(before, ["stock_code", "date"])
     dense = long_form(wide, FUNDAMENTAL + TECHNICAL).join(fitted.filter("mean is not null").select("stock_code", "feature", "mean", "scale"), ["stock_code", "feature"])
@@ -210,8 +222,10 @@ def walk_forward_scorer(spark, d):
     dense = [named(c) for c in FUNDAMENTAL]
     wide = dense_rows(spark, d, False)
     kept = training.numbered(in_folds(wide.withColumn("y", F.col("excess_return")), fits), ["y", *[F.col(c).alias(named(c)) for c in FUNDAMENTAL]])
-    articles = news(spark, d).select("stock_code", F.to_date("published_at").alias("date"), tokens(F.col("content")).alias("words"))
-    fitted = training.train_dictionary(training.day_tfidf(training.day_counts(in_folds(articles, fits), kept), LAGS), kept, dense, LAGS)
+    n = news(spark, d).filter(F.to_date("published_at").between(F.date_sub(F.lit(WF_FIRST).cast("date"), 1 + WF_WINDOW), F.lit(WF_LAST).cast("date")))
+    days = in_folds(n.select("stock_code", F.col("stock_code").alias("own"), F.to_date("published_at").alias("date")).distinct(), fits)
+    counts = training.day_counts(by_day(n).select("stock_code", "date", tokens(F.col("content")).alias("words")), kept, folds=days)
+    fitted = stored(spark, training.train_dictionary(training.day_tfidf(counts, LAGS), kept, dense, LAGS), "folds")
     key = F.concat("stock_code", F.lit("#"), F.col("fold").cast("string"))
     placed = tests.select("stock_code", "td", "tpos", key.alias("key"))
     words = words_by_lag(spark, d, rows, placed, LAGS, ["key", "td"])
