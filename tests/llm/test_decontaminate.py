@@ -77,3 +77,30 @@ def test_walks_of_equal_strings_meet_and_of_others_rarely():
     w = r.integers(0, 2**62, (50, 20)).astype(np.uint64)
     assert (decontaminate.walk_keys(w, 5, 20) == decontaminate.walk_keys(w.copy(), 5, 20)).all()
     assert (decontaminate.walk_keys(w, 5, 20) == decontaminate.walk_keys(w[::-1].copy(), 5, 20)).mean() < 0.05
+
+
+def test_equal_windows_are_compared_once(monkeypatch):
+    item = "w " * 30
+    index, walked, plain = decontaminate.Index([1], [item]), [], decontaminate.walk_keys
+    monkeypatch.setattr(decontaminate, "walk_keys", lambda w, *rest: walked.append(len(w)) or plain(w, *rest))
+    texts = ["w " * 500, "", "a b c " + "w " * 40 + "d e f"]
+    data = [t.encode() for t in texts]
+    h, _, _, first = decontaminate.words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), lower=True, trim=3)
+    assert index.search(h, first) == [(0, 0, 0, 0), (2, 0, 0, 3)]
+    assert sum(walked) < 30
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 30])
+def test_distance_in_a_band(n):
+    r = np.random.default_rng(n)
+    a = r.integers(0, 3, (300, n)).astype(np.uint64)
+    b = np.where(r.random(a.shape) < 0.7, a, r.integers(0, 3, a.shape).astype(np.uint64))
+    b[::3] = np.roll(b[::3], 1, axis=1)
+    for most in {0, 1, n // 3, n}:
+        table = [[0] * (n + 1) for _ in range(n + 1)]
+        got = decontaminate.edit_distance(a, b, most)
+        for x, y, d in zip(a.tolist(), b.tolist(), got.tolist()):
+            for i in range(n + 1):
+                for j in range(n + 1):
+                    table[i][j] = max(i, j) if not i * j else min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (x[i - 1] != y[j - 1]))
+            assert d == table[n][n] if table[n][n] <= most else d > most

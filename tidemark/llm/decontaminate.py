@@ -29,6 +29,7 @@ TRIALS, LEAST_HIT = 240, 1e-3
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 8 << 20
 SLICE = 8 << 20
+WALKS = 512
 _PAD = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,32 +41,53 @@ def walk_keys(w: np.ndarray, repetitions: int, n: int, sampled: int = SAMPLED) -
     for r in range(repetitions):
         take[rng.choice(3 * n, min(sampled, 3 * n), replace=False), r] = True
     salt = rng.integers(0, 2**63, take.shape, dtype=np.uint64)
-    flat = np.hstack([w, np.full((len(w), 1), _PAD)]).ravel()
-    base = np.arange(len(w))[:, None] * (n + 1)
-    i, key = np.zeros((len(w), repetitions), np.int64), np.zeros((len(w), repetitions), np.uint64)
-    for j in range(int(np.flatnonzero(take.any(1))[-1]) + 1):
-        symbol = flat[base + i]
-        if take[j].any():
-            key[:, take[j]] = mix(key[:, take[j]] + symbol[:, take[j]])
-        i += ((symbol ^ salt[j]) * _STEP >> np.uint64(63)).astype(np.int64)
-        np.minimum(i, n, out=i)
-    return key
+    last = 3 * n - 1 - take[::-1].argmax(0)
+    order = np.argsort(-last, kind="stable")  # a walk ends at the last place that is read
+    walking = np.searchsorted(-last[order], -np.arange(3 * n), "right").tolist()
+    reads = [np.flatnonzero(t) for t in take[:, order]]
+    salt = np.ascontiguousarray(salt[:, order])[:, :, None]
+    key = np.zeros((repetitions, len(w)), np.uint64)
+    for lo in range(0, len(w), WALKS):
+        some = w[lo : lo + WALKS]
+        flat = np.hstack([some, np.full((len(some), 2 * n), _PAD)]).ravel()  # no walk of 3 n steps leaves its row
+        at = np.tile(np.arange(len(some)) * (3 * n), (repetitions, 1))
+        symbol = np.empty(at.shape, np.uint64)
+        for j, m in enumerate(walking[: int(last.max()) + 1]):
+            here = symbol[:m]
+            np.take(flat, at[:m], out=here, mode="clip")
+            if len(rows := reads[j]):
+                key[rows, lo : lo + WALKS] = mix(key[rows, lo : lo + WALKS] + here[rows])
+            here ^= salt[j, :m]
+            here *= _STEP
+            here >>= np.uint64(63)
+            at[:m] += here.view(np.int64)
+    out = np.empty_like(key)
+    out[order] = key
+    return out.T
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Edit distance of row pairs of two arrays of n words, or more than `most` where it is larger."""
-    n = a.shape[1]
-    far = most + 1
-    before = [np.full(len(a), min(j, far), np.int32) for j in range(n + 1)]
-    for i in range(1, n + 1):
-        now = [np.full(len(a), far, np.int32)] * (n + 1)
-        if i <= most:
-            now[0] = np.full(len(a), i, np.int32)
-        for j in range(max(1, i - most), min(n, i + most) + 1):
-            step = np.minimum(before[j], now[j - 1]) + 1
-            now[j] = np.minimum(step, before[j - 1] + (a[:, i - 1] != b[:, j - 1]))
-        before = now
-    return before[n]
+    """Edit distance of row pairs of two arrays of n words, or more than `most` where it is larger.
+
+    Row i of the table holds its cells i - most to i + most alone; what lies outside is farther. What stands beside b is never read by a
+    cell that counts.
+    """
+    n, pairs = a.shape[1], len(a)
+    kind = np.int16 if 2 * n + most < 1 << 15 else np.int32
+    a, wide = np.ascontiguousarray(a.T), np.zeros((n + 2 * most, pairs), np.uint64)
+    wide[most : most + n] = b.T
+    step = np.arange(2 * most + 1, dtype=kind)[:, None]
+    cells = np.repeat(np.where(step >= most, step - kind(most), kind(most + 1)).astype(kind), pairs, axis=1)
+    for i in range(n):
+        now = cells + (wide[i : i + 2 * most + 1] != a[i])
+        np.minimum(now[:-1], cells[1:] + kind(1), out=now[:-1])
+        now -= step
+        far = 1
+        while far <= 2 * most:  # inserted words
+            np.minimum(now[far:], now[:-far], out=now[far:])
+            far *= 2
+        cells = now + step
+    return cells[most].astype(np.int32)
 
 
 @dataclass
@@ -175,6 +197,9 @@ class Index:
 
     def _match(self, h: np.ndarray, g: Group, start: np.ndarray, doc: np.ndarray, first: np.ndarray, best: dict) -> None:
         w = h[start[:, None] + np.arange(g.n)]
+        _, one, same = np.unique(grams(w.ravel(), g.n)[:: g.n], return_index=True, return_inverse=True)  # equal windows are compared once
+        w, order = w[one], np.argsort(same, kind="stable")
+        edge = np.searchsorted(same[order], np.arange(len(w) + 1))
         pairs = []
         for mine, (keys, row) in zip(walk_keys(w, len(g.keys), g.n).T, g.keys, strict=True):
             lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
@@ -187,10 +212,11 @@ class Index:
             win, item = np.divmod(found[lo : lo + (1 << 14)], len(g.items))
             far = edit_distance(w[win], g.items[item], g.most)
             for k in np.flatnonzero(far <= g.most):
-                d, at = int(doc[win[k]]), int(start[win[k]] - first[doc[win[k]]])
-                key, new = (d, int(g.number[item[k]])), (int(far[k]), at)
-                if key not in best or new < best[key]:
-                    best[key] = new
+                for x in order[edge[win[k]] : edge[win[k] + 1]]:
+                    d, at = int(doc[x]), int(start[x] - first[doc[x]])
+                    key, new = (d, int(g.number[item[k]])), (int(far[k]), at)
+                    if key not in best or new < best[key]:
+                        best[key] = new
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
