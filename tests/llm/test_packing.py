@@ -73,3 +73,23 @@ def test_empty_and_nulls(spark, empty):
     assert packing.pack(empty, tokenizer()).count() == 0
     got = packing.pack(spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string"), tokenizer()).collect()
     assert [(r.length, r.doc_tokens) for r in got] == [(1, 1)] * 3 and sorted(r.offset for r in got) == [0, 1, 2]
+
+
+def test_a_worker_keeps_little_between_tasks(reference, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_ENTRIES", 20)
+    e = packing.Encoder(tokenizer())
+    texts = [f"alpha beta {k} gamma, delta{k} end." for k in range(200)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [reference(t) for t in texts]
+        e.rest()
+        assert len(e.known) == 20 and " beta" in e.known and not e.older
+
+
+def test_tasks_end_with_small_caches_and_read_small_batches(spark, monkeypatch):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 400), x -> concat('word', id * 400 + x))) as text").coalesce(1)
+    assert packing.pieces(docs, tokenizer()).count() >= 400
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    path = tokenizer()
+    held = spark.range(1).coalesce(1).mapInPandas(lambda it, p=path: (b.assign(id=len(packing._encoders[p].known) if p in packing._encoders else 0) for b in it), "id long").first()[0]
+    assert held <= packing.KEPT_ENTRIES

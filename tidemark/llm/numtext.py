@@ -31,13 +31,18 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 CACHES: list[dict] = []
 
 
+def trim() -> None:
+    """Returns free memory to the machine, where the C library can."""
+    if f := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        f(0)
+
+
 def let_go() -> None:
-    """Empties the caches and returns their memory to the machine, where the C library can."""
+    """Empties the caches and returns their memory to the machine."""
     if any(CACHES):
         for c in CACHES:
             c.clear()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trim()
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:

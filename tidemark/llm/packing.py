@@ -6,11 +6,12 @@ packs it into patterns with counts, and pieces find their place by their rank am
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numtext import CACHES
-from .workspace import Workspace
+from .numtext import CACHES, trim
+from .workspace import Workspace, bound_arrow_batches
 
 CACHE_ENTRIES = 500_000
+KEPT_ENTRIES = 100_000  # from one task to the next
 LONG_TEXT = 1 << 20
 #: Words of Latin letters that end where the tokenizer's own pattern would end them, runs of plain punctuation, other runs without
 #: white space, white space. Each piece is encoded alike alone and in its text.
@@ -38,6 +40,7 @@ class Encoder:
     """A byte-level BPE tokenizer with a bounded memory of pieces it has encoded."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part; threads of their own cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,9 +54,15 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in _encoders:
+            trim()
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def rest(self) -> None:
+        """Between tasks: Spark hands these to idle workers in turn, and each worker keeps what it has. The pieces met first, the frequent ones, stay."""
+        self.known, self.older = dict(islice(self.known.items(), KEPT_ENTRIES)), {}
+        trim()
+
     def _learn(self, new: list[str]) -> None:
         known, rest = self.known, []
         plain = [p for p in new if PLAIN.fullmatch(p) or rest.append(p)]
@@ -127,7 +136,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, i
                         bodies.append(body)
             cols = [batch.column("id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64()), pa.array(np.full(len(rows[0]), part, np.int32)), pa.array(rows[5], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(bodies, pa.binary())] * with_ids, names=[x.split()[0] for x in schema.split(", ")])
+        enc.rest()
 
+    bound_arrow_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
