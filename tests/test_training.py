@@ -181,3 +181,61 @@ def test_folds_share_counts_and_models_are_made_once(spark):
     assert got == {("a#0", 1, "x"): 2, ("a#0", 1, "y"): 1, ("a#0", 2, "x"): 2, ("a#0", 2, "y"): 1, ("a#1", 1, "x"): 2, ("a#1", 1, "y"): 1, ("a#1", 2, "x"): 2, ("a#1", 2, "y"): 1, ("b#0", 1, "z"): 1}
     for query in (signals.walk_forward_scorer, signals.daily_training_and_prediction):
         assert "CoGroupsInPandas" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [40, training.MAX_FEATURES])
+def test_frequent_words_are_those_of_the_plan(spark, sf, most):
+    """Words counted in one task for each stock: the plan's words and values, ties at the cap too."""
+    import pyarrow as pa
+
+    counts, _, _ = signals.counted_set(spark, sf, technical=False)
+    want = {(r.stock_code, r.pos, r.word): r.value for r in training.day_tfidf(counts, signals.LAGS, max_features=most).collect()}
+    _, n, _ = signals.learned_from(spark, sf, False, signals.FIRST, signals.LAST)
+    _, rows, _ = signals.word_set(spark, sf, technical=False)
+    articles = n.selectExpr("stock_code", "to_date(published_at) as date", "content")
+    from tidemark.fixtures import tokens
+
+    words = training.frequent_words(articles, rows, tokens(articles["content"]), signals.GRAMS, signals.LAGS, max_features=most).toPandas()
+    size, got = rows.groupBy("stock_code").count().toPandas().set_index("stock_code")["count"], {}
+    schema = pa.schema([("stock_code", pa.string()), ("word", pa.string()), ("pos", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32()))])
+    for stock, own in words.groupby("stock_code"):
+        assert len(own) <= most and own["word"].is_unique
+        c = training.Counts.of(pa.Table.from_pandas(own, schema, preserve_index=False))
+        ids, day, word, value = c.tfidf(0, int(size[stock]), signals.LAGS, training.MIN_DF, training.MAX_DF, most)
+        got |= {(stock, d + 1, str(c.vocabulary[ids[w]])): v for d, w, v in zip(day.tolist(), word.tolist(), value.tolist(), strict=True)}
+    assert len(want) > 1000 and set(got) == set(want) and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
+def test_words_chosen_in_steps_and_by_ranges():
+    import pyarrow as pa
+
+    r = np.random.RandomState(1)
+    texts = [[f"w{k}" for k in r.zipf(1.3, r.randint(0, 40)) if k < 60] for _ in range(80)] + [None]
+    pos = r.randint(1, 13, len(texts))
+    ranges = lambda n: [(0, n - 3), (4, n - 3)]
+    tf: Counter = Counter()
+    for t, p in zip(texts, pos.tolist()):
+        for w in [*(t or []), *(f"{a};{b}" for a, b in zip(t or [], (t or [])[1:]))]:
+            tf[w, p - 1] += 1
+    keep = set()
+    for lo, hi in ranges(12):
+        df, total = Counter(), Counter()
+        for (w, p), c in tf.items():
+            if lo <= p < hi:
+                df[w] += min(2, hi - p)
+                total[w] += c * min(2, hi - p)
+        keep |= set(sorted((w for w in df if 3 <= df[w] <= 0.85 * (hi - lo) * 2), key=lambda w: (-total[w], w))[:25])
+    for at_once in (1 << 20, 50):
+        a = training._Articles("a", 12, 2, 2, 3, 0.85, 25, ranges)
+        for lo in range(0, len(texts), 30):
+            a.add(pa.array(texts[lo : lo + 30], pa.list_(pa.string())), pa.array(pos[lo : lo + 30], pa.int32()))
+        got = {(w, p - 1): c for b in a.chosen(at_once) for x in b.to_pylist() for w, p, c in zip([x["word"]] * len(x["pos"]), x["pos"], x["tf"])}
+        assert got == {k: c for k, c in tf.items() if k[0] in keep}
+
+
+def test_only_words_that_stay_travel(spark):
+    """No day's words are dealt, and texts travel before they are split: the articles of a stock meet once."""
+    words, _, _ = signals.word_set(spark, "/root/testdata/sf0.001", technical=False)
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "Generate explode" not in plan
+    assert plan.index("regexp_extract_all") < plan.index("RepartitionByExpression")

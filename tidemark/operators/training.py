@@ -7,9 +7,12 @@ function: one stock's days and rows, bounded by its window and by MAX_FEATURES w
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -18,6 +21,7 @@ from . import ordered, solvers
 LAGS, MIN_DF, MAX_DF, MAX_FEATURES = 5, 3, 0.85, 25_000
 #: Words that are always kept, however rare.
 CRITICAL = "배임 횡령 화재 소송 고발 고소 압수수색 구속 해킹 전쟁 부도 파산 상장폐지 거래정지 분식회계 하한가 유상증자".split()
+WORDS = "stock_code string, word string, pos array<int>, tf array<int>"
 FITTED = "stock_code string, feature string, beta double, mean double, scale double, alpha double"
 
 
@@ -55,6 +59,174 @@ def day_tfidf(counts: DataFrame, lags: int = LAGS, min_df: int = MIN_DF, max_df:
     return x.select("stock_code", "pos", "word", (F.col("x") / norm).alias("value"))
 
 
+def whole(n: int) -> list[tuple[int, int]]:
+    """All rows as the one range that words are chosen by."""
+    return [(0, n)]
+
+
+def frequent_words(articles: DataFrame, rows: DataFrame, words: Column, grams: int = 1, lags: int = LAGS, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES, ranges: Callable[[int], list[tuple[int, int]]] = whole) -> DataFrame:
+    """(stock_code, word, pos, tf): the words that day_tfidf keeps of day_counts, each with its rows in order and its counts there.
+
+    articles: (stock_code, date, columns), words: their words as an array, split from the text after that has travelled. ranges: from a stock's number of rows the ranges of rows (from 0, up to an end) that are corpora of their own; a word stays, in all rows, if one of
+    them keeps it. A stock's articles meet in one task, which keeps a number for each of their words and counts them a million at a time; only the
+    words that stay travel on."""
+    if grams > 2:
+        raise ValueError("words and pairs of words are counted")
+    at = ordered.asof_forward(articles.select("stock_code", "date").distinct(), rows, "stock_code", "date", "date", ["pos", "n_rows"]).filter("pos is not null")
+    placed = articles.join(F.broadcast(at.select("stock_code", "date", "pos", "n_rows")), ["stock_code", "date"])  # a row for each stock and day, not for each article
+    n = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.drop("date").repartition(n, "stock_code").sortWithinPartitions("stock_code").select("stock_code", words.alias("words"), "pos", "n_rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stock = None
+        for b in batches:
+            codes = b["stock_code"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if stock is None or stock.code != codes[lo]:
+                    if stock:
+                        yield from stock.chosen()
+                    stock = _Articles(codes[lo], b["n_rows"][lo].as_py(), grams, lags, min_df, max_df, max_features, ranges)
+                stock.add(b["words"].slice(lo, hi - lo), b["pos"].slice(lo, hi - lo))
+        if stock:
+            yield from stock.chosen()
+
+    return dealt.mapInArrow(run, WORDS)
+
+
+class _Articles:
+    """One stock's articles as numbers of words."""
+
+    def __init__(self, code: str, n_rows: int, grams: int, lags: int, min_df: int, max_df: float, most: int, ranges: Callable[[int], list[tuple[int, int]]]):
+        self.code, self.n_rows, self.grams, self.lags, self.min_df, self.max_df, self.most = code, n_rows, grams, lags, min_df, max_df, most
+        self.ranges = sorted(set(ranges(n_rows)))
+        self.number: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, words: pa.Array, pos: pa.Array) -> None:
+        found = words.flatten().dictionary_encode()
+        own = np.array([self.number.setdefault(w, len(self.number)) for w in found.dictionary.to_pylist()], np.int32)
+        length = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        last = np.zeros(len(found), bool)
+        last[np.cumsum(length)[length > 0] - 1] = True
+        day = np.repeat(pos.to_numpy(zero_copy_only=False).astype(np.int32) - 1, length)
+        self.parts.append((own[found.indices.to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0, np.int32), day, last))
+
+    def named(self, code: np.ndarray, pair: np.ndarray) -> list[str]:
+        v, all_ = max(len(self.number), 1), list(self.number)
+        return [f"{all_[c // v]};{all_[c % v]}" if p else all_[c] for c, p in zip(code.tolist(), pair.tolist(), strict=True)]
+
+    def counted(self, at_once: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """(whether pairs, word, row, count) in order of words and rows, all rows of a word together."""
+        ids, day, last = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        v, n = len(self.number), self.n_rows
+        for pair in range(self.grams):
+            steps = len(ids) // at_once + 1
+            for step in range(steps):
+                mine = ids % steps == step
+                if pair:
+                    mine &= ~last
+                first = np.flatnonzero(mine)
+                code = ids[first].astype(np.int64)
+                key = (code * v + ids[first + 1] if pair else code) * n + day[first]
+                key.sort()
+                start = np.flatnonzero(np.diff(key, prepend=-1))
+                key, tf = key[start], np.diff(start, append=len(key))
+                code = key // n
+                yield bool(pair), code, key - code * n, tf
+
+    def chosen(self, at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held: list[tuple] = []
+        best = [none for _ in self.ranges]  # the largest totals so far
+        for pair, code, day, tf in self.counted(at_once):
+            start = np.flatnonzero(np.diff(code, prepend=-1))
+            if not len(start):
+                continue
+            total, stays = np.zeros((len(self.ranges), len(start)), np.int64), np.zeros(len(start), bool)
+            for k, (lo, hi) in enumerate(self.ranges):
+                reach = np.where((day >= lo) & (day < hi), np.minimum(self.lags, hi - day), 0)
+                df = np.add.reduceat(reach, start)
+                sums = np.add.reduceat(tf * reach, start)
+                total[k] = np.where((df >= self.min_df) & (df <= self.max_df * (hi - lo) * self.lags), sums, 0)
+                best[k] = np.concatenate([best[k], total[k][total[k] > 0]])
+                if len(best[k]) > self.most:
+                    best[k] = np.partition(best[k], len(best[k]) - self.most)[-self.most :]
+                stays |= total[k] >= (best[k].min() if len(best[k]) == self.most else 1)
+            rows = np.repeat(stays, np.diff(start, append=len(code)))
+            held.append((np.full(int(stays.sum()), pair), code[start[stays]], total[:, stays], np.diff(start, append=len(code))[stays], day[rows], tf[rows]))
+        if not held:
+            return
+        pair, code, total, length, day, tf = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+        stays = np.zeros(len(code), bool)
+        for sums in total:
+            stays |= self.first(sums, code, pair)
+        rows = np.repeat(stays, length)
+        code, pair, length, day, tf = code[stays], pair[stays], length[stays], day[rows], tf[rows]
+        end = np.concatenate([[0], np.cumsum(length)])
+        for lo in range(0, len(code), 4096):
+            hi = min(lo + 4096, len(code))
+            offsets = pa.array(end[lo : hi + 1] - end[lo], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[end[lo] : end[hi]].astype(np.int32))) for x in (day + 1, tf)]
+            yield pa.RecordBatch.from_arrays([pa.array([self.code] * (hi - lo)), pa.array(self.named(code[lo:hi], pair[lo:hi])), *lists], ["stock_code", "word", "pos", "tf"])
+
+    def first(self, sums: np.ndarray, code: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Which words are the most frequent ones (ties: by word); those of 0 are none."""
+        if (sums > 0).sum() <= self.most:
+            return sums > 0
+        least = np.partition(sums, len(sums) - self.most)[len(sums) - self.most]
+        out, tied = sums > least, np.flatnonzero(sums == least)
+        names = np.array(self.named(code[tied], pair[tied]), object)
+        out[tied[np.argsort(names, kind="stable")[: self.most - int(out.sum())]]] = True
+        return out
+
+
+class Counts:
+    """One stock's words: sorted days (from 0) with their words and counts."""
+
+    def __init__(self, words: pd.DataFrame):
+        words = words.sort_values(["pos", "word"])
+        self.vocabulary, self.word = np.unique(words["word"].to_numpy(str), return_inverse=True) if len(words) else (np.zeros(0, str), np.zeros(0, np.int64))
+        self.word = self.word.reshape(-1)
+        self.day, self.tf = words["pos"].to_numpy(np.int64) - 1, words["tf"].to_numpy(float)
+
+    @classmethod
+    def of(cls, words: pa.Table) -> Counts:
+        """From rows of frequent_words."""
+        out = cls.__new__(cls)
+        names = np.array(words["word"].to_pylist(), str) if len(words) else np.zeros(0, str)
+        order = np.argsort(names, kind="stable")
+        number = np.empty(len(names), np.int32)
+        number[order] = np.arange(len(names), dtype=np.int32)
+        pos, tf = (words[c].combine_chunks() for c in ("pos", "tf"))
+        word = np.repeat(number, pos.value_lengths().to_numpy(zero_copy_only=False))
+        day = pos.flatten().to_numpy(zero_copy_only=False).astype(np.int32) - 1
+        by = np.lexsort((word, day))
+        out.vocabulary, out.word, out.day, out.tf = names[order], word[by], day[by], tf.flatten().to_numpy(zero_copy_only=False)[by].astype(float)
+        return out
+
+    def tfidf(self, lo: int, cut: int, lags: int, min_df: int, max_df: float, most: int):
+        """(vocabulary, day, word, value) of all days from lo on, by the corpus of the rows lo to cut - 1 (as day_tfidf has it); days count
+        from lo."""
+        at = np.searchsorted(self.day, [lo, cut])
+        day, word, tf = self.day[at[0] :] - lo, self.word[at[0] :], self.tf[at[0] :]
+        n, own = cut - lo, at[1] - at[0]
+        reach = np.minimum(lags, n - day[:own])
+        df = np.bincount(word[:own], reach, minlength=len(self.vocabulary))
+        total = np.bincount(word[:own], tf[:own] * reach, minlength=len(self.vocabulary))
+        ids = np.flatnonzero((df >= min_df) & (df <= max_df * n * lags))
+        ids = np.sort(ids[np.lexsort((ids, -total[ids]))][:most])
+        number = np.full(len(self.vocabulary), -1, np.int32)
+        number[ids] = np.arange(len(ids))
+        use = number[word] >= 0
+        day, word, tf = day[use], word[use], tf[use]
+        x = tf * (np.log((1 + n * lags) / (1 + df[word])) + 1)
+        norm = np.sqrt(np.bincount(day, x * x, minlength=int(day.max(initial=0)) + 1))
+        return ids, day, number[word], x / norm[day]
+
+
 def lag_decay(y: np.ndarray, lags: int, rate: float | None) -> np.ndarray:
     """The weight of each lag: 1 / (1 + rate (lag - 1)); without a rate the autocorrelation of y relative to the largest one, where there are more
     than twice as many rows as lags, else one over the root of the lag."""
@@ -111,14 +283,15 @@ class Design:
     def __init__(self, vocabulary: np.ndarray, pos: np.ndarray, word: np.ndarray, value: np.ndarray, y: np.ndarray, dense: np.ndarray, critical: list[str], lags: int, min_df: int, rate: float | None):
         self.vocabulary, self.y, self.lags = vocabulary, y, lags
         row, col, val, self.weight, self.kept, self.top = text_matrix(pos, word, value, len(vocabulary), np.isin(vocabulary, critical), y, lags, min_df, rate)
-        number = np.cumsum(self.kept) - 1
+        number = (np.cumsum(self.kept) - 1).astype(np.int32)
         use = self.kept[col]
         row, val, col = row[use], (val * self.weight[col])[use], number[col[use]]
         self.words = int(self.kept.sum())
         self.column = np.flatnonzero(self.kept)
         scaled, self.mean, self.sd = standardised(dense) if dense.shape[1] else (dense, np.zeros(0), np.zeros(0))
         at, k = np.nonzero(scaled)
-        self.row, self.col, self.val = np.concatenate([row, at]), np.concatenate([col, self.words + k]), np.concatenate([val, scaled[at, k]])
+        at, k = at.astype(row.dtype), (self.words + k).astype(np.int32)
+        self.row, self.col, self.val = np.concatenate([row, at]), np.concatenate([col, k]), np.concatenate([val, scaled[at, k - self.words]])
         self.p = self.words + dense.shape[1]
 
     def path(self) -> solvers.SparsePath:
@@ -146,16 +319,37 @@ def train_dictionary(days: DataFrame, rows: DataFrame, dense: list[str], lags: i
     critical = CRITICAL if critical is None else critical
 
     def fit(key: tuple, words: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in FITTED.split(", ")]
         if not len(own):
-            return pd.DataFrame(columns=names)
-        own = own.sort_values("pos")
+            return pd.DataFrame(columns=[c.split()[0] for c in FITTED.split(", ")])
         vocabulary, word = np.unique(words["word"].to_numpy(str), return_inverse=True) if len(words) else (np.zeros(0, str), np.zeros(0, np.int64))
-        x = Design(vocabulary, words["pos"].to_numpy(np.int64), word.reshape(-1), words["value"].to_numpy(float), own["y"].to_numpy(float), own[dense].to_numpy(float), critical, lags, min_df, rate)
-        for alpha in alphas:
-            out = x.dictionary(x.path().solve(alpha, tol=tol)[0], dense)
-            if out:
-                return pd.DataFrame([(key[0], *r, alpha) for r in out], columns=names)
-        return pd.DataFrame(columns=names)
+        return _fitted(key[0], vocabulary, words["pos"].to_numpy(np.int64), word.reshape(-1), words["value"].to_numpy(float), own, dense, critical, lags, alphas, min_df, rate, tol)
 
     return days.groupBy("stock_code").cogroup(rows.groupBy("stock_code")).applyInPandas(fit, FITTED)
+
+
+def _fitted(stock: str, vocabulary: np.ndarray, pos: np.ndarray, word: np.ndarray, value: np.ndarray, own: pd.DataFrame, dense: list[str], critical: list[str], lags: int, alphas: tuple[float, ...], min_df: int, rate: float | None, tol: float) -> pd.DataFrame:
+    own = own.sort_values("pos")
+    x = Design(vocabulary, pos, word, value, own["y"].to_numpy(float), own[dense].to_numpy(float), critical, lags, min_df, rate)
+    out: list[tuple] = []
+    for alpha in alphas:
+        if out := x.dictionary(x.path().solve(alpha, tol=tol)[0], dense):
+            break
+    return pd.DataFrame([(stock, *r, alpha) for r in out], columns=[c.split()[0] for c in FITTED.split(", ")])
+
+
+def train_words(words: DataFrame, rows: DataFrame, dense: list[str], lags: int = LAGS, alphas: tuple[float, ...] = (1e-5, 1e-6), min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES, rate: float | None = None, critical: list[str] | None = None, tol: float = 1e-6) -> DataFrame:
+    """The same from rows of frequent_words, whose TF-IDF is made where a stock is fitted: no day's words are sorted or joined on the way."""
+    critical = CRITICAL if critical is None else critical
+    schema = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.float64()) for c in FITTED.split(", ")])
+
+    def fit(key: tuple, words: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(own):
+            return schema.empty_table()
+        counts = Counts.of(words)
+        ids, day, word, value = counts.tfidf(0, len(own), lags, min_df, max_df, max_features)
+        got = _fitted(key[0].as_py(), counts.vocabulary[ids], day + 1, word, value, own.to_pandas(), dense, critical, lags, alphas, min_df, rate, tol)
+        return pa.Table.from_pandas(got, schema, preserve_index=False)
+
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the fits take the time, not the rows
+    own = rows.select("stock_code", "pos", "y", *dense).repartition(n, "stock_code")
+    return words.repartition(n, "stock_code").groupBy("stock_code").cogroup(own.groupBy("stock_code")).applyInArrow(fit, FITTED)

@@ -60,13 +60,25 @@ def training_set(spark: SparkSession, d: str, technical: bool = True, first: str
 
 def counted_set(spark: SparkSession, d: str, technical: bool = True, first: str = FIRST, last: str = LAST) -> tuple[DataFrame, DataFrame, list[str]]:
     """The same with the counts of days (as from training.day_counts)."""
+    kept, n, names = learned_from(spark, d, technical, first, last)
+    t = by_day(n).select("stock_code", "date", tokens(F.col("content")).alias("words"))
+    return training.day_counts(t, kept, GRAMS), kept, names
+
+
+def word_set(spark: SparkSession, d: str, technical: bool = True, ranges=training.whole) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The words that a model may use (as from training.frequent_words), rows and names of the dense columns."""
+    kept, n, names = learned_from(spark, d, technical, FIRST, LAST)
+    articles = n.select("stock_code", F.to_date("published_at").alias("date"), "content")
+    return training.frequent_words(articles, kept, tokens(F.col("content")), GRAMS, LAGS, ranges=ranges), kept, names
+
+
+def learned_from(spark: SparkSession, d: str, technical: bool, first: str, last: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows and articles of a range of dates, and the names of the dense columns."""
     dense = FUNDAMENTAL + (TECHNICAL if technical else [])
     kept = dense_rows(spark, d, technical).filter(F.col("date").between(first, last)).withColumn("y", F.col("excess_return"))
     rows = training.numbered(kept, ["y", *[F.col(c).alias(named(c)) for c in dense]])
     n = news(spark, d).filter((F.col("published_at") >= F.date_sub(F.lit(first).cast("date"), LAGS + 2)) & (F.to_date("published_at") <= last))
-    t = by_day(n).select("stock_code", "date", tokens(F.col("content")).alias("words"))
-    counts = training.day_counts(t, rows, GRAMS)
-    return counts, rows, [named(c) for c in dense]
+    return rows, n, [named(c) for c in dense]
 
 
 def own_names(spark: SparkSession, d: str) -> DataFrame:
@@ -75,8 +87,8 @@ def own_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, d: str, technical: bool = True) -> DataFrame:
-    days, rows, dense = training_set(spark, d, technical)
-    fitted = training.train_dictionary(days, rows, dense, LAGS)
+    words, rows, dense = word_set(spark, d, technical)
+    fitted = training.train_words(words, rows, dense, LAGS)
     base = F.regexp_replace("feature", r"_L\d+$", "")
     own = own_names(spark, d).select("stock_code", F.lower("alias").alias("__base")).distinct()
     return fitted.withColumn("__base", base).join(own, ["stock_code", "__base"], "left_anti").drop("__base")
@@ -93,7 +105,7 @@ def words_by_lag(spark: SparkSession, d: str, rows: DataFrame, at: DataFrame, la
     n = news(spark, d).withColumn("date", ordered.session_date("published_at", "cutoff16"))
     days = ordered.asof_forward(n.select("stock_code", "date").distinct(), rows, "stock_code", "date", "date", ["pos"]).filter("pos is not null")  # days, not articles
     wanted = days.select("stock_code", "date", "pos").join(at, "stock_code").withColumn("lag", F.col("tpos") - F.col("pos") + 1).filter(F.col("lag").between(1, lags))
-    near = n.select("stock_code", "date", "published_at", "content").join(wanted, ["stock_code", "date"])
+    near = n.select("stock_code", "date", "published_at", "content").join(F.broadcast(wanted), ["stock_code", "date"])  # texts of other days do not travel
     weight = expr.time_decay(expr.hours_since(F.col("published_at"), F.col("td").cast("timestamp") + F.expr("INTERVAL 9 HOURS")))
     return near.select(*keys, "lag", weight.alias("weight"), F.explode(tokens(F.col("content"))).alias("word"))
 
