@@ -171,3 +171,17 @@ def test_stability_is_that_of_the_rule(spark):
         assert got[m, a].stability == pytest.approx(0.6 * np.mean(near) + 0.4 * (1 - min(e / 0.1, 1)) - np.std(near))
     best = max(got.values(), key=lambda x: x.stability)
     assert lifecycle.promote(tuning.stability(df), "stock_code", "d").first().window_months == best.window_months
+
+
+def test_scan_of_frequent_words_is_the_scan_of_all(spark):
+    sf, few = "/root/testdata/sf0.001", {"windows": (3, 6, 12), "alphas": (1e-4, 5e-5), "lags": LAGS, "month": MONTH, "max_features": 60}
+    counts, rows, dense = signals.counted_set(spark, sf, technical=False)
+    _, n, _ = signals.learned_from(spark, sf, False, signals.FIRST, signals.LAST)
+    from tidemark.fixtures import tokens
+
+    articles = n.selectExpr("stock_code", "to_date(published_at) as date", "content")
+    words = training.frequent_words(articles, rows, tokens(articles["content"]), signals.GRAMS, LAGS, max_features=60, ranges=tuning.ranges((3, 6, 12), month=MONTH))
+    want, got = ({(x.stock_code, x.window_months, x.alpha): (x.hit_rate, x.used) for x in tuning.scan(c, rows, dense, **few).collect()} for c in (counts, words))
+    assert got == want and len(got) == 6 * rows.select("stock_code").distinct().count() and any(u for _, u in got.values())
+    query = signals.text_window_scan(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in query and "CoGroupsInPandas" not in query

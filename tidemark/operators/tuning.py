@@ -7,47 +7,22 @@ first fit starts from the coefficients that the smaller window had there. Cells
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import training
+from .training import Counts
 
 WINDOWS, ALPHAS = tuple(range(3, 13)), (5e-4, 1e-4, 5e-5, 1e-5)
 MONTH = 21
 CELLS = "stock_code string, window_months int, alpha double, hit_rate double, mae double, used int, error string"
 
 
-class Counts:
-    """One stock's words: sorted days (from 0) with their words and counts."""
-
-    def __init__(self, words: pd.DataFrame):
-        words = words.sort_values(["pos", "word"])
-        self.vocabulary, self.word = np.unique(words["word"].to_numpy(str), return_inverse=True) if len(words) else (np.zeros(0, str), np.zeros(0, np.int64))
-        self.word = self.word.reshape(-1)
-        self.day, self.tf = words["pos"].to_numpy(np.int64) - 1, words["tf"].to_numpy(float)
-
-    def tfidf(self, lo: int, cut: int, lags: int, min_df: int, max_df: float, most: int):
-        """(vocabulary, day, word, value) of all days from lo on, by the corpus of the rows lo to cut - 1 (as training.day_tfidf has it); days count
-        from lo."""
-        at = np.searchsorted(self.day, [lo, cut])
-        day, word, tf = self.day[at[0] :] - lo, self.word[at[0] :], self.tf[at[0] :]
-        n, own = cut - lo, at[1] - at[0]
-        reach = np.minimum(lags, n - day[:own])
-        df = np.bincount(word[:own], reach, minlength=len(self.vocabulary))
-        total = np.bincount(word[:own], tf[:own] * reach, minlength=len(self.vocabulary))
-        ids = np.flatnonzero((df >= min_df) & (df <= max_df * n * lags))
-        ids = np.sort(ids[np.lexsort((ids, -total[ids]))][:most])
-        number = np.full(len(self.vocabulary), -1)
-        number[ids] = np.arange(len(ids))
-        use = number[word] >= 0
-        day, word, tf = day[use], word[use], tf[use]
-        x = tf * (np.log((1 + n * lags) / (1 + df[word])) + 1)
-        norm = np.sqrt(np.bincount(day, x * x, minlength=int(day.max(initial=0)) + 1))
-        return ids, day, number[word], x / norm[day]
-
-
 class Cells:
     """One stock's scan. rows: in order of pos, with y and the dense columns; the last `judged` of them are predicted."""
 
@@ -100,10 +75,20 @@ class Cells:
         return out
 
 
+def ranges(windows: tuple[int, ...] = WINDOWS, share: float = 0.2, month: int = MONTH) -> Callable[[int], list[tuple[int, int]]]:
+    """The rows that a scan's windows learn from, for training.frequent_words."""
+
+    def of(n: int) -> list[tuple[int, int]]:
+        cut = int(n * (1 - share))
+        return [(max(0, cut - month * m), cut) for m in windows] if cut else []
+
+    return of
+
+
 def scan(counts: DataFrame, rows: DataFrame, dense: list[str], windows: tuple[int, ...] = WINDOWS, alphas: tuple[float, ...] = ALPHAS, lags: int = training.LAGS, share: float = 0.2, done: DataFrame | None = None, critical: list[str] | None = None, min_df: int = training.MIN_DF, max_df: float = training.MAX_DF, max_features: int = training.MAX_FEATURES, rate: float | None = None, tol: float = 1e-6, month: int = MONTH) -> DataFrame:
     """(stock_code, window_months, alpha, hit_rate, mae, used, error) of every cell that `done` does not hold.
 
-    counts: as from training.day_counts; rows: (stock_code, pos, y, dense columns). The last `share` of a stock's rows are judged, by the model of the
+    counts: as from training.day_counts, or from training.frequent_words by the ranges of the same windows; rows: (stock_code, pos, y, dense columns). The last `share` of a stock's rows are judged, by the model of the
     window_months * month rows before them; used counts its nonzero coefficients. A cell without rows to fit or to judge by, or whose fit fails, says so in
     error. A stock's counts and rows travel once, whatever the number of cells. Where several models have the least loss (more columns than rows), a cell may
     hold another of them than a single fit.
@@ -112,20 +97,20 @@ def scan(counts: DataFrame, rows: DataFrame, dense: list[str], windows: tuple[in
     names = [c.split()[0] for c in CELLS.split(", ")]
     rows = rows.select("stock_code", "pos", "y", *dense)
 
-    def run(key: tuple, words: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def run(stock: str, words: Callable[[], Counts], own: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return pd.DataFrame(columns=names)
         own = own.sort_values("pos")
         had = {(int(m), float(a)) for m, a in own["__cells"].iloc[0]} if "__cells" in own and own["__cells"].iloc[0] is not None else set()
         judged = len(own) - int(len(own) * (1 - share))
-        cells = Cells(Counts(words), own["y"].to_numpy(float), own[dense].to_numpy(float), judged, critical, lags, min_df, max_df, max_features, rate, tol, month)
+        cells = Cells(words(), own["y"].to_numpy(float), own[dense].to_numpy(float), judged, critical, lags, min_df, max_df, max_features, rate, tol, month)
         truth, out, same = cells.y[cells.cut :], [], (None, {})
         for months in sorted(windows):
             todo = [a for a in alphas if (months, a) not in had]
             fitted = set()
             lo = max(0, cells.cut - month * months)
             if same[0] == lo:  # longer than the history: the window before has the same rows
-                out += [(key[0], months, a, *same[1][a]) for a in todo if a in same[1]]
+                out += [(stock, months, a, *same[1][a]) for a in todo if a in same[1]]
                 todo = [a for a in todo if a not in same[1]]
             else:
                 same = (lo, {})
@@ -134,18 +119,27 @@ def scan(counts: DataFrame, rows: DataFrame, dense: list[str], windows: tuple[in
                     raise ValueError("a cell needs rows to fit and rows to judge it by")
                 for alpha, w, _, p, _ in cells.run(months, todo) if todo else ():
                     same[1][alpha] = (float((np.sign(p) == np.sign(truth)).mean()), float(np.abs(p - truth).mean()), int((np.abs(w) > 1e-12).sum()), None)
-                    out.append((key[0], months, alpha, *same[1][alpha]))
+                    out.append((stock, months, alpha, *same[1][alpha]))
                     fitted.add(alpha)
             except (ValueError, np.linalg.LinAlgError) as e:
-                out += [(key[0], months, a, None, None, None, str(e)[:200]) for a in todo if a not in fitted]
+                out += [(stock, months, a, None, None, None, str(e)[:200]) for a in todo if a not in fitted]
         return pd.DataFrame(out, columns=names)
 
     if done is not None:
         had = done.filter("error is null").groupBy("stock_code").agg(F.collect_set(F.array(F.col("window_months").cast("double"), "alpha")).alias("__cells"))
         rows = rows.join(had, "stock_code", "left").withColumn("__cells", F.when(F.row_number().over(Window.partitionBy("stock_code").orderBy("pos")) == 1, F.col("__cells")))
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables too: the fits take the time, not the rows
-    dealt = counts.select("stock_code", "pos", "word", "tf").repartition(n, "stock_code")
-    return dealt.groupBy("stock_code").cogroup(rows.repartition(n, "stock_code").groupBy("stock_code")).applyInPandas(run, CELLS)
+    own = rows.repartition(n, "stock_code").groupBy("stock_code")
+    if dict(counts.dtypes)["pos"] != "array<int>":
+        dealt = counts.select("stock_code", "pos", "word", "tf").repartition(n, "stock_code")
+        return dealt.groupBy("stock_code").cogroup(own).applyInPandas(lambda key, words, own: run(key[0], lambda: Counts(words), own), CELLS)
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in CELLS.split(", ")])
+
+    def run_arrow(key: tuple, words: pa.Table, own: pa.Table) -> pa.Table:
+        return pa.Table.from_pandas(run(key[0].as_py(), lambda: Counts.of(words), own.to_pandas()), schema, preserve_index=False)
+
+    return counts.repartition(n, "stock_code").groupBy("stock_code").cogroup(own).applyInArrow(run_arrow, CELLS)
 
 
 def checkpointed(spark: SparkSession, counts: DataFrame, rows: DataFrame, dense: list[str], path: str, batches: int = 4, **more) -> DataFrame:

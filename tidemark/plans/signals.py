@@ -190,8 +190,8 @@ def daily_training_and_prediction(spark, d):
 @R.add()
 def text_window_scan(spark, d):
     """The text trainer over ten windows and four penalties for every stock, each judged on the stock's last fifth of rows."""
-    counts, rows, dense = counted_set(spark, d, technical=False)
-    return tuning.scan(counts, rows, dense, lags=LAGS)
+    words, rows, dense = word_set(spark, d, technical=False, ranges=tuning.ranges())
+    return tuning.scan(words, rows, dense, lags=LAGS)
 
 
 @R.add()
