@@ -185,3 +185,12 @@ def test_scan_of_frequent_words_is_the_scan_of_all(spark):
     assert got == want and len(got) == 6 * rows.select("stock_code").distinct().count() and any(u for _, u in got.values())
     query = signals.text_window_scan(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" not in query and "CoGroupsInPandas" not in query
+
+
+def test_choice_rests_on_words_that_stay(spark, monkeypatch):
+    """The table that every batch of stocks reads has a row for each word that a window keeps, not for each word and day."""
+    seen = {}
+    monkeypatch.setattr(tuning, "checkpointed", lambda spark, counts, rows, *a, **k: seen.update(counts=counts) or spark.createDataFrame([("a", 3, 1e-4, 0.5, 0.1, 1, None)], tuning.CELLS))
+    assert signals.text_scan_choice(spark, "/root/testdata/sf0.001").count() == 1
+    c = seen["counts"]
+    assert dict(c.dtypes)["pos"] == "array<int>" and c.count() == c.select("stock_code", "word").distinct().count() > 0

@@ -197,9 +197,9 @@ def text_window_scan(spark, d):
 @R.add()
 def text_scan_choice(spark, d):
     """The scan kept in a checkpoint table, its most stable cell for each stock, and whether that is promoted."""
-    counts, rows, dense = counted_set(spark, d, technical=False)
+    words, rows, dense = word_set(spark, d, technical=False, ranges=tuning.ranges())
     to = pipelines.folder(spark, "scan")
-    for name, df in (("counts", counts), ("rows", rows)):  # every batch of stocks reads them
+    for name, df in (("counts", words), ("rows", rows)):  # every batch of stocks reads them
         df.write.parquet(f"{to}/{name}")
     cells = tuning.checkpointed(spark, spark.read.parquet(f"{to}/counts"), spark.read.parquet(f"{to}/rows"), dense, f"{to}/cells", lags=LAGS)
     return lifecycle.promote(tuning.stability(cells), "stock_code", LAST).select("stock_code", "window_months", "alpha", "hit_rate", "mae", "mean_hr", "std_hr", "neighbours", "stability", "version", "promotion_status")
