@@ -121,16 +121,20 @@ class _Articles:
     def counted(self, at_once: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
         """(whether pairs, word, row, count) in order of words and rows, all rows of a word together."""
         ids, day, last = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts = []  # held once
         v, n = len(self.number), self.n_rows
         for pair in range(self.grams):
             steps = len(ids) // at_once + 1
             for step in range(steps):
-                mine = ids % steps == step
+                mine = ids % np.int32(steps) == step
                 if pair:
                     mine &= ~last
                 first = np.flatnonzero(mine)
-                code = ids[first].astype(np.int64)
-                key = (code * v + ids[first + 1] if pair else code) * n + day[first]
+                key = ids[first].astype(np.int64)
+                if pair:
+                    key = key * v + ids[first + 1]
+                key = key * n + day[first]
+                del mine, first
                 key.sort()
                 start = np.flatnonzero(np.diff(key, prepend=-1))
                 key, tf = key[start], np.diff(start, append=len(key))
